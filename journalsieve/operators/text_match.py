@@ -12,6 +12,7 @@ from journalsieve.operators.quantiles import exact_quantiles
 from journalsieve.operators.text_vectors import pair_cosines, text_vectors
 from journalsieve.workspace import settle
 
+SOURCE_LABEL = "bezeichnung"
 SWEEP_STEPS = 18
 EXAMPLES = 3
 PERCENTILES = [10, 20, 30, 40, 50, 60, 70, 80, 90]
@@ -29,7 +30,7 @@ def with_labels(journal: DataFrame, labels: DataFrame, fallback: str | None = No
 def eligible_rows(ctx: Context) -> DataFrame:
     """Rows with text and label on an account of the checked range."""
     c = ctx.config
-    fallback = "bezeichnung" if "bezeichnung" in ctx.journal.columns else None
+    fallback = next((n for n in ctx.journal.columns if n.lower() == SOURCE_LABEL), None)
     number = account_number(F.col("konto_soll"))
     return (
         with_labels(ctx.journal, ctx.labels, fallback)

@@ -13,26 +13,35 @@ from journalsieve.workspace import settle
 GRAM = 3
 
 
-def gram_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(text, gram, tf) of every distinct non-empty text, lower case, with a blank on each end."""
-    padded = F.concat(F.lit(" "), F.lower("text"), F.lit(" "))
-    starts = F.sequence(F.lit(1), F.char_length(F.col("padded")) - (GRAM - 1))
+def gram_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, gram, tf) of every non-empty text, lower case, with a blank on each end.
+
+    ``key`` is unique.  The text is split into characters once, so the work per text is linear.
+    """
+    padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+    grams = F.transform(
+        F.sequence(F.lit(0), F.size("chars") - GRAM),
+        lambda i: F.concat(*[F.get("chars", i + step) for step in range(GRAM)]))
     return (
-        texts.select(F.col(text).alias("text")).filter("text != ''").distinct()
-        .withColumn("padded", padded)
-        .select("text", F.explode(starts).alias("at"), "padded")
-        .select("text", F.substring("padded", F.col("at"), F.lit(GRAM)).alias("gram"))
+        texts.filter(F.col(text) != "")
+        .select(F.col(key).alias("text"), F.split(padded, "").alias("chars"))
+        .select("text", F.explode(grams).alias("gram"))
         .groupBy("text", "gram").agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
-def text_vectors(texts: DataFrame, text: str = "text") -> DataFrame:
+def text_vectors(texts: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """(text, gram, weight, df): weight is tf * ln(1 + texts / df), scaled to unit length.
 
+    The vectors belong to the distinct texts themselves, or to ``key`` where texts are long; the
+    column ``text`` of the result holds the text or the key.
+
     The document frequencies are written before they are joined: a vocabulary small enough is
     broadcast, a large one goes through a skew-split shuffle join.
     """
-    counts = settle(gram_counts(texts, text), "gram_counts")
+    if key is None:
+        texts, key = texts.select(text).distinct(), text
+    counts = settle(gram_counts(texts, key, text), "gram_counts")
     n_texts = counts.agg(F.count_distinct("text")).scalar()
     frequency = settle(counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram_df")
     raw = F.col("tf") * F.log(1 + n_texts / F.col("df"))

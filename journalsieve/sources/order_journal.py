@@ -45,9 +45,11 @@ from b
 """
 
 
-def order_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The typed posting attributes of every order."""
+def order_postings(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
+    """The typed posting attributes of every order, or of the orders before a date."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    if before:
+        orders = orders.filter(F.col("o_orderdate") < F.lit(before).cast("timestamp_ntz"))
     return spark.sql(_MAPPING, orders=orders)
 
 
@@ -76,12 +78,12 @@ def _date_text(day: F.Column, row_id: F.Column) -> F.Column:
     )
 
 
-def order_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_export(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
     """The postings as a source system would export them: own header names, text only.
 
     ``row_id`` is kept beside the text columns as the source key.
     """
-    p = order_postings(spark, sf_dir)
+    p = order_postings(spark, sf_dir, before)
     row = F.col("row_id")
     entered = F.col("d") + F.make_dt_interval(F.col("lag_days"))
     return p.select(
@@ -96,5 +98,22 @@ def order_export(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("generalumgekehrt").alias("Generalumgekehrt"),
         F.lower("soll_haben").alias("Soll/Haben"),
         _date_text(entered, row).alias("ErfassungAm"),
+        F.when(row % 2 == 0, "Rechnung Sammelkonto").otherwise("").alias("Bezeichnung"),
         F.col("mandant").alias("Mandant"),
     )
+
+
+def order_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account labels for four in five accounts of the journal."""
+    thousands = F.col("konto_num") / 1000
+    kind = F.pmod(thousands.cast("int"), F.lit(5))
+    label = (
+        F.when(kind == 1, "Rechnung Lieferant").when(kind == 2, "Miete und Pacht")
+        .when(kind == 3, "Gutschrift Bonus").when(kind == 4, "Storno und Korrektur")
+    )
+    return (
+        order_postings(spark, sf_dir).select("konto_num").distinct()
+        .select(F.col("konto_num").cast("string").alias("konto_soll"),
+                label.alias("gt_bezeichnung"))
+        .filter("gt_bezeichnung is not null")
+    )
