@@ -16,8 +16,8 @@ def account_number(c: Column) -> Column:
     return F.regexp_replace(c, r"\D", "").try_cast("double")
 
 
-def account_class(c: Column) -> Column:
-    number = account_number(c)
+def account_class(number: Column) -> Column:
+    """Class of an account number; accounts without digits count as balance accounts."""
     return (
         F.when(number.between(*INCOME_RANGE), CLASS_INCOME)
         .when(number.between(*EXPENSE_RANGE), CLASS_EXPENSE)
@@ -36,9 +36,8 @@ def side(c: Column) -> Column:
     return F.when(mark.isin(DEBIT_MARKS), "S").when(mark.isin(CREDIT_MARKS), "H")
 
 
-def signed_amount(amount: Column, kind: Column, marker: Column) -> Column:
+def signed_amount(amount: Column, kind: Column, booked_side: Column) -> Column:
     """Income grows on credit, expense on debit; other classes keep the booked sign."""
-    s = side(marker)
-    growing = ((kind == CLASS_INCOME) & (s == "H")) | ((kind == CLASS_EXPENSE) & (s == "S"))
-    shrinking = ((kind == CLASS_INCOME) & (s == "S")) | ((kind == CLASS_EXPENSE) & (s == "H"))
-    return F.when(growing, F.abs(amount)).when(shrinking, -F.abs(amount)).otherwise(amount)
+    own = F.when(kind == CLASS_INCOME, "H").when(kind == CLASS_EXPENSE, "S")
+    return F.when(own == booked_side, F.abs(amount)).when(own != booked_side, -F.abs(amount)) \
+        .otherwise(amount)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from journalsieve.functions.text import WHITESPACE
 
@@ -11,14 +11,20 @@ _GERMAN = r"^-?[\d.]*,\d{1,2}$"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def parse_amount(c: Column) -> Column:
-    """German (``1.234,56``) or English (``1,234.56``) amount text; NULL when it is neither.
+def parse_amounts(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add amounts read from German (``1.234,56``) or English (``1,234.56``) text; NULL when it is
+    neither.  ``columns`` maps the new column to its text column.
 
-    The number check in front of the cast matters: the cast alone accepts type suffixes
-    such as ``1d``.
+    The steps are separate projections, so each row pays for every pattern once.  The number check
+    in front of the cast matters: the cast alone accepts type suffixes such as ``1d``.
     """
-    bare = F.translate(c, _DROPPED, "")
-    german = F.replace(F.regexp_replace(bare, r"\.(?=\d{3})", ""), F.lit(","), F.lit("."))
-    english = F.regexp_replace(bare, r",(?=\d{3})", "")
-    plain = F.when(bare.rlike(_GERMAN), german).otherwise(english)
-    return F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
+    bare = {f"{new}_bare": F.translate(text, _DROPPED, "") for new, text in columns.items()}
+    plain = {}
+    for new in columns:
+        text = F.col(f"{new}_bare")
+        german = F.replace(F.regexp_replace(text, r"\.(?=\d{3})", ""), F.lit(","), F.lit("."))
+        english = F.regexp_replace(text, r",(?=\d{3})", "")
+        plain[f"{new}_plain"] = F.when(text.rlike(_GERMAN), german).otherwise(english)
+    amounts = {new: F.when(F.col(f"{new}_plain").rlike(_NUMBER),
+                           F.col(f"{new}_plain").try_cast("double")) for new in columns}
+    return df.withColumns(bare).withColumns(plain).withColumns(amounts).drop(*bare, *plain)

@@ -5,35 +5,36 @@ Timestamps carry no time zone (``timestamp_ntz``), so day gaps do not move with
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from journalsieve.functions.text import strip
 
-_ISO = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{1,2}:\d{1,2})?$"
-_GERMAN = r"^\d{1,2}\.\d{1,2}\.\d{4}( \d{1,2}:\d{1,2}(:\d{1,2})?)?$"
-_GERMAN_SHORT = r"^\d{1,2}\.\d{1,2}\.\d{2}$"
+# day.month.year with optional time, day.month with two-digit year, and the ISO shape of both
+_GERMAN = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})(?= |$)"
+_GERMAN_SHORT = r"^(\d{1,2})\.(\d{1,2})\.(\d{2})$"
+_GERMAN_MINUTES = r"^(\d{1,2}\.\d{1,2}\.\d{4} \d{1,2}:\d{1,2})$"
+_ISO = r"^(\d{4}-\d{1,2}-\d{1,2}(?:[T ]\d{1,2}:\d{1,2}:\d{1,2}(?=(?:\.\d{1,6})?$)|$))"
 # fixed values: the span a nanosecond timestamp can hold; dates outside it count as missing
 _EARLIEST, _LATEST = "1677-09-22", "2262-04-11"
 
 
-def parse_date(c: Column) -> Column:
-    """ISO and German dates with optional time; NULL for anything else.
+def _stamp(c: Column) -> Column:
+    """Every accepted shape is rewritten to ISO order and goes through one cast; no row pays for a
+    chain of failing format parsers.  Each step uses the one before it once."""
+    text = F.regexp_replace(strip(c), _GERMAN_MINUTES, "$1:00")
+    text = F.regexp_replace(text, _GERMAN, "$3-$2-$1")
+    text = F.regexp_replace(text, _GERMAN_SHORT, "20$3-$2-$1")
+    return F.regexp_extract(text, _ISO, 1).try_cast("timestamp_ntz")
 
-    Every accepted shape is rewritten to ISO order and goes through one guarded cast, so no row
-    pays for a chain of failing format parsers.  Fractions are cut only after a time part.
+
+def parse_dates(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add timestamps read from ISO and German dates with optional time; NULL for anything else.
+
+    ``columns`` maps the new column to its text column.  Fractions are accepted after a time only.
     """
-    text = F.regexp_replace(strip(c), r"(:\d{1,2})\.\d{1,6}$", "$1")
-    iso = (
-        F.when(text.rlike(_ISO), text)
-        .when(text.rlike(_GERMAN),
-              F.regexp_replace(text, r"^(\d{1,2})\.(\d{1,2})\.(\d{4})", "$3-$2-$1"))
-        .when(text.rlike(_GERMAN_SHORT),
-              F.regexp_replace(text, r"^(\d{1,2})\.(\d{1,2})\.(\d{2})$", "20$3-$2-$1"))
-    )
-    stamp = iso.try_cast("timestamp_ntz")
-    in_span = stamp.between(F.lit(_EARLIEST).cast("timestamp_ntz"),
-                            F.lit(_LATEST).cast("timestamp_ntz"))
-    return F.when(in_span, stamp)
+    low, high = (F.lit(day).cast("timestamp_ntz") for day in (_EARLIEST, _LATEST))
+    return df.withColumns({new: _stamp(F.col(text)) for new, text in columns.items()}) \
+        .withColumns({new: F.when(F.col(new).between(low, high), F.col(new)) for new in columns})
 
 
 def month_index(c: Column) -> Column:

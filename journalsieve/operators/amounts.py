@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from journalsieve.functions.accounts import is_pnl
 from journalsieve.operators.context import Context
 from journalsieve.operators.parts import Lookup, Part, Predicate, counted_amounts
+from journalsieve.operators.series import account_moments
 from journalsieve.schema import PNL_CLASSES
-from journalsieve.workspace import settle
 
 
 def _any_of(conditions: list[Column]) -> Column:
@@ -40,16 +40,13 @@ def betrag_iqr(ctx: Context) -> list[Part]:
     return [Predicate(counted_amounts() & _any_of(beyond))]
 
 
-def account_limits(journal: DataFrame, sigma: float, min_rows: int) -> DataFrame:
+def account_limits(months: DataFrame, sigma: float, min_rows: int) -> DataFrame:
     """Upper and lower amount limit of every profit-and-loss account with enough postings."""
-    spread = F.lit(sigma) * F.coalesce("konto_std", F.lit(0.0))
+    spread = F.lit(sigma) * F.col("konto_std")
     return (
-        journal.filter(counted_amounts() & is_pnl(F.col("_kontoklasse"))
-                       & (F.col("konto_soll") != ""))
-        .groupBy("konto_soll")
-        .agg(F.avg("_abs").alias("konto_mean"), F.stddev_samp("_abs").alias("konto_std"),
-             F.count(F.lit(1)).alias("konto_count"))
-        .filter(F.col("konto_count") >= min_rows)
+        account_moments(months)
+        .filter(is_pnl(F.col("_kontoklasse")) & (F.col("konto_soll") != "")
+                & (F.col("konto_count") >= min_rows))
         .select("konto_soll", "konto_count",
                 (F.col("konto_mean") + spread).alias("upper_limit"),
                 F.greatest(F.col("konto_mean") - spread, F.lit(0.0)).alias("lower_limit"))
@@ -58,9 +55,7 @@ def account_limits(journal: DataFrame, sigma: float, min_rows: int) -> DataFrame
 
 def konto_betrag_anomalie(ctx: Context) -> list[Part]:
     c = ctx.config
-    limits = settle(
-        account_limits(ctx.journal, c.konto_betrag_sigma, c.konto_min_buchungen)
-        .drop("konto_count"), "account_limits")
+    limits = account_limits(ctx.account_months, c.konto_betrag_sigma, c.konto_min_buchungen)
     outside = (F.col("_abs") > F.col("upper_limit")) | (F.col("_abs") < F.col("lower_limit"))
     hit = counted_amounts() & is_pnl(F.col("_kontoklasse")) & outside
-    return [Lookup("account_limits", limits, ["konto_soll"], hit)]
+    return [Lookup(limits.drop("konto_count"), ["konto_soll"], hit)]

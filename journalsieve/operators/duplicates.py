@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from journalsieve.functions.accounts import side
 from journalsieve.functions.dates import whole_days
 from journalsieve.operators.context import Context
 from journalsieve.operators.groups import distinct_over, rows_in_small_groups
@@ -143,7 +142,7 @@ def doppelte_belegnummer(ctx: Context) -> list[Part]:
         & (F.col("n_months") < c.doppelte_beleg_regular_months))
     if c.doppelte_beleg_min_count <= 2:
         # a debit/credit pair has two rows, so it can only matter for a minimum of two
-        mark = side(F.col("soll_haben"))
+        mark = F.col("_seite")
         pairs = rows.groupBy("belegnummer").agg(
             F.count(F.lit(1)).alias("n"), F.count(mark).alias("marked"),
             F.count_if(mark == "S").alias("debits"),
@@ -152,7 +151,7 @@ def doppelte_belegnummer(ctx: Context) -> list[Part]:
     table = settle(repeated.select(*_SAME_DOCUMENT, F.lit(True).alias("repeated_document")),
                    "repeated_documents")
     hit = F.col("repeated_document") & _documents_in_scope(ctx)
-    return [Lookup("repeated_documents", table, _SAME_DOCUMENT, hit)]
+    return [Lookup(table, _SAME_DOCUMENT, hit)]
 
 
 # --- repeated vendor documents ---------------------------------------------------------------
@@ -212,7 +211,6 @@ def vendor_amount_pairs(ctx: Context) -> DataFrame:
 
 def beleg_kreditor_duplikat(ctx: Context) -> list[Part]:
     keys = ["belegnummer", *_VENDOR_AMOUNT]
-    table = settle(repeated_vendor_documents(ctx).select(
-        *keys, F.lit(True).alias("repeated_vendor_document")), "vendor_duplicates")
+    table = repeated_vendor_documents(ctx).withColumn("repeated_vendor_document", F.lit(True))
     hit = F.col("repeated_vendor_document") & _vendor_documents()
-    return [Lookup("vendor_duplicates", table, keys, hit), RowIds(vendor_amount_pairs(ctx))]
+    return [Lookup(table, keys, hit), RowIds(vendor_amount_pairs(ctx))]

@@ -18,10 +18,10 @@ class Predicate:
 class Lookup:
     """Flags rows by a condition on the row and a table joined on ``keys``.
 
-    The table is a written one, so the planner knows its size and picks the join.
+    The table is a written one or derived from one, so the planner knows its size and picks the
+    join: broadcast when it is small, else a shuffle join with skew splitting.
     """
 
-    name: str
     table: DataFrame
     keys: list[str]
     hit: Column

@@ -7,10 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from journalsieve.functions.accounts import is_pnl
-from journalsieve.functions.dates import month_index, parse_date
 from journalsieve.operators.context import Context
 from journalsieve.operators.parts import Part, Predicate
-from journalsieve.operators.prepare import has_reversal_reference
 from journalsieve.schema import GENERIC_TEXTS
 
 _PERIOD = r"\b(\d{1,2})[/.](\d{4})\b"
@@ -25,7 +23,7 @@ def sigma_limit(ctx: Context, sigma: float) -> Column:
 
 def storno(ctx: Context) -> list[Part]:
     text = F.lower("buchungstext")
-    unreferenced = F.col("_is_storno") & ~has_reversal_reference(F.col("generalumgekehrt"))
+    unreferenced = F.col("_is_storno") & ~F.col("_has_reference")
     large_credit_note = (
         text.contains("gutschrift") & ~text.contains("storn")
         & (F.col("_abs") > sigma_limit(ctx, 1.0))
@@ -42,14 +40,14 @@ def leerer_buchungstext(ctx: Context) -> list[Part]:
 def comparison_month(journal: DataFrame) -> Column:
     """Month the posting is compared with: entry date if any row has one beside the document
     date, otherwise the posting period on the same condition, otherwise nothing."""
-    entered, period = parse_date(F.col("erfassungsdatum")), parse_date(F.col("buchungsperiode"))
-    dated = F.col("_datum").isNotNull()
+    entered, period = F.col("_ym_erfasst"), F.col("_ym_periode")
+    dated = F.col("_ym").isNotNull()
     present = journal.agg(
         F.bool_or(dated & entered.isNotNull()).alias("entered"),
         F.bool_or(dated & period.isNotNull()).alias("period"))
     return (
-        F.when(present.select("entered").scalar(), month_index(entered))
-        .when(present.select("period").scalar(), month_index(period))
+        F.when(present.select("entered").scalar(), entered)
+        .when(present.select("period").scalar(), period)
     )
 
 

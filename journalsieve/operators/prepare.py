@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from journalsieve.functions.accounts import account_class, signed_amount
-from journalsieve.functions.amounts import parse_amount
-from journalsieve.functions.dates import month_index, parse_date
+from journalsieve.functions.accounts import account_class, account_number, side, signed_amount
+from journalsieve.functions.amounts import parse_amounts
+from journalsieve.functions.dates import month_index, parse_dates
 from journalsieve.functions.text import strip
 from journalsieve.operators.groups import rows_in_small_groups
 from journalsieve.schema import BLANK_WORDS, CANONICAL_COLUMNS, NO_REVERSAL_REFERENCE
+from journalsieve.workspace import spread
 
 _REVERSAL_TEXT = r"storno|stornierung|r[uü]ckbuchung|gutschrift.*storn"
 _CORRECTION_TEXT = r"\bkorrektur\b"
@@ -29,7 +30,7 @@ def with_canonical_columns(raw: DataFrame) -> DataFrame:
         (F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")).alias(c)
         for c in CANONICAL_COLUMNS
     ]
-    return raw.select(*extra, *filled)
+    return spread(raw.select(*extra, *filled))
 
 
 def has_reversal_reference(reference: Column) -> Column:
@@ -37,13 +38,10 @@ def has_reversal_reference(reference: Column) -> Column:
     return ~F.lower(cleaned).isin(NO_REVERSAL_REFERENCE)
 
 
-def is_reversal(reference: Column, text: Column, amount: Column) -> Column:
-    lowered = F.lower(text)
-    return (
-        has_reversal_reference(reference)
-        | lowered.rlike(_REVERSAL_TEXT)
-        | (lowered.rlike(_CORRECTION_TEXT) & (amount < 0))
-    )
+def is_reversal_text(text: Column, amount: Column) -> Column:
+    """Text that names a reversal, or a correction of a negative amount."""
+    return F.lower(text).rlike(_REVERSAL_TEXT) | (
+        (amount < 0) & F.lower(text).rlike(_CORRECTION_TEXT))
 
 
 def voucher_id(journal: DataFrame) -> Column:
@@ -60,23 +58,34 @@ def voucher_id(journal: DataFrame) -> Column:
 def with_typed_columns(journal: DataFrame) -> DataFrame:
     """Amount, date, class, reversal, voucher and sign columns."""
     amount, text = F.col("_betrag"), F.col("buchungstext")
+    voucher = voucher_id(journal)
+    typed = parse_amounts(journal, {"_betrag": "betrag"})
+    typed = parse_dates(typed, {"_datum": "datum", "_erfasst": "erfassungsdatum",
+                                "_periode": "buchungsperiode"})
     return (
-        journal
+        typed
         .withColumns({
-            "_betrag": F.coalesce(parse_amount(F.col("betrag")), F.lit(0.0)),
-            "_datum": parse_date(F.col("datum")),
-            "_kontoklasse": account_class(F.col("konto_soll")),
-            "_beleg_id": voucher_id(journal),
+            "_betrag": F.coalesce(amount, F.lit(0.0)),
+            "_kontonummer": account_number(F.col("konto_soll")),
+            "_beleg_id": voucher,
             **{c: strip(c) for c in
                ("konto_soll", "konto_haben", "kreditor", "belegnummer", "buchungstext")},
+            "_ym": month_index(F.col("_datum")),
+            "_ym_erfasst": month_index(F.col("_erfasst")),
+            "_ym_periode": month_index(F.col("_periode")),
         })
         .withColumns({
             "_abs": F.abs(amount),
-            "_ym": month_index(F.col("_datum")),
-            "_is_storno": is_reversal(F.col("generalumgekehrt"), text, amount),
-            "_betrag_signed": signed_amount(amount, F.col("_kontoklasse"), F.col("soll_haben")),
+            "_kontoklasse": account_class(F.col("_kontonummer")),
+            "_has_reference": has_reversal_reference(F.col("generalumgekehrt")),
+            "_seite": side(F.col("soll_haben")),
             "_kreditor_canonical": F.col("kreditor"),
         })
+        .withColumns({
+            "_is_storno": F.col("_has_reference") | is_reversal_text(text, amount),
+            "_betrag_signed": signed_amount(amount, F.col("_kontoklasse"), F.col("_seite")),
+        })
+        .drop("_erfasst", "_periode")
     )
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from journalsieve.functions.accounts import is_pnl
 from journalsieve.operators.parts import Lookup, Part, counted_amounts
-from journalsieve.workspace import settle
 
 if TYPE_CHECKING:
     from journalsieve.operators.context import Context
@@ -19,24 +18,44 @@ MIN_SPAN = 6
 
 
 def account_months(journal: DataFrame) -> DataFrame:
-    """Per account and month: counts and sums that history and both series tests need."""
+    """Per account and month: counts, sums and squared deviations.
+
+    Undated postings form a month of their own.  Account limits, both series tests and the run
+    history are derived from this table, so the journal is grouped by account once; the sums are
+    combined before the shuffle, whatever share of the rows one account holds.
+    """
     real = F.col("_abs") > 0
-    kept = ~F.col("_is_storno")
-    pnl = is_pnl(F.col("_kontoklasse"))
+    counted = F.when(real & ~F.col("_is_storno"), F.col("_abs"))
     return (
-        journal.filter(F.col("_ym").isNotNull())
-        .groupBy("konto_soll", "_ym")
+        journal.groupBy("konto_soll", "_kontoklasse", "_ym")
         .agg(
-            F.count_if(real & kept).alias("n_counted"),
-            F.count_if(real & kept & pnl).alias("n_pnl"),
-            F.sum(F.when(real & kept & pnl, F.col("_abs"))).alias("pnl_sum"),
-            F.count_if(kept & (F.col("konto_soll") != "")).alias("n_booked"),
+            F.count(counted).alias("n_counted"),
+            F.sum(counted).alias("counted_sum"),
+            (F.var_pop(counted) * F.count(counted)).alias("squares"),
+            F.count_if(~F.col("_is_storno") & (F.col("konto_soll") != "")).alias("n_booked"),
             F.count_if(real).alias("n_real"),
             F.sum(F.when(real, F.col("_abs"))).alias("real_sum"),
         )
     )
 
 
+def account_moments(months: DataFrame) -> DataFrame:
+    """Count, mean and sample deviation of the counted amounts per account, merged from the months:
+    squares inside the months plus squares of the months around the account's mean."""
+    per_account = Window.partitionBy("konto_soll")
+    n, total = F.col("n_counted"), F.col("counted_sum")
+    mean = F.sum(total).over(per_account) / F.sum(n).over(per_account)
+    around = F.col("squares") + n * F.pow(total / n - F.col("mean"), 2)
+    count = F.sum(n)
+    return (
+        months.filter(n > 0).withColumn("mean", mean).withColumn("around", around)
+        .groupBy("konto_soll", "_kontoklasse")
+        .agg(count.alias("konto_count"), F.first("mean").alias("konto_mean"),
+             F.when(count > 1, F.sqrt(F.sum("around") / (count - 1))).otherwise(0.0)
+             .alias("konto_std"))
+    )
+
+
 def _total(table: DataFrame, column: Column) -> Column:
     """A journal-wide number as scalar subquery over the small monthly table."""
     return table.agg(column).scalar()
@@ -45,20 +64,18 @@ def _total(table: DataFrame, column: Column) -> Column:
 def monthly_outliers(months: DataFrame, zscore: float, min_months: int) -> DataFrame:
     """Months of a profit-and-loss account whose sum is far from the account's usual month."""
     per_account = Window.partitionBy("konto_soll")
-    enough = (
-        (_total(months, F.sum("n_counted")) >= MIN_ROWS)
-        & (_total(months, F.sum("n_pnl")) >= MIN_ROWS)
-    )
+    pnl = months.filter(is_pnl(F.col("_kontoklasse")) & F.col("_ym").isNotNull()
+                        & (F.col("n_counted") > 0))
+    enough = _total(pnl, F.sum("n_counted")) >= MIN_ROWS
     std = F.col("std")
     return (
-        months.filter("n_pnl > 0")
-        .withColumns({
-            "mean": F.avg("pnl_sum").over(per_account),
-            "std": F.coalesce(F.stddev_samp("pnl_sum").over(per_account), F.lit(0.0)),
+        pnl.withColumns({
+            "mean": F.avg("counted_sum").over(per_account),
+            "std": F.coalesce(F.stddev_samp("counted_sum").over(per_account), F.lit(0.0)),
             "n_months": F.count(F.lit(1)).over(per_account),
         })
         .filter((F.col("n_months") >= min_months) & (std > 0) & enough)
-        .filter(F.abs(F.col("pnl_sum") - F.col("mean")) / std > zscore)
+        .filter(F.abs(F.col("counted_sum") - F.col("mean")) / std > zscore)
         .select("konto_soll", "_ym")
     )
 
@@ -69,7 +86,7 @@ def months_beside_gaps(months: DataFrame, min_share: float) -> DataFrame:
     Gaps count over the span of the whole journal, so the first or last own month of an account
     qualifies when the journal reaches further.
     """
-    booked = months.filter("n_booked > 0").select("konto_soll", "_ym", "n_booked")
+    booked = months.filter("n_booked > 0 and _ym is not null").select("konto_soll", "_ym", "n_booked")
     first, last = _total(booked, F.min("_ym")), _total(booked, F.max("_ym"))
     span = last - first + 1
     enough = (
@@ -96,23 +113,17 @@ def months_beside_gaps(months: DataFrame, min_share: float) -> DataFrame:
 
 def outlier_months(ctx: Context) -> DataFrame:
     c = ctx.config
-    return settle(
-        monthly_outliers(ctx.account_months, c.monats_entwicklung_zscore,
-                         c.monats_entwicklung_min_monate)
-        .withColumn("spike_month", F.lit(True)), "outlier_months")
-
-
-def gap_months(ctx: Context) -> DataFrame:
-    return settle(
-        months_beside_gaps(ctx.account_months, ctx.config.fehlende_buchung_min_quote)
-        .withColumn("gap_month", F.lit(True)), "gap_months")
+    return monthly_outliers(ctx.account_months, c.monats_entwicklung_zscore,
+                            c.monats_entwicklung_min_monate)
 
 
 def monats_entwicklung(ctx: Context) -> list[Part]:
+    spikes = outlier_months(ctx).withColumn("spike_month", F.lit(True))
     hit = F.col("spike_month") & counted_amounts() & is_pnl(F.col("_kontoklasse"))
-    return [Lookup("spikes", outlier_months(ctx), ["konto_soll", "_ym"], hit)]
+    return [Lookup(spikes, ["konto_soll", "_ym"], hit)]
 
 
 def fehlende_monatsbuchung(ctx: Context) -> list[Part]:
+    gaps = months_beside_gaps(ctx.account_months, ctx.config.fehlende_buchung_min_quote)
     hit = F.col("gap_month") & ~F.col("_is_storno") & (F.col("konto_soll") != "")
-    return [Lookup("gaps", gap_months(ctx), ["konto_soll", "_ym"], hit)]
+    return [Lookup(gaps.withColumn("gap_month", F.lit(True)), ["konto_soll", "_ym"], hit)]

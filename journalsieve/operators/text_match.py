@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from journalsieve.functions.accounts import account_number
 from journalsieve.functions.text import strip
 from journalsieve.operators.context import Context
-from journalsieve.operators.parts import Lookup, Part
+from journalsieve.operators.parts import Part, RowIds
 from journalsieve.operators.quantiles import exact_quantiles
 from journalsieve.operators.text_vectors import pair_cosines, text_vectors
 from journalsieve.workspace import settle
@@ -31,7 +30,7 @@ def eligible_rows(ctx: Context) -> DataFrame:
     """Rows with text and label on an account of the checked range."""
     c = ctx.config
     fallback = next((n for n in ctx.journal.columns if n.lower() == SOURCE_LABEL), None)
-    number = account_number(F.col("konto_soll"))
+    number = F.col("_kontonummer")
     return (
         with_labels(ctx.journal, ctx.labels, fallback)
         .withColumn("label", strip("gt_bezeichnung"))
@@ -55,20 +54,6 @@ def text_label_counts(ctx: Context) -> DataFrame:
     return settle(combos.join(pair_cosines(combos, vectors), ["a", "b"]), "text_label_cosine")
 
 
-def text_konto_match(ctx: Context) -> list[Part]:
-    if ctx.labels is None:
-        return []
-    c = ctx.config
-    account = Window.partitionBy("konto_soll")
-    combos = text_label_counts(ctx).withColumn("bookings", F.sum("n").over(account))
-    unlike = settle(
-        combos.filter((F.col("cosine") < c.text_konto_threshold)
-                      & (F.col("bookings") >= c.text_konto_min_bookings))
-        .select("konto_soll", F.col("a").alias("buchungstext"), F.lit(True).alias("unlike_label"))
-        .distinct(), "unlike_labels")
-    return [Lookup("unlike_labels", unlike, ["konto_soll", "buchungstext"], F.col("unlike_label"))]
-
-
 def rows_with_cosine(ctx: Context, combos: DataFrame) -> DataFrame:
     """Every eligible row with the cosine of its combination."""
     return (
@@ -77,6 +62,23 @@ def rows_with_cosine(ctx: Context, combos: DataFrame) -> DataFrame:
     )
 
 
+def text_konto_match(ctx: Context) -> list[Part]:
+    """Rows whose text is unlike the label, on accounts with enough eligible rows.
+
+    The label may come from the row itself, so the rows are looked up by all three columns.
+    """
+    if ctx.labels is None:
+        return []
+    c = ctx.config
+    combos = text_label_counts(ctx)
+    account = Window.partitionBy("konto_soll")
+    unlike = settle(
+        combos.withColumn("bookings", F.sum("n").over(account))
+        .filter((F.col("cosine") < c.text_konto_threshold)
+                & (F.col("bookings") >= c.text_konto_min_bookings)), "unlike_labels")
+    return [RowIds(rows_with_cosine(ctx, unlike).select("row_id"))]
+
+
 def threshold_sweep(rows: DataFrame, combos: DataFrame) -> DataFrame:
     """Rows below each threshold 0.05 .. 0.90, their share, and the worst rows as examples.
 

@@ -386,7 +386,7 @@ select row_id, dayname(d) as "Wochentag", strftime(d, '%Y-%m') as "Monat",
 
 _oracle("counterpart_account", "select row_id, inferred_konto from counterpart")
 _oracle("join_account_stats", """
-select row_id, n as konto_count, round(hi, 4) as upper_limit, round(lo, 4) as lower_limit
+select row_id, n as konto_count, round(hi, 2) as upper_limit, round(lo, 2) as lower_limit
 from p left join limits using (konto)""")
 _oracle("join_group_nunique", """
 select row_id, n_vouchers, n_months from p join doc_groups using (belegnummer, konto, betrag)

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from journalsieve.functions.accounts import is_pnl, side
+from journalsieve.functions.accounts import is_pnl
 from journalsieve.functions.dates import month_label
 from journalsieve.plans.registry import TESTS
 
@@ -156,7 +156,7 @@ def account_timeline(scored: DataFrame, account: str | None = None) -> DataFrame
 
 def debit_credit_balance(journal: DataFrame, n: int = 15) -> DataFrame:
     """Signed sums of debit and credit rows per account, by difference."""
-    mark = side(F.col("soll_haben"))
+    mark = F.col("_seite")
 
     def total(s: str) -> Column:
         return F.coalesce(F.sum(F.when(mark == s, F.col("_betrag_signed"))), F.lit(0.0))

@@ -54,8 +54,8 @@ def _require(labels: DataFrame, at_least: int, what: str) -> None:
 
 
 def _per_flag(labels: DataFrame) -> DataFrame:
-    flag = F.btrim(F.explode(F.split("anomaly_flags", r"\|")))
-    return labels.select(flag.alias("flag"), "label").filter("flag != ''")
+    named = labels.select(F.explode(F.split("anomaly_flags", r"\|")).alias("flag"), "label")
+    return named.withColumn("flag", F.btrim("flag")).filter("flag != ''")
 
 
 def _tallies() -> list[Column]:

@@ -7,13 +7,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from journalsieve.functions.dates import month_label
 
 
-def monthly_account_sums(journal: DataFrame) -> DataFrame:
-    """Amounts per account and month, two decimals."""
-    return (
-        journal.filter(F.col("_ym").isNotNull() & (F.col("_abs") > 0))
-        .groupBy("konto_soll", "_ym").agg(F.round(F.sum("_abs"), 2).alias("summe"))
-        .select("konto_soll", month_label(F.col("_ym")).alias("monat"), "summe")
-    )
+def monthly_account_sums(months: DataFrame) -> DataFrame:
+    """Amounts per account and month, two decimals, from the account-by-month table."""
+    return months.filter("_ym is not null and n_real > 0").select(
+        "konto_soll", month_label(F.col("_ym")).alias("monat"),
+        F.round("real_sum", 2).alias("summe"))
 
 
 def detect_mandant(journal: DataFrame, file_name: str | None = None) -> DataFrame:

@@ -81,22 +81,19 @@ def labelled_context(spark: SparkSession, sf_dir: str) -> Context:
 
 @query("read_journal_csv")
 def read_journal_csv_pipe(spark, sf_dir):
+    """Pipe-separated files whose lines, headers included, end with stray semicolons."""
     folder = workspace.new_folder(spark, "pipe_export")
-    export = order_export(spark, sf_dir)
-    names = [c for c in export.columns if c != "Mandant"] + ["Mandant"]
-    # the header line of every part file comes from the writer, the stray semicolons from the data
-    line = F.concat(F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-                                       for c in names]), F.lit(";;;"))
-    spark.range(1).select(F.lit("|".join(names) + ";;;").alias("value")) \
-        .write.text(folder + "/a_header")
-    export.select(line.alias("value")).write.text(folder + "/b_rows")
-    return _as_read(read_journal_csv(spark, folder + "/*"))
+    stray = F.concat("Mandant", F.lit(";;;")).alias("Mandant;;;")
+    order_export(spark, sf_dir).select("*", stray).drop("Mandant").write.option(
+        "sep", "|").option("header", True).option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(folder)
+    return _as_read(read_journal_csv(spark, folder))
 
 
 @query("read_journal_csv_semicolon")
 def read_journal_csv_semicolon(spark, sf_dir):
     folder = workspace.new_folder(spark, "semicolon_export")
-    order_export(spark, sf_dir).write.option("sep", ";").option("header", True).csv(folder)
+    order_export(spark, sf_dir).write.option("sep", ";").option("header", True).option(
+        "ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(folder)
     return _as_read(read_journal_csv(spark, folder))
 
 
@@ -249,11 +246,11 @@ def counterpart_account(spark, sf_dir):
 
 @query("join_account_stats")
 def join_account_stats(spark, sf_dir):
-    journal = journal_of(spark, sf_dir)
-    limits = workspace.settle(amounts.account_limits(journal, 3.0, 5), "account_limits")
-    return journal.select("row_id", "konto_soll").join(limits, "konto_soll", "left").select(
-        "row_id", "konto_count", F.round("upper_limit", 4).alias("upper_limit"),
-        F.round("lower_limit", 4).alias("lower_limit"))
+    context = context_of(spark, sf_dir)
+    limits = amounts.account_limits(context.account_months, 3.0, 5)
+    return context.journal.select("row_id", "konto_soll").join(limits, "konto_soll", "left").select(
+        "row_id", "konto_count", F.round("upper_limit", 2).alias("upper_limit"),
+        F.round("lower_limit", 2).alias("lower_limit"))
 
 
 @query("join_group_nunique")
@@ -433,7 +430,7 @@ def validation_warnings(spark, sf_dir):
 
 @query("monthly_account_sums")
 def monthly_account_sums(spark, sf_dir):
-    return history.monthly_account_sums(journal_of(spark, sf_dir))
+    return history.monthly_account_sums(context_of(spark, sf_dir).account_months)
 
 
 def _record(run: Analysis, file: str, run_date: str) -> DataFrame:
@@ -461,7 +458,7 @@ def last_run(spark, sf_dir):
 def compare_runs(spark, sf_dir):
     sides = [
         {"flags": run.flag_counts(), "statistics": run.statistics(),
-         "months": history.monthly_account_sums(run.journal)}
+         "months": history.monthly_account_sums(run.context.account_months)}
         for run in (shared_run(spark, sf_dir), shared_run(spark, sf_dir, EARLIER))
     ]
     return history.compare_runs(*sides)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from journalsieve.workspace import spread
+
 _MAPPING = """
 with b as (
   select o_orderkey as row_id, o_custkey as ck, o_orderdate as d, o_orderpriority as pr,
@@ -50,7 +52,7 @@ def order_postings(spark: SparkSession, sf_dir: str, before: str | None = None)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     if before:
         orders = orders.filter(F.col("o_orderdate") < F.lit(before).cast("timestamp_ntz"))
-    return spark.sql(_MAPPING, orders=orders)
+    return spark.sql(_MAPPING, orders=spread(orders))
 
 
 def _amount_text(cents: F.Column, row_id: F.Column) -> F.Column:
