@@ -77,12 +77,13 @@ def _consecutive(groups: DataFrame, keys: list[str], low: int, high: int,
     })
 
 
-def _pair_members(compared: DataFrame, keys: list[str]) -> DataFrame:
-    """Both rows of every close pair, read off the same ordered window."""
+def _pair_members(compared: DataFrame, keys: list[str], also: Column | None = None) -> DataFrame:
+    """Both rows of every close pair, read off the same ordered window; ``also`` adds rows."""
     order = Window.partitionBy(*keys).orderBy("_datum", "row_id")
+    member = F.col("close") | F.col("next_close")
     return (
         compared.withColumn("next_close", F.lead("close", 1, False).over(order))
-        .filter("close or next_close").select("row_id")
+        .filter(member if also is None else member | also).select("row_id")
     )
 
 
@@ -98,21 +99,21 @@ def _alike_members(ctx: Context, compared: DataFrame) -> DataFrame:
 
 
 def near_duplicate(ctx: Context) -> list[Part]:
+    """Undated rows repeated under several vouchers, and dated rows a few days apart."""
     c = ctx.config
-    groups = near_duplicate_groups(ctx)
     members = Window.partitionBy(*_SAME_POSTING)
     undated = F.col("_datum").isNull()
-    counted = groups.withColumns({
+    groups = near_duplicate_groups(ctx).withColumns({
         "n_undated": F.count_if(undated).over(members),
         "undated_vouchers": distinct_over(F.when(undated, F.col("_beleg_id")), members),
     })
-    repeated_undated = counted.filter(
-        undated & (F.col("n_undated") >= 2) & (F.col("undated_vouchers") > 1)).select("row_id")
+    repeated = undated & (F.col("n_undated") >= 2) & (F.col("undated_vouchers") > 1)
     compared = _consecutive(groups, _SAME_POSTING, 1, c.near_duplicate_days, ["_beleg_id"])
-    dated = (_alike_members(ctx, compared) if _compares_texts(ctx)
-             else _pair_members(compared, _SAME_POSTING))
-    # undated rows never close a pair, so the two sets are disjoint
-    return [RowIds(repeated_undated), RowIds(dated)]
+    if _compares_texts(ctx):
+        # undated rows never close a pair, so the two sets are disjoint
+        return [RowIds(groups.filter(repeated).select("row_id")),
+                RowIds(_alike_members(ctx, compared))]
+    return [RowIds(_pair_members(compared, _SAME_POSTING, also=repeated))]
 
 
 # --- repeated document numbers ---------------------------------------------------------------

@@ -44,11 +44,9 @@ def comparison_month(journal: DataFrame) -> Column:
     dated = F.col("_ym").isNotNull()
     present = journal.agg(
         F.bool_or(dated & entered.isNotNull()).alias("entered"),
-        F.bool_or(dated & period.isNotNull()).alias("period"))
-    return (
-        F.when(present.select("entered").scalar(), entered)
-        .when(present.select("period").scalar(), period)
-    )
+        F.bool_or(dated & period.isNotNull()).alias("period"),
+    ).select(F.struct("entered", "period")).scalar()
+    return F.when(present["entered"], entered).when(present["period"], period)
 
 
 def rechnungsdatum_periode(ctx: Context) -> list[Part]:

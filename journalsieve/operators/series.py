@@ -56,9 +56,10 @@ def account_moments(months: DataFrame) -> DataFrame:
     )
 
 
-def _total(table: DataFrame, column: Column) -> Column:
-    """A journal-wide number as scalar subquery over the small monthly table."""
-    return table.agg(column).scalar()
+def _facts(table: DataFrame, **figures: Column) -> Column:
+    """Journal-wide figures as one scalar subquery over the monthly table."""
+    one_row = table.agg(*[column.alias(name) for name, column in figures.items()])
+    return one_row.select(F.struct(*figures)).scalar()
 
 
 def monthly_outliers(months: DataFrame, zscore: float, min_months: int) -> DataFrame:
@@ -66,7 +67,7 @@ def monthly_outliers(months: DataFrame, zscore: float, min_months: int) -> DataF
     per_account = Window.partitionBy("konto_soll")
     pnl = months.filter(is_pnl(F.col("_kontoklasse")) & F.col("_ym").isNotNull()
                         & (F.col("n_counted") > 0))
-    enough = _total(pnl, F.sum("n_counted")) >= MIN_ROWS
+    enough = _facts(pnl, rows=F.sum("n_counted"))["rows"] >= MIN_ROWS
     std = F.col("std")
     return (
         pnl.withColumns({
@@ -87,13 +88,11 @@ def months_beside_gaps(months: DataFrame, min_share: float) -> DataFrame:
     qualifies when the journal reaches further.
     """
     booked = months.filter("n_booked > 0 and _ym is not null").select("konto_soll", "_ym", "n_booked")
-    first, last = _total(booked, F.min("_ym")), _total(booked, F.max("_ym"))
+    facts = _facts(booked, rows=F.sum("n_booked"), used=F.count_distinct("_ym"),
+                   first=F.min("_ym"), last=F.max("_ym"))
+    first, last = facts["first"], facts["last"]
     span = last - first + 1
-    enough = (
-        (_total(booked, F.sum("n_booked")) >= MIN_ROWS)
-        & (_total(booked, F.count_distinct("_ym")) >= MIN_MONTHS)
-        & (span >= MIN_SPAN)
-    )
+    enough = ((facts["rows"] >= MIN_ROWS) & (facts["used"] >= MIN_MONTHS) & (span >= MIN_SPAN))
     active_from = F.greatest(F.lit(MIN_MONTHS), F.floor(span * F.lit(min_share)))
     per_account = Window.partitionBy("konto_soll")
     by_month = per_account.orderBy("_ym")
