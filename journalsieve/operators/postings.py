@@ -11,7 +11,6 @@ from journalsieve.operators.context import Context
 from journalsieve.operators.parts import Part, Predicate
 from journalsieve.schema import GENERIC_TEXTS
 
-_PERIOD = r"\b(\d{1,2})[/.](\d{4})\b"
 _MAX_MONTHS_APART = 2
 
 
@@ -55,8 +54,4 @@ def rechnungsdatum_periode(ctx: Context) -> list[Part]:
 
 
 def buchungstext_periode(ctx: Context) -> list[Part]:
-    text = F.col("buchungstext")
-    month = F.regexp_extract(text, _PERIOD, 1).try_cast("int")
-    year = F.regexp_extract(text, _PERIOD, 2).try_cast("int")
-    named = year * 12 + month - 1
-    return [Predicate(month.between(1, 12) & (named != F.col("_ym")) & ~F.col("_is_storno"))]
+    return [Predicate((F.col("_ym_text") != F.col("_ym")) & ~F.col("_is_storno"))]

@@ -14,6 +14,7 @@ from journalsieve.workspace import spread
 
 _REVERSAL_TEXT = r"storno|stornierung|r[uü]ckbuchung|gutschrift.*storn"
 _CORRECTION_TEXT = r"\bkorrektur\b"
+_TEXT_PERIOD = r"\b\d{1,2}[/.]\d{4}\b"
 
 
 def with_canonical_columns(raw: DataFrame) -> DataFrame:
@@ -44,21 +45,31 @@ def is_reversal_text(text: Column, amount: Column) -> Column:
         (amount < 0) & F.lower(text).rlike(_CORRECTION_TEXT))
 
 
-def voucher_id(journal: DataFrame) -> Column:
+def named_month(period: Column) -> Column:
+    """Month index of ``m/yyyy`` or ``mm.yyyy``; NULL without a period or beyond December."""
+    month = F.substring_index(F.translate(period, ".", "/"), "/", 1).try_cast("int")
+    return F.when((period != "") & month.between(1, 12),
+                  F.right(period, F.lit(4)).try_cast("int") * 12 + month - 1)
+
+
+def has_system_voucher() -> Column:
+    return ~F.lower(strip("dvbelegnummer")).isin(BLANK_WORDS)
+
+
+def with_voucher_id(journal: DataFrame) -> DataFrame:
     """The system voucher number if any row of the journal has one, else the document number.
 
-    The journal-wide switch is a scalar subquery: one aggregated row, no join.
+    The search for such a row ends at the first one.  With the answer known, the id is a plain
+    column, so filters and pruning reach the scan through it.
     """
-    system = strip("dvbelegnummer")
-    present = ~F.lower(system).isin(BLANK_WORDS)
-    any_present = journal.agg(F.bool_or(present)).scalar()
-    return F.when(F.coalesce(any_present, F.lit(False)), system).otherwise(strip("belegnummer"))
+    any_present = not journal.filter(has_system_voucher()).isEmpty()
+    chosen = "dvbelegnummer" if any_present else "belegnummer"
+    return journal.withColumn("_beleg_id", strip(chosen))
 
 
 def with_typed_columns(journal: DataFrame) -> DataFrame:
-    """Amount, date, class, reversal, voucher and sign columns."""
+    """Amount, date, class, reversal and sign columns: projections only, one pass."""
     amount, text = F.col("_betrag"), F.col("buchungstext")
-    voucher = voucher_id(journal)
     typed = parse_amounts(journal, {"_betrag": "betrag"})
     typed = parse_dates(typed, {"_datum": "datum", "_erfasst": "erfassungsdatum",
                                 "_periode": "buchungsperiode"})
@@ -67,7 +78,6 @@ def with_typed_columns(journal: DataFrame) -> DataFrame:
         .withColumns({
             "_betrag": F.coalesce(amount, F.lit(0.0)),
             "_kontonummer": account_number(F.col("konto_soll")),
-            "_beleg_id": voucher,
             **{c: strip(c) for c in
                ("konto_soll", "konto_haben", "kreditor", "belegnummer", "buchungstext")},
             "_ym": month_index(F.col("_datum")),
@@ -79,13 +89,15 @@ def with_typed_columns(journal: DataFrame) -> DataFrame:
             "_kontoklasse": account_class(F.col("_kontonummer")),
             "_has_reference": has_reversal_reference(F.col("generalumgekehrt")),
             "_seite": side(F.col("soll_haben")),
+            "_period_text": F.regexp_extract("buchungstext", _TEXT_PERIOD, 0),
             "_kreditor_canonical": F.col("kreditor"),
         })
         .withColumns({
             "_is_storno": F.col("_has_reference") | is_reversal_text(text, amount),
             "_betrag_signed": signed_amount(amount, F.col("_kontoklasse"), F.col("_seite")),
+            "_ym_text": named_month(F.col("_period_text")),
         })
-        .drop("_erfasst", "_periode")
+        .drop("_erfasst", "_periode", "_period_text")
     )
 
 
@@ -109,10 +121,10 @@ def counterpart_accounts(journal: DataFrame) -> DataFrame:
         "row_id", F.col("other_konto").alias("inferred_konto"))
 
 
-def with_counterparts(journal: DataFrame) -> DataFrame:
+def with_counterparts(journal: DataFrame, inferred: DataFrame) -> DataFrame:
     """Fill empty counter accounts; joined on the unique row id, so no key can run hot."""
     return (
-        journal.join(counterpart_accounts(journal), "row_id", "left")
+        journal.join(inferred, "row_id", "left")
         .withColumn("_konto_haben_inferred", F.col("inferred_konto").isNotNull())
         .withColumn("konto_haben", F.coalesce("inferred_konto", "konto_haben"))
         .drop("inferred_konto")
@@ -128,7 +140,7 @@ def canonical_vendors(journal: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def prepare(raw: DataFrame, vendor_names: DataFrame | None = None) -> DataFrame:
-    """The full typed journal.  ``raw`` carries canonical names (see ``map_columns``)."""
-    journal = with_counterparts(with_typed_columns(with_canonical_columns(raw)))
-    return canonical_vendors(journal, vendor_names) if vendor_names is not None else journal
+def prepare(raw: DataFrame) -> DataFrame:
+    """The typed journal without counter accounts.  ``raw`` carries canonical names (see
+    ``map_columns``)."""
+    return with_voucher_id(with_typed_columns(with_canonical_columns(raw)))

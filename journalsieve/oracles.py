@@ -538,7 +538,7 @@ _CTES["reviews"] = """
 select mandant, row_id as row_index, belegnummer, round_even(score, 2) as anomaly_score,
   anomaly_flags, case when row_id % 5 < 2 then 'tp' when row_id % 5 < 4 then 'fp' else 'unsure' end
   as label, 'QS' as pruefer, '2001-09-01T08:00:00' as labeled_at
-from out where susp and row_id % 10 <> 9"""
+from out where row_id % 10 <> 9"""
 _CTES["flag_reviews"] = """
 select trim(unnest(string_split(anomaly_flags, '|'))) as flag, label from reviews"""
 _CTES["tallies"] = """

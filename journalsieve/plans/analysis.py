@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from journalsieve.config import AnalysisConfig
 from journalsieve.operators.context import Context
-from journalsieve.operators.prepare import canonical_vendors, prepare
+from journalsieve.operators.prepare import (
+    canonical_vendors, counterpart_accounts, with_canonical_columns, with_counterparts,
+    with_typed_columns, with_voucher_id,
+)
 from journalsieve.operators.text_vectors import text_vectors
 from journalsieve.operators.vendor_clusters import vendor_clusters
 from journalsieve.plans import flags, report
@@ -40,7 +43,9 @@ class Analysis:
 
     @cached_property
     def journal(self) -> DataFrame:
-        journal = settle(prepare(self.raw), "journal")
+        """The typed journal: the raw text is read and parsed once."""
+        typed = with_typed_columns(with_canonical_columns(self.raw))
+        journal = with_voucher_id(settle(typed, "journal"))
         if self.text_similarity and self.config.kreditor_clustering_enabled:
             names = journal.filter("kreditor != ''").groupBy("kreditor").agg(
                 F.min("row_id").alias("first_row"))
@@ -48,6 +53,11 @@ class Analysis:
             journal = settle(canonical_vendors(journal, merged), "journal")
         return journal
 
+    @cached_property
+    def prepared(self) -> DataFrame:
+        """The typed journal with counter accounts filled in, as a lazy plan."""
+        return with_counterparts(self.journal, counterpart_accounts(self.journal))
+
     @cached_property
     def context(self) -> Context:
         vectors = None
@@ -61,8 +71,13 @@ class Analysis:
         return flags.with_flags(self.context, enabled)
 
     def score(self, enabled: Iterable[str] | None = None) -> DataFrame:
-        """Flags and score as a lazy plan."""
-        return flags.with_score(self.flagged(enabled), self.config.custom_weights)
+        """Flags, score and counter accounts as a lazy plan.
+
+        The counter accounts are joined here and not while preparing: both joins on the row id share
+        one shuffle of the journal.
+        """
+        scored = flags.with_score(self.flagged(enabled), self.config.custom_weights)
+        return with_counterparts(scored, counterpart_accounts(self.journal))
 
     @cached_property
     def scored(self) -> DataFrame:

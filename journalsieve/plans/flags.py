@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from journalsieve.operators.context import Context
 from journalsieve.operators.parts import Lookup, Part, Predicate, RowIds
 from journalsieve.plans.registry import BY_NAME, TESTS, FlagTest
+from journalsieve.schema import EXPORT_COLUMNS
+
+_KEPT = {"row_id", "mandant", *EXPORT_COLUMNS}
 
 
 def _rows_of(ctx: Context, part: Part) -> DataFrame:
@@ -35,7 +38,8 @@ def _or(hits: list[Column]) -> Column:
 
 
 def with_flags(ctx: Context, enabled: Iterable[str] | None = None) -> DataFrame:
-    """The journal with one boolean column per test; disabled tests are false throughout.
+    """One boolean column per test beside the exported and typed columns of the journal; disabled
+    tests are false throughout.  Source columns no later step reads are not carried along.
 
     Row conditions become a projection, lookups are joined on their keys.  The tests that deliver
     row ids are united, folded to one row per id and joined once on the unique id: a single shuffle
@@ -60,8 +64,8 @@ def with_flags(ctx: Context, enabled: Iterable[str] | None = None) -> DataFrame:
         folded = tagged.groupBy("row_id").agg(*[
             F.bool_or(F.col("mark") == mark).alias(mark) for mark, _ in listed])
         df = df.join(folded, "row_id", "left")
-    return df.select(*[F.col(c) for c in ctx.journal.columns],
-                     *[_or(hits[t.name]).alias(t.column) for t in TESTS])
+    kept = [c for c in ctx.journal.columns if c in _KEPT or c.startswith("_")]
+    return df.select(*kept, *[_or(hits[t.name]).alias(t.column) for t in TESTS])
 
 
 def merge_flags(journal: DataFrame, found: dict[str, DataFrame]) -> DataFrame:

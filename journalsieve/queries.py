@@ -110,7 +110,7 @@ def clean_null_literals(spark, sf_dir):
 
 @query("prepared_parquet")
 def prepared_parquet(spark, sf_dir):
-    journal = workspace.settle(prepare.prepare(raw_journal(spark, sf_dir)), "journal")
+    journal = workspace.settle(Analysis(raw_journal(spark, sf_dir)).prepared, "prepared")
     return journal.select(
         "row_id", "_betrag", "_abs", F.date_format("_datum", "yyyy-MM-dd").alias("datum"),
         "_kontoklasse", "_is_storno", "_beleg_id", "_betrag_signed", "konto_soll", "konto_haben",
@@ -216,7 +216,7 @@ def is_reversal(spark, sf_dir):
 
 @query("voucher_id")
 def voucher_id(spark, sf_dir):
-    return typed_journal(spark, sf_dir).select("row_id", "_beleg_id")
+    return prepare.prepare(raw_journal(spark, sf_dir)).select("row_id", "_beleg_id")
 
 
 @query("signed_amount")
@@ -241,7 +241,7 @@ def derive_dims(spark, sf_dir):
 
 @query("counterpart_account")
 def counterpart_account(spark, sf_dir):
-    return prepare.counterpart_accounts(typed_journal(spark, sf_dir))
+    return prepare.counterpart_accounts(journal_of(spark, sf_dir))
 
 
 @query("join_account_stats")
@@ -465,13 +465,12 @@ def compare_runs(spark, sf_dir):
 
 
 def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every exported row with a rating; one row in ten is left unrated."""
-    run = shared_run(spark, sf_dir)
+    """Every scored row with a rating; one row in ten is left unrated."""
     five = F.col("row_id") % 5
     rating = (
         F.when(F.col("row_id") % 10 == 9, "").when(five < 2, "TP ").when(five < 4, "fp")
         .otherwise("unsure"))
-    return run.export().withColumns({
+    return report.export_projection(scored_of(spark, sf_dir)).withColumns({
         "bewertung": rating, "mandant": F.concat(F.lit("1"), (F.col("row_id") % 3).cast("string"))})
 
 
@@ -525,7 +524,7 @@ def similarity_percentiles(spark, sf_dir):
 @query("text_vectors")
 def text_vectors_of_turns(spark, sf_dir):
     """Vectors of whole conversation turns, keyed by turn."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+    turns = workspace.spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select(
         F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "text")
     return text_vectors.text_vectors(turns, "text", "turn_id").select(
         F.col("text").alias("turn_id"), "gram", F.round("weight", 6).alias("weight"))

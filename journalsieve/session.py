@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the plans are built from many columns; recording the call site of each doubles that time
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

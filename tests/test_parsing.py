@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from journalsieve.functions.amounts import parse_amounts
 from journalsieve.functions.dates import parse_dates, whole_days
 from journalsieve.functions.text import clean_nulls, strip
-from journalsieve.operators.prepare import prepare
+from journalsieve.operators.prepare import counterpart_accounts, prepare, with_counterparts
 from journalsieve.sources.journal_csv import read_journal_csv, resolve_headers, sniff
 
 AMOUNTS = {
@@ -119,6 +119,7 @@ def test_voucher_switch_is_journal_wide(raw):
 ])
 def test_counterparts(raw, rows, expected):
     journal = prepare(raw([{**r, "belegnummer": "V"} for r in rows]))
+    journal = with_counterparts(journal, counterpart_accounts(journal))
     assert {r.row_id: r.konto_haben for r in journal.collect()} == expected
 
 
