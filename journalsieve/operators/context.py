@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from functools import cached_property
+import threading
+from typing import Any, Callable
 
 from pyspark.sql import DataFrame
 
@@ -14,29 +14,45 @@ from journalsieve.operators.stats import Moments, class_moments, class_quartiles
 from journalsieve.workspace import settle
 
 
-@dataclass
 class Context:
-    journal: DataFrame
-    config: AnalysisConfig = field(default_factory=AnalysisConfig)
-    # optional term vectors of the posting texts (text, gram, weight), see text_vectors
-    vectors: DataFrame | None = None
-    # optional account labels (konto_soll, gt_bezeichnung)
-    labels: DataFrame | None = None
-
-    @cached_property
+    """``vectors`` are optional term vectors of the posting texts (text, gram, weight), ``labels``
+    optional account labels (konto_soll, gt_bezeichnung).
+
+    The tests of a run are set up concurrently; what they share is computed by whoever asks first.
+    """
+
+    def __init__(self, journal: DataFrame, config: AnalysisConfig | None = None,
+                 vectors: DataFrame | None = None, labels: DataFrame | None = None):
+        self.journal, self.config = journal, config or AnalysisConfig()
+        self.vectors, self.labels = vectors, labels
+        self._shared: dict[str, Any] = {}
+        self._guard = threading.Lock()
+        self._locks: dict[str, threading.Lock] = {}
+
+    def _once(self, name: str, compute: Callable[[], Any]) -> Any:
+        with self._guard:
+            lock = self._locks.setdefault(name, threading.Lock())
+        with lock:
+            if name not in self._shared:
+                self._shared[name] = compute()
+            return self._shared[name]
+
+    @property
     def moments(self) -> dict[str, Moments]:
         """Count, mean and deviation per account class: at most five aggregated rows."""
-        return class_moments(self.journal.filter(counted_amounts()))
+        return self._once("moments", lambda: class_moments(self.journal.filter(counted_amounts())))
 
     @property
     def overall(self) -> Moments:
         return self.moments.get("ALL", Moments(0, 0.0, 0.0))
 
-    @cached_property
+    @property
     def quartiles(self) -> dict[str, tuple[int, float, float]]:
-        return class_quartiles(self.journal.filter(counted_amounts()))
+        return self._once(
+            "quartiles", lambda: class_quartiles(self.journal.filter(counted_amounts())))
 
-    @cached_property
+    @property
     def account_months(self) -> DataFrame:
         """One row per account and month, written once; both time series tests read it."""
-        return settle(account_months(self.journal), "account_months")
+        return self._once(
+            "account_months", lambda: settle(account_months(self.journal), "account_months"))

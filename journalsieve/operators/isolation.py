@@ -8,9 +8,11 @@ is the exact quantile of the scores.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from journalsieve.operators.context import Context
@@ -18,6 +20,9 @@ from journalsieve.operators.parts import Part, RowIds, counted_amounts
 from journalsieve.operators.quantiles import exact_quantiles
 from journalsieve.workspace import settle
 
+# the helpers travel with their tasks, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TREES, SAMPLE, SEED, MIN_ROWS, TEXT_DIMS = 100, 256, 42, 50, 10
 _POOL = TREES * SAMPLE
 _TREE = "tree int, feature array<int>, cut array<double>, child array<int>, depth array<double>"
@@ -85,10 +90,13 @@ def forest(table: DataFrame, names: list[str], n_rows: int) -> list:
     share = min(1.0, (_POOL + 6 * math.sqrt(_POOL)) / n_rows)
     pick = F.pmod(F.xxhash64("row_id", F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)
     pool = table.withColumn("pick", pick).filter(F.col("pick") < share).orderBy("pick").limit(_POOL)
+    # of the rows of the pool each tree only looks at slightly more than it takes
+    look = (SAMPLE + 6 * math.sqrt(SAMPLE)) / min(n_rows, _POOL)
+    draw = F.pmod(F.xxhash64("row_id", "tree"), F.lit(1 << 40)) / float(1 << 40)
     order = Window.partitionBy("tree").orderBy("draw", "row_id")
     samples = (
         pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-        .withColumn("draw", F.xxhash64("row_id", "tree"))
+        .withColumn("draw", draw).filter(F.col("draw") < look)
         .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE)
     )
     return samples.groupBy("tree").applyInPandas(_grow(names), _TREE).collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from journalsieve.functions.text import strip
 from journalsieve.operators.context import Context
@@ -71,11 +71,11 @@ def text_konto_match(ctx: Context) -> list[Part]:
         return []
     c = ctx.config
     combos = text_label_counts(ctx)
-    account = Window.partitionBy("konto_soll")
+    booked = combos.groupBy("konto_soll").agg(F.sum("n").alias("bookings")).filter(
+        F.col("bookings") >= c.text_konto_min_bookings)
     unlike = settle(
-        combos.withColumn("bookings", F.sum("n").over(account))
-        .filter((F.col("cosine") < c.text_konto_threshold)
-                & (F.col("bookings") >= c.text_konto_min_bookings)), "unlike_labels")
+        combos.filter(F.col("cosine") < c.text_konto_threshold)
+        .join(booked, "konto_soll", "left_semi"), "unlike_labels")
     return [RowIds(rows_with_cosine(ctx, unlike).select("row_id"))]
 
 

@@ -10,14 +10,20 @@ an unbounded group and the pairs themselves are never written out.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from journalsieve.operators.components import connected_components
 from journalsieve.operators.text_vectors import text_vectors
 from journalsieve.workspace import settle
 
+# the helpers travel with their tasks, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _BLOCK = 256
 _SLACK = 1e-9
 

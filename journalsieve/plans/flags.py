@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Iterable
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, functions as F
 
 from journalsieve.operators.context import Context
@@ -12,6 +14,7 @@ from journalsieve.operators.parts import Lookup, Part, Predicate, RowIds
 from journalsieve.plans.registry import BY_NAME, TESTS, FlagTest
 from journalsieve.schema import EXPORT_COLUMNS
 
+SETUP_JOBS = 4
 _KEPT = {"row_id", "mandant", *EXPORT_COLUMNS}
 
 
@@ -48,8 +51,12 @@ def with_flags(ctx: Context, enabled: Iterable[str] | None = None) -> DataFrame:
     wanted = {t.name for t in TESTS} if enabled is None else set(enabled)
     df, listed = ctx.journal, []
     hits: dict[str, list[Column]] = {t.name: [] for t in TESTS}
-    for test in TESTS:
-        for part in test.rule(ctx) if test.name in wanted else []:
+    active = [t for t in TESTS if t.name in wanted]
+    # the small jobs behind the tests are independent of each other
+    with ThreadPoolExecutor(SETUP_JOBS) as pool:
+        parts = list(pool.map(inheritable_thread_target(lambda t: t.rule(ctx)), active))
+    for test, found in zip(active, parts):
+        for part in found:
             if isinstance(part, RowIds):
                 mark = f"_listed_{len(listed)}"
                 listed.append((mark, part.rows))

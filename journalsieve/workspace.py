@@ -46,10 +46,10 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """An input of fewer splits than cores (one small file) is dealt out over the cores once.
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan of fewer splits than cores (one small file) is dealt out over the cores once.
 
     Inputs of cluster size have more splits than cores and pass through untouched.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
