@@ -54,7 +54,8 @@ def with_flags(ctx: Context, enabled: Iterable[str] | None = None) -> DataFrame:
     active = [t for t in TESTS if t.name in wanted]
     # the small jobs behind the tests are independent of each other
     with ThreadPoolExecutor(SETUP_JOBS) as pool:
-        parts = list(pool.map(inheritable_thread_target(lambda t: t.rule(ctx)), active))
+        in_session = inheritable_thread_target(ctx.journal.sparkSession)
+        parts = list(pool.map(in_session(lambda t: t.rule(ctx)), active))
     for test, found in zip(active, parts):
         for part in found:
             if isinstance(part, RowIds):
