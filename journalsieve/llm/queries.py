@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from journalsieve.llm import bpe, mixing, neighbours, simhash, sketch
-from journalsieve.llm.common import table
+from journalsieve.llm import bpe, html_cut, language, mixing, neighbours, simhash, sketch, warc_zip
+from journalsieve.llm.common import fold, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -28,6 +28,13 @@ def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(docs, "doc_id", 5) == 0
+    model = language.fit(docs, ~held_out)
+    return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def op7_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -37,5 +44,14 @@ def op8_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_trie, op2_scaled_sketch, op4_poisson_mix, op7_simhash_gray,
-                                   op8_block_join)}
+def op9_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_cut.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_zip.round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_trie, op2_scaled_sketch, op4_poisson_mix, op6_centroids,
+                                   op7_simhash_gray, op8_block_join, op9_min_cut, op10_warc_zip)}
