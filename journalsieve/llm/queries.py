@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from journalsieve.llm import bpe, html_cut, language, mixing, neighbours, simhash, sketch, warc_zip
+from journalsieve.llm import bpe, html_cut, language, mixing, neighbours, pii, simhash, sketch, warc_zip
 from journalsieve.llm.common import fold, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -24,6 +24,14 @@ def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "near_edited", "near_next", "contained_edited", "contained_next")
 
 
+def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}")
+              for k, kind in enumerate(pii.KINDS)]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.spans_text("base"), 256).alias("base_sha256"),
+                        pii.spans_text("found").alias("spans"))
+
+
 def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -53,5 +61,5 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_trie, op2_scaled_sketch, op4_poisson_mix, op6_centroids,
-                                   op7_simhash_gray, op8_block_join, op9_min_cut, op10_warc_zip)}
+QUERIES = {f.__name__: f for f in (op1_bpe_trie, op2_scaled_sketch, op3_bootstrapped_pii, op4_poisson_mix,
+                                   op6_centroids, op7_simhash_gray, op8_block_join, op9_min_cut, op10_warc_zip)}
