@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from journalsieve.llm import bpe, html_cut, language, mixing, neighbours, pii, simhash, sketch, warc_zip
+from journalsieve.llm import bpe, html_cut, language, mixing, neighbours, pii, pitman_yor, simhash, sketch, warc_zip
 from journalsieve.llm.common import fold, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -36,6 +36,11 @@ def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pitman_yor.score_texts(docs, fold(docs, "doc_id", 7) == 2)
+
+
 def op6_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(docs, "doc_id", 5) == 0
@@ -62,4 +67,5 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe_trie, op2_scaled_sketch, op3_bootstrapped_pii, op4_poisson_mix,
-                                   op6_centroids, op7_simhash_gray, op8_block_join, op9_min_cut, op10_warc_zip)}
+                                   op5_pitman_yor, op6_centroids, op7_simhash_gray, op8_block_join, op9_min_cut,
+                                   op10_warc_zip)}
