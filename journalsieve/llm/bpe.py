@@ -232,29 +232,30 @@ _OUTPUTS = {
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-                  outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+                  outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), keep: tuple[str, ...] = ()) -> DataFrame:
     """Encode every whole text with the vocabulary file at ``path`` and decode the ids again.
 
     ``outputs`` chooses among n_tokens, ids, decoded, ids_sha256, decoded_sha256.  A null text counts as
     empty (no tokens, empty strings); null ids and repeated rows pass through; an empty table gives an
-    empty table; other columns are left out.
+    empty table; of the other columns only those in ``keep`` pass through.
     """
     chosen = {name: _OUTPUTS[name] for name in outputs}
-    source = docs.select(docs[id_col].alias(id_col), docs[text_col].cast("string").alias("__text"))
-    id_type = source.schema[id_col].dataType.simpleString()
+    passed = [id_col, *[k for k in keep if k not in (id_col, *chosen)]]
+    source = docs.select(docs[text_col].cast("string").alias("__text"), *[docs[c] for c in passed])
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(0).to_pylist()]
             columns: list[list] = [[] for _ in chosen]
             for ids in coder.encode(texts):
                 text = functools.cache(functools.partial(coder.decode, ids))
                 for column, (_, _, make) in zip(columns, chosen.values()):
                     column.append(make(ids, text))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, t) for c, (_, t, _) in zip(columns, chosen.values())]],
-                names=[id_col, *chosen])
+                [*batch.columns[1:], *[pa.array(c, t) for c, (_, t, _) in zip(columns, chosen.values())]],
+                names=[*passed, *chosen])
 
     return source.mapInArrow(run, ", ".join(
-        [f"`{id_col}` {id_type}", *[f"{n} {t}" for n, (t, _, _) in chosen.items()]]))
+        [*types, *[f"{n} {t}" for n, (t, _, _) in chosen.items()]]))

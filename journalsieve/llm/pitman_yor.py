@@ -43,13 +43,13 @@ UPPER, SEQUENCE = 3, b" "
 class Settings:
     """Bytes of a sequence, discount and strength, Gibbs rounds and those before averaging, sizes, seed."""
 
-    order: int = 7
-    discount: float = 0.6
+    order: int = 6
+    discount: float = 0.5
     strength: float = 1.0
     rounds: int = 5
     burn_in: int = 2
     passes: int = 2  # between the levels above and below
-    block_bytes: int = 16 << 20
+    block_bytes: int = 32 << 20
     partition_rows: int = 500_000
     seed: int = 0
 
