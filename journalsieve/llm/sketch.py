@@ -124,13 +124,15 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     links = neighbours(rows.select("id", F.char_length("text").cast("long").alias("size")))
+    unnamed, rows = rows.filter("id is null"), rows.filter("id is not null")
     sent = with_sketch(rows.join(links, "id"), "text", "sketch", words, fraction)
     sent = (sent.select("before", F.struct(F.substring("text", F.lit(1), F.col("half")).alias("text"),
                                            "sketch").alias("next"))
             .groupBy("before").agg(F.min("next").alias("next")))
     size = F.char_length("text")
-    joined = (rows.join(sent, rows["id"] == sent["before"], "left")
-              .withColumn("n_chars", size.cast("long")).withColumn("half", F.floor(size / 2).cast("int"))
+    joined = rows.join(sent, rows["id"] == sent["before"], "left").select("id", "text", "next")
+    joined = joined.unionByName(unnamed, allowMissingColumns=True)
+    joined = (joined.withColumn("n_chars", size.cast("long")).withColumn("half", F.floor(size / 2).cast("int"))
               .withColumn("edited", F.concat(
                   F.substring("text", F.lit(1), size - F.col("half")),
                   F.coalesce(F.substring(F.col("next.text"), F.lit(1), F.col("half")), F.lit("")))))
