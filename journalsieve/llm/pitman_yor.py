@@ -14,13 +14,14 @@ bytes of a restaurant are seated side by side, given each other's tables of the
 Contexts that share their last three bytes are seated in one partition with all their descendants, as
 many partitions as the data need.  What lies above, at most 256^3 sequences whatever the corpus, is
 seated in one task.  Words (for the additive base score) and sequences are counted map-side.  Texts are
-dealt into blocks of bounded size for scoring, and each block gets the counts and probabilities of just
-the words and sequences it holds.  No table of the corpus is broadcast.
+dealt into blocks of bounded size for scoring; each block asks the shards of the model for just the words
+and sequences it holds, in packed lists.  No table of the corpus is broadcast.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,6 +38,8 @@ END = b"\n"
 #: Bytes of the sequences whose number the alphabet bounds; what the key of a sequence begins with, which
 #: no word does.
 UPPER, SEQUENCE = 3, b" "
+#: Counted sequences a task holds before it sums equal ones again.
+MERGED = 3_000_000
 
 
 @dataclass(frozen=True)
@@ -155,13 +158,6 @@ def _keys(codes: np.ndarray, order: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(ends), pa.py_buffer(raw.tobytes())])
 
 
-def _codes(keys: pa.Array, order: int) -> np.ndarray:
-    """The sequences of such keys."""
-    raw = np.zeros((len(keys), 8), np.uint8)
-    raw[:, 8 - order:] = np.frombuffer(b"".join(keys.to_pylist()), np.uint8).reshape(-1, order + 1)[:, 1:]
-    return raw.view(">i8").reshape(-1).astype(np.int64)
-
-
 def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     found = pc.value_counts(pa.array(codes))
     return found.field("values").to_numpy(), found.field("counts").to_numpy()
@@ -182,7 +178,7 @@ def count_keys(rows: DataFrame, settings: Settings) -> DataFrame:
             texts, trains = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             words: Counter[bytes] = Counter()
             codes, counts = [], []
-            for portion in in_portions(texts, 4 << 20):
+            for portion in in_portions(texts):
                 for trained in (True, False):
                     split = [words_of(texts[i]) for i in portion if trains[i] == trained]
                     if not split:
@@ -190,6 +186,8 @@ def count_keys(rows: DataFrame, settings: Settings) -> DataFrame:
                     found, n = _counted(sequences(split, order)[0])
                     codes.append(found)
                     counts.append(n * trained)
+                    if sum(map(len, codes)) > MERGED:
+                        codes, counts = map(lambda x: [x], _summed(codes, counts))
                     if trained:
                         words[END] += len(split)
                         for own in split:
@@ -268,8 +266,25 @@ def train(counted: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 # --- scoring ------------------------------------------------------------------------------------------
 
-def _block_keys(order: int):
-    """(block, key): the words and sequences of each block."""
+def _packed(codes: np.ndarray) -> bytes:
+    return zlib.compress(np.diff(codes, prepend=0).tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), np.int64))
+
+
+def _words_packed(words: list[bytes]) -> bytes:
+    return zlib.compress(b" ".join(words), 1)
+
+
+def _words_unpacked(packed: bytes) -> list[bytes]:
+    return zlib.decompress(packed).split(b" ") if packed else []
+
+
+def _requests(order: int, shards: int):
+    """(shard, block, words, codes): the distinct words and sequences of each block, by shard of the model."""
+    names = ["shard", "block", "words", "codes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,34 +292,60 @@ def _block_keys(order: int):
             for block in np.unique(blocks):
                 own = [texts[i] for i in np.flatnonzero(blocks == block)]
                 words, codes = {END}, []
-                for portion in in_portions(own, 4 << 20):
+                for portion in in_portions(own):
                     split = [words_of(own[i]) for i in portion]
                     words.update(*split)
                     codes.append(_counted(sequences(split, order)[0])[0])
-                for keys in (pa.array(list(words), pa.binary()), _keys(np.unique(np.concatenate(codes)), order)):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys), block, np.int32)), keys], names=["block", "key"])
+                    if sum(map(len, codes)) > MERGED:
+                        codes = [np.unique(np.concatenate(codes))]
+                dealt: list[list[bytes]] = [[] for _ in range(shards)]
+                for word in sorted(words):
+                    dealt[zlib.crc32(word) % shards].append(word)
+                distinct = np.unique(np.concatenate(codes))
+                shard = distinct % shards
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(shards, dtype=np.int32)), pa.array(np.full(shards, block, np.int32)),
+                     pa.array([_words_packed(d) if d else b"" for d in dealt], pa.binary()),
+                     pa.array([_packed(distinct[shard == k]) for k in range(shards)], pa.binary())], names=names)
 
     return run
 
 
+def _answers(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(block, words, counts, codes, chances): what the model's shard has for each request."""
+    named = right.filter(right["key"].is_valid())
+    count_of = dict(zip(named["key"].to_pylist(), named["value"].to_pylist()))
+    grams = right.filter(right["code"].is_valid())
+    codes, logs = grams["code"].to_numpy(), grams["value"].to_numpy().astype(np.float32)
+    sort = np.argsort(codes)
+    codes, logs = codes[sort], logs[sort]
+    counts, chances = [], []
+    for words, wanted in zip(left["words"].to_pylist(), left["codes"].to_pylist()):
+        counts.append(np.array([count_of.get(w, 0.0) for w in _words_unpacked(words)]).tobytes())
+        chances.append(logs[np.searchsorted(codes, _unpacked(wanted))].tobytes())
+    return pa.table([left["block"], left["words"], pa.array(counts, pa.binary()), left["codes"],
+                     pa.array(chances, pa.binary())], names=["block", "words", "counts", "codes", "chances"])
+
+
 def _score_block(order: int, whole: float):
     names = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, values = right["key"].combine_chunks(), right["value"].to_numpy()
-        marked = pc.equal(pc.binary_slice(keys, 0, 1), SEQUENCE)
-        of_word = dict(zip(keys.filter(pc.invert(marked)).to_pylist(), values[~np.asarray(marked)].tolist()))
-        codes, first = np.unique(_codes(keys.filter(marked), order), return_index=True)
-        codes, logs = pa.array(codes), values[np.asarray(marked)][first]
+        of_word: dict[bytes, float] = {}
+        for words, counts in zip(right["words"].to_pylist(), right["counts"].to_pylist()):
+            of_word.update(zip(_words_unpacked(words), np.frombuffer(counts).tolist()))
+        codes = np.concatenate([_unpacked(c) for c in right["codes"].to_pylist()])
+        logs = np.concatenate([np.frombuffer(c, np.float32) for c in right["chances"].to_pylist()])
+        codes, first = np.unique(codes, return_index=True)
+        codes, logs = pa.array(codes), logs[first].astype(float)
         columns: dict[str, list] = {name: [] for name in names[2:]}
-        texts = left["text"].to_pylist()
-        for portion in in_portions(texts, 2 << 20):
-            split = [words_of(texts[i]) for i in portion]
+        texts = left["text"].combine_chunks() if left["text"].num_chunks > 1 else left["text"].chunk(0)
+        for start in range(0, len(texts), 256):
+            split = [words_of(t) for t in texts.slice(start, 256).to_pylist()]
             found, starts = sequences(split, order)
             columns["score"].append(np.add.reduceat(logs[pc.index_in(pa.array(found), codes).to_numpy()], starts))
             sizes = np.fromiter(map(len, split), np.int64, len(split)) + 1
-            counts = np.fromiter((of_word.get(w, 0.0) for words in split for w in (*words, END)), float, sizes.sum())
+            counts = np.fromiter((of_word[w] for words in split for w in (*words, END)), float, sizes.sum())
             starts = np.cumsum(sizes) - sizes
             columns["n_tokens"].append(sizes)
             columns["n_known"].append(np.add.reduceat(counts > 0, starts, dtype=np.int64))
@@ -334,16 +375,21 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     words = counted.filter((F.substring("key", 1, 1) != F.lit(SEQUENCE)) & (F.col("n") > 0))
     facts = words.agg(F.sum("n"), F.count(F.lit(1))).head()
     tokens, distinct = int(facts[0] or 0), int(facts[1])
-    gram = F.concat(F.lit(SEQUENCE), F.unhex(F.lpad(F.hex("code"), 2 * settings.order, "0")))
-    known = words.select("key", F.col("n").cast("double").alias("value")).union(
-        train(counted, settings).select(gram, F.log10("chance")))
+    # words and sequences of the model, dealt into as many shards as there are blocks
+    known = words.select((F.crc32("key") % blocks).cast("int").alias("shard"), "key",
+                         F.lit(None).cast("long").alias("code"), F.col("n").cast("double").alias("value")).union(
+        train(counted, settings).select((F.col("code") % blocks).cast("int"), F.lit(None).cast("binary"), "code",
+                                        F.log10("chance")))
 
     block = F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(blocks)).cast("int")
-    dealt = rows.select(block.alias("block"), "text", "id", "held_out").repartition(blocks, "block")
     # both uses of the dealt texts share one exchange
-    tables = dealt.mapInArrow(_block_keys(settings.order), "block int, key binary").join(known, "key")
+    dealt = rows.select(block.alias("block"), "text", "id", "held_out").repartition(blocks, "block")
+    requests = dealt.sortWithinPartitions("block").mapInArrow(
+        _requests(settings.order, blocks), "shard int, block int, words binary, codes binary")
+    answers = requests.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(
+        _answers, "block int, words binary, counts binary, codes binary, chances binary")
     id_type = rows.schema["id"].dataType.simpleString()
-    scored = dealt.groupBy("block").cogroup(tables.select("block", "key", "value").groupBy("block")).applyInArrow(
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _score_block(settings.order, math.log10(tokens + distinct + 1)),
         f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known",
