@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from journalsieve.functions.text import WHITESPACE
 
 _DROPPED = "€$£" + WHITESPACE
+# fixed values: the shapes of amounts that must be read alike everywhere
 _GERMAN = r"^-?[\d.]*,\d{1,2}$"
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def parse_amounts(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -25,6 +26,6 @@ def parse_amounts(df: DataFrame, columns: dict[str, str]) -> DataFrame:
         german = F.replace(F.regexp_replace(text, r"\.(?=\d{3})", ""), F.lit(","), F.lit("."))
         english = F.regexp_replace(text, r",(?=\d{3})", "")
         plain[f"{new}_plain"] = F.when(text.rlike(_GERMAN), german).otherwise(english)
-    amounts = {new: F.when(F.col(f"{new}_plain").rlike(_NUMBER),
+    amounts = {new: F.when(F.col(f"{new}_plain").rlike(NUMBER),
                            F.col(f"{new}_plain").try_cast("double")) for new in columns}
     return df.withColumns(bare).withColumns(plain).withColumns(amounts).drop(*bare, *plain)

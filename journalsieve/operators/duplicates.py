@@ -138,9 +138,14 @@ def voucher_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
 def doppelte_belegnummer(ctx: Context) -> list[Part]:
     c = ctx.config
     rows = ctx.journal.filter(_documents_in_scope(ctx))
-    repeated = voucher_counts(rows, _SAME_DOCUMENT).filter(
-        (F.col("n_vouchers") >= c.doppelte_beleg_min_count)
-        & (F.col("n_months") < c.doppelte_beleg_regular_months))
+    # months matter only for the few keys with enough vouchers; one distinct count each expands no row
+    candidates = settle(
+        rows.groupBy(*_SAME_DOCUMENT).agg(F.count_distinct("_beleg_id").alias("n_vouchers"))
+        .filter(F.col("n_vouchers") >= c.doppelte_beleg_min_count).drop("n_vouchers"), "document_candidates")
+    repeated = (
+        rows.join(candidates, _SAME_DOCUMENT, "left_semi").groupBy(*_SAME_DOCUMENT)
+        .agg(F.count_distinct("_ym").alias("n_months"))
+        .filter(F.col("n_months") < c.doppelte_beleg_regular_months))
     if c.doppelte_beleg_min_count <= 2:
         # a debit/credit pair has two rows, so it can only matter for a minimum of two
         mark = F.col("_seite")

@@ -48,31 +48,18 @@ def _narrow(values: DataFrame, wanted: DataFrame, by: list[str], inside: list[st
     )
 
 
-# distinct values the built-in exact percentile may hold in one task
-IN_TASK_VALUES = 500_000
-
-
 def exact_quantiles(rows: DataFrame, value: str, probs: list[float], by: list[str],
-                    weight: str | None = None, in_task: int = IN_TASK_VALUES) -> DataFrame:
+                    weight: str | None = None) -> DataFrame:
     """One row per group: ``n`` and ``q0``, ``q1``, ... with linear interpolation.
 
     ``by`` must have few groups (account classes, one run): the wanted ranks are broadcast.
-    ``weight`` names a column with repetition counts.  The value counts are written once; when they
-    are few enough for one task, the built-in percentile reads them, else the cells do.
+    ``weight`` names a column with repetition counts.  The value counts are written once and narrowed
+    down in the same way at every size.
     """
     values = settle(
         rows.filter(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).alias("v"))
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("weight")), "value_counts")
-    if values.count() <= in_task:
-        spots = F.array(*[F.lit(float(p)) for p in probs])
-        return values.groupBy(*by).agg(
-            F.sum("weight").alias("n"), F.percentile("v", spots, F.col("weight")).alias("q")
-        ).select(*by, "n", *[F.col("q")[i].alias(f"q{i}") for i in range(len(probs))])
-    return _by_cells(values, probs, by)
-
-
-def _by_cells(values: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
     values = values.withColumn("fine", _position(F.col("v"))) \
         .withColumn("coarse", F.floor(F.col("fine") / _COARSE))
 

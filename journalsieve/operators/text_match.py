@@ -17,8 +17,10 @@ EXAMPLES = 3
 PERCENTILES = [10, 20, 30, 40, 50, 60, 70, 80, 90]
 
 
-def with_labels(journal: DataFrame, labels: DataFrame, fallback: str | None = None) -> DataFrame:
+def with_labels(journal: DataFrame, labels: DataFrame | None, fallback: str | None = None) -> DataFrame:
     """The account label from ``labels`` (konto_soll, gt_bezeichnung), else the source label."""
+    if labels is None:
+        return journal.withColumn("gt_bezeichnung", F.col(fallback))
     known = labels.select(strip("konto_soll").alias("konto_soll"), "gt_bezeichnung")
     label = F.col("gt_bezeichnung")
     if fallback:
@@ -26,10 +28,15 @@ def with_labels(journal: DataFrame, labels: DataFrame, fallback: str | None = No
     return journal.join(known, "konto_soll", "left").withColumn("gt_bezeichnung", label)
 
 
+def source_label(ctx: Context) -> str | None:
+    """The journal's own label column, if it has one."""
+    return next((n for n in ctx.journal.columns if n.lower() == SOURCE_LABEL), None)
+
+
 def eligible_rows(ctx: Context) -> DataFrame:
     """Rows with text and label on an account of the checked range."""
     c = ctx.config
-    fallback = next((n for n in ctx.journal.columns if n.lower() == SOURCE_LABEL), None)
+    fallback = source_label(ctx)
     number = F.col("_kontonummer")
     return (
         with_labels(ctx.journal, ctx.labels, fallback)
@@ -67,7 +74,8 @@ def text_konto_match(ctx: Context) -> list[Part]:
 
     The label may come from the row itself, so the rows are looked up by all three columns.
     """
-    if ctx.labels is None:
+    # without a table of labels only a column of exactly that name counts
+    if ctx.labels is None and SOURCE_LABEL not in ctx.journal.columns:
         return []
     c = ctx.config
     combos = text_label_counts(ctx)

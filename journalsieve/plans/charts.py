@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from journalsieve.functions.accounts import is_pnl
+from journalsieve.functions.amounts import NUMBER
 from journalsieve.functions.dates import month_label
 from journalsieve.plans.registry import TESTS
 
@@ -49,8 +50,8 @@ def derive_dims(scored: DataFrame) -> DataFrame:
 def downsample(scored: DataFrame, max_rows: int = CHART_ROWS, seed: int = 42) -> DataFrame:
     """All rows with a score, filled up at random to ``max_rows``.
 
-    The fill takes the rows with the smallest hash.  A hash threshold that keeps barely more than
-    needed comes first, so only about ``max_rows`` rows are ever sorted.
+    The fill takes the rows with the smallest hash.  Counts of the hash's leading digits, then of the
+    next ones inside the one cell that is taken in part, find the exact cut; the rows are only filtered.
     """
     counts = scored.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_score") > 0).alias("hot"))
     n, hot = counts.head()
@@ -61,12 +62,26 @@ def downsample(scored: DataFrame, max_rows: int = CHART_ROWS, seed: int = 42) ->
     if wanted == 0 or rest <= wanted:
         # the published rule keeps the whole rest when nothing may be filled up
         return scored
-    share = min(1.0, (wanted + 6 * math.sqrt(wanted) + 100) / rest)
     draw = F.md5(F.concat(F.lit(f"{seed}-"), F.col("row_id").cast("string")))
-    candidates = quiet.withColumn("draw", draw)
-    if share < 1.0:
-        candidates = candidates.filter(F.col("draw") <= f"{int(share * 16 ** 8):08x}")
-    return flagged.union(candidates.orderBy("draw").limit(wanted).drop("draw"))
+    return flagged.union(quiet.filter(draw < _draw_of_rank(quiet.select(draw.alias("draw")), wanted)))
+
+
+def _draw_of_rank(draws: DataFrame, rank: int, digits: int = 3) -> str:
+    """The text below which ``rank`` of the distinct hexadecimal draws lie; each step counts 16^3 cells."""
+    bound = ""
+    while rank or not bound:
+        cells = draws.filter(F.col("draw").startswith(bound)).groupBy(
+            F.substring("draw", len(bound) + 1, digits).alias("cell")).count().collect()
+        for cell in sorted(cells):
+            if cell["count"] > rank:
+                bound += cell["cell"]
+                break
+            rank -= cell["count"]
+        else:
+            return bound + "g"  # every draw of the cell
+        if len(bound) >= 32:
+            break
+    return bound
 
 
 def score_histogram(scored: DataFrame) -> DataFrame:
@@ -172,7 +187,8 @@ def debit_credit_balance(journal: DataFrame, n: int = 15) -> DataFrame:
 def landscape_3d(scored: DataFrame) -> DataFrame:
     """Amount, account number and days since the first posting."""
     first = scored.agg(F.min("_datum")).scalar()
-    number = F.col("konto_soll").try_cast("double")
+    # the cast alone accepts type suffixes and names of special numbers
+    number = F.when(F.trim("konto_soll").rlike(NUMBER), F.col("konto_soll").try_cast("double"))
     return (
         scored.filter(F.col("_datum").isNotNull() & number.isNotNull())
         .select("row_id", "_abs", number.alias("konto_num"),

@@ -630,6 +630,3 @@ def column_null_share(spark, sf_dir):
     raw = raw_journal(spark, sf_dir)
     return validation.column_null_share(
         raw, ["kreditor", "buchungstext", "generalumgekehrt", "soll_haben"])
-
-
-# the two readers cover the separators with and without stray semicolonsQUERIES["clean_nulls"] = QUERIES.pop("clean_null_literals")

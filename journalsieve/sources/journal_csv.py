@@ -63,6 +63,9 @@ def sniff(header: str) -> tuple[str, list[str]]:
     raise ValueError("no journal file: fewer than three columns with any known separator")
 
 
+_QUOTES = {"quote": '"', "escape": '"'}
+
+
 def _first_line(spark: SparkSession, path: str) -> str:
     rows = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
     return re.sub(_BYTE_ORDER_MARK, "", rows[0].value) if rows else ""
@@ -70,7 +73,8 @@ def _first_line(spark: SparkSession, path: str) -> str:
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """The file with its own column names, all strings, missing values as NULL."""
-    separator, names = sniff(_first_line(spark, path))
+    first = _first_line(spark, path)
+    separator, names = sniff(first)
     unique = [n if names.index(n) == i else f"{n}.{i}" for i, n in enumerate(names)]
     schema = ", ".join(f"`{n.replace('`', '')}` STRING" for n in unique)
     if separator == "|":
@@ -78,13 +82,13 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
         lines = spark.read.text(path).select(F.regexp_replace(
             F.regexp_replace("value", _BYTE_ORDER_MARK, ""), _TRAILING_SEMICOLONS, "")
             .alias("value"))
-        header = separator.join(names)
+        header = re.sub(_TRAILING_SEMICOLONS, "", first)
         parsed = lines.filter((F.col("value") != header) & (F.trim("value") != "")).select(
-            F.from_csv("value", schema, {"sep": separator}).alias("row")).select("row.*")
+            F.from_csv("value", schema, {"sep": separator, **_QUOTES}).alias("row")).select("row.*")
     else:
         parsed = (spark.read.schema(schema)
                   .option("sep", separator).option("header", True).option("enforceSchema", True)
-                  .option("quote", '"').option("escape", '"').csv(path))
+                  .options(**_QUOTES).csv(path))
     return clean_nulls(parsed, sorted({*NULL_LITERALS, *CSV_NULL_LITERALS}))
 
 

@@ -28,7 +28,6 @@ def scratch_root(spark: SparkSession) -> str:
     app = context.applicationId
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="journalsieve-")
-        context.setCheckpointDir(_local_roots[app] + "/checkpoints")
     return _local_roots[app]
 
 

@@ -31,8 +31,7 @@ def test_group_limit_runs_before_the_shuffle(spark):
     assert "Partial" in plan[plan.index("Exchange"):]
 
 
-@pytest.mark.parametrize("in_task", [0, 10**6])
-def test_exact_quantiles(spark, in_task):
+def test_exact_quantiles(spark):
     draw = np.random.default_rng(5)
     groups = {
         "cents": np.round(draw.lognormal(5, 3, 700), 2), "same": np.full(40, 7.25),
@@ -41,18 +40,16 @@ def test_exact_quantiles(spark, in_task):
     }
     data = [(g, float(v)) for g, values in groups.items() for v in values]
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.98, 1.0]
-    out = exact_quantiles(spark.createDataFrame(data, "g string, x double"), "x", probs, ["g"],
-                          in_task=in_task)
+    out = exact_quantiles(spark.createDataFrame(data, "g string, x double"), "x", probs, ["g"])
     got = {r.g: [r[f"q{i}"] for i in range(len(probs))] for r in out.collect()}
     for g, values in groups.items():
         np.testing.assert_allclose(got[g], np.quantile(values, probs), rtol=1e-12, atol=1e-15)
 
 
-@pytest.mark.parametrize("in_task", [0, 10**6])
-def test_weighted_quantiles(spark, in_task):
+def test_weighted_quantiles(spark):
     data = [("a", 1.0, 3), ("a", 2.0, 5), ("a", 10.0, 1)]
     out = exact_quantiles(spark.createDataFrame(data, "g string, x double, n long"), "x",
-                          [0.25, 0.5, 0.9], ["g"], weight="n", in_task=in_task).head()
+                          [0.25, 0.5, 0.9], ["g"], weight="n").head()
     expected = np.quantile([1.0] * 3 + [2.0] * 5 + [10.0], [0.25, 0.5, 0.9])
     assert out.n == 9
     np.testing.assert_allclose([out.q0, out.q1, out.q2], expected)

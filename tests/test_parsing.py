@@ -132,3 +132,12 @@ def test_empty_journal(raw, spark):
 def test_row_ids_without_source_key(raw, spark):
     journal = prepare(raw([{}] * 5).drop("row_id"))
     assert journal.select("row_id").distinct().count() == 5
+
+
+def test_quoted_pipe_export(spark, tmp_path):
+    from journalsieve.sources.journal_csv import read_export
+
+    file = tmp_path / "quoted.csv"
+    file.write_text('"datum"|"konto_soll"|"buchungstext";;\n2024-01-01|62000|"a ""b"" c";;\n', encoding="utf-8")
+    rows = read_export(spark, str(file)).collect()
+    assert [tuple(r) for r in rows] == [("2024-01-01", "62000", 'a "b" c')]

@@ -225,3 +225,24 @@ def test_intake_analyses_each_upload_once(spark, raw, tmp_path):
     got = intake.intake_results(spark, results).collect()
     assert sorted((r.upload, r.total_input) for r in got) == [
         ("first", len(journal_rows())), ("second", 30)]
+
+
+def test_downsample_fills_up_exactly_without_a_sort(spark):
+    from pyspark.sql import functions as F
+
+    from journalsieve.plans import charts
+
+    scored = spark.range(5000).select(F.col("id").alias("row_id"), (F.col("id") % 50 == 0).cast("double").alias("_score"))
+    for limit in (101, 2500, 4999):
+        out = charts.downsample(scored, limit)
+        assert out.count() == limit and out.filter("_score > 0").count() == 100
+        assert "TakeOrdered" not in out._jdf.queryExecution().toString()
+
+
+def test_landscape_takes_plain_numbers_only(spark):
+    from journalsieve.plans import charts
+
+    rows = spark.createDataFrame([(i, k, 1.0, 0.0) for i, k in enumerate(["4711", "4711d", "NaN", "1e3"])],
+                                 "row_id long, konto_soll string, _abs double, _score double")
+    rows = rows.selectExpr("*", "date'2024-01-01' as _datum")
+    assert [r.konto_num for r in charts.landscape_3d(rows).orderBy("row_id").collect()] == [4711.0, 1000.0]
