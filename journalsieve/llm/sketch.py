@@ -93,7 +93,7 @@ def neighbours(docs: DataFrame, per_bucket: int = 64, per_upper: int = 4096) ->
     width of the buckets follows from the smallest and largest id and their number.
     """
     ids = docs.filter("id is not null").groupBy("id").agg(F.max("size").alias("size"))
-    facts = docs.agg(F.min("id"), F.max("id"), F.count("id"), F.min(F.struct("id", "size"))).head()
+    facts = ids.agg(F.min("id"), F.max("id"), F.count("id"), F.min(F.struct("id", "size"))).head()
     low, high, count = facts[0], facts[1], facts[2]
     if not count:
         return ids.select("id", F.col("id").alias("before"), F.col("size").alias("half"))
