@@ -200,12 +200,12 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = own_columns(pages, id=id_col, url=url_col, html=html_col).select(
         F.col("id").cast("long"), F.col("url").cast("string"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("sha", F.sha1("html"))
-    ids = rows.select("id", "sha").distinct()
+    # the join and the numbering use one partitioning, so a null id needs a key of its own
+    rows = rows.withColumn("sha", F.sha1("html")).withColumn("key", F.coalesce(F.col("id").cast("string"), F.lit("")))
+    ids = rows.select("id", "key", "sha").distinct()
     leaders = ids.groupBy("sha").agg(F.max("id").alias("leader"))
-    named = ids.join(leaders, "sha").select(F.col("id").alias("own"), F.col("sha").alias("own_sha"), "leader")
-    joined = rows.join(named, rows["id"].eqNullSafe(named["own"]) & (rows["sha"] == named["own_sha"]))
-    number = F.row_number().over(Window.partitionBy("id", "sha").orderBy("url"))
+    joined = rows.join(ids.join(leaders, "sha").select("key", "sha", "leader"), ["key", "sha"])
+    number = F.row_number().over(Window.partitionBy("key", "sha").orderBy("url"))
     later = ~F.col("id").eqNullSafe(F.col("leader")) | (F.col("number") > 1)
     revisits = later & (F.octet_length("html") >= least)
     return joined.withColumn("number", number).select(
@@ -322,9 +322,13 @@ def read_archives(archives: DataFrame, path_col: str = "path", span: int = SPAN)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([f[n] for f in found], t) for n, t in zip(names, types)], names=names)
 
+    # index lines are small but stand for many bytes, so the number of tasks follows from the archives
+    total = archives.agg(F.sum("bytes")).head()[0] if "bytes" in archives.columns else None
+    parts = -(-total // (4 * span)) if total else archives.sparkSession.sparkContext.defaultParallelism
     paths = archives.select(F.col(path_col).alias("path"))
     ranges = paths.repartition("path").mapInArrow(locate, "path string, offset long, length long")
-    dealt = ranges.repartition("path", F.floor(F.col("offset") / (4 * span))).sortWithinPartitions("path", "offset")
+    dealt = ranges.repartition(
+        parts, "path", F.floor(F.col("offset") / (4 * span))).sortWithinPartitions("path", "offset")
     return dealt.mapInArrow(fetch, "page_id long, url string, record_type string, payload binary, "
                                    "payload_bytes long, payload_digest string, refers_to long")
 
