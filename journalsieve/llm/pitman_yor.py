@@ -178,7 +178,7 @@ def count_keys(rows: DataFrame, settings: Settings) -> DataFrame:
             texts, trains = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             words: Counter[bytes] = Counter()
             codes, counts = [], []
-            for portion in in_portions(texts):
+            for portion in in_portions(texts, 2 << 20):
                 for trained in (True, False):
                     split = [words_of(texts[i]) for i in portion if trains[i] == trained]
                     if not split:
@@ -292,7 +292,7 @@ def _requests(order: int, shards: int):
             for block in np.unique(blocks):
                 own = [texts[i] for i in np.flatnonzero(blocks == block)]
                 words, codes = {END}, []
-                for portion in in_portions(own):
+                for portion in in_portions(own, 2 << 20):
                     split = [words_of(own[i]) for i in portion]
                     words.update(*split)
                     codes.append(_counted(sequences(split, order)[0])[0])
@@ -339,9 +339,9 @@ def _score_block(order: int, whole: float):
         codes, first = np.unique(codes, return_index=True)
         codes, logs = pa.array(codes), logs[first].astype(float)
         columns: dict[str, list] = {name: [] for name in names[2:]}
-        texts = left["text"].combine_chunks() if left["text"].num_chunks > 1 else left["text"].chunk(0)
-        for start in range(0, len(texts), 256):
-            split = [words_of(t) for t in texts.slice(start, 256).to_pylist()]
+        texts = left["text"].to_pylist()
+        for portion in in_portions(texts, 4 << 20):  # each portion builds the table of the codes again
+            split = [words_of(texts[i]) for i in portion]
             found, starts = sequences(split, order)
             columns["score"].append(np.add.reduceat(logs[pc.index_in(pa.array(found), codes).to_numpy()], starts))
             sizes = np.fromiter(map(len, split), np.int64, len(split)) + 1
