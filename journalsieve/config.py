@@ -30,6 +30,8 @@ _BOUNDS: dict[str, tuple[float | None, float | None]] = {
     "near_duplicate_text_similarity": (0.0, 1.0),
     "kreditor_clustering_eps": (0.01, 1.0),
     "isolation_contamination": (0.001, 0.5),
+    "isolation_trees": (1, 1000),
+    "isolation_sample": (2, 4096),
     "text_konto_threshold": (0.0, 1.0),
     "text_konto_min_bookings": (1, None),
     "text_konto_konto_min": (0, None),
@@ -74,6 +76,8 @@ class AnalysisConfig:
     kreditor_clustering_eps: float = 0.20
     isolation_enabled: bool = False
     isolation_contamination: float = 0.02
+    isolation_trees: int = 100
+    isolation_sample: int = 256
     text_konto_threshold: float = 0.3
     text_konto_min_bookings: int = 5
     text_konto_konto_min: int = 40000

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from journalsieve.functions.dates import whole_days
 from journalsieve.operators.context import Context
 from journalsieve.operators.groups import distinct_over, rows_in_small_groups
-from journalsieve.operators.parts import Lookup, Part, RowIds, counted_amounts
+from journalsieve.operators.parts import Part, RowIds, counted_amounts
 from journalsieve.operators.text_vectors import pair_cosines
 from journalsieve.workspace import settle
 
@@ -103,7 +103,10 @@ def near_duplicate(ctx: Context) -> list[Part]:
     c = ctx.config
     members = Window.partitionBy(*_SAME_POSTING)
     undated = F.col("_datum").isNull()
-    groups = near_duplicate_groups(ctx).withColumns({
+    groups = near_duplicate_groups(ctx)
+    if _compares_texts(ctx):
+        groups = settle(groups, "near_duplicate_groups")  # read by both branches below
+    groups = groups.withColumns({
         "n_undated": F.count_if(undated).over(members),
         "undated_vouchers": distinct_over(F.when(undated, F.col("_beleg_id")), members),
     })
@@ -154,10 +157,10 @@ def doppelte_belegnummer(ctx: Context) -> list[Part]:
             F.count_if(mark == "S").alias("debits"),
         ).filter("n = 2 and marked = 2 and debits = 1")
         repeated = repeated.join(pairs, "belegnummer", "left_anti")
-    table = settle(repeated.select(*_SAME_DOCUMENT, F.lit(True).alias("repeated_document")),
-                   "repeated_documents")
-    hit = F.col("repeated_document") & _documents_in_scope(ctx)
-    return [Lookup(table, _SAME_DOCUMENT, hit)]
+    table = settle(repeated.select(*_SAME_DOCUMENT), "repeated_documents")
+    # only ids and keys meet the table: the journal itself is not shuffled by document
+    return [RowIds(rows.select("row_id", *_SAME_DOCUMENT).join(table, _SAME_DOCUMENT, "left_semi")
+                   .select("row_id"))]
 
 
 # --- repeated vendor documents ---------------------------------------------------------------
@@ -217,6 +220,6 @@ def vendor_amount_pairs(ctx: Context) -> DataFrame:
 
 def beleg_kreditor_duplikat(ctx: Context) -> list[Part]:
     keys = ["belegnummer", *_VENDOR_AMOUNT]
-    table = repeated_vendor_documents(ctx).withColumn("repeated_vendor_document", F.lit(True))
-    hit = F.col("repeated_vendor_document") & _vendor_documents()
-    return [Lookup(table, keys, hit), RowIds(vendor_amount_pairs(ctx))]
+    rows = ctx.journal.filter(_vendor_documents()).select("row_id", *keys)
+    repeated = rows.join(repeated_vendor_documents(ctx), keys, "left_semi").select("row_id")
+    return [RowIds(repeated), RowIds(vendor_amount_pairs(ctx))]

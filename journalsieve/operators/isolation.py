@@ -1,7 +1,8 @@
 """Isolation forest over a few row features (off by default).
 
-One hundred trees grow in parallel on bounded samples of 256 rows; the forest, a few hundred
-kilobytes whatever the journal's size, is broadcast and scores all rows in Arrow batches.  The cut
+The trees grow in parallel on samples of a fixed size (``isolation_trees`` and ``isolation_sample``,
+100 and 256 rows); the forest, a few hundred kilobytes whatever the journal's size, is broadcast and
+scores all rows in Arrow batches.  The cut
 is the exact quantile of the scores.
 """
 
@@ -17,14 +18,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from journalsieve.operators.context import Context
 from journalsieve.operators.parts import Part, RowIds, counted_amounts
-from journalsieve.operators.quantiles import exact_quantiles
+from journalsieve.operators.quantiles import draw_of_rank, exact_quantiles
 from journalsieve.workspace import settle
 
 # the helpers travel with their tasks, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-TREES, SAMPLE, SEED, MIN_ROWS, TEXT_DIMS = 100, 256, 42, 50, 10
-_POOL = TREES * SAMPLE
+SEED, MIN_ROWS, TEXT_DIMS = 42, 50, 10
 _TREE = "tree int, feature array<int>, cut array<double>, child array<int>, depth array<double>"
 
 
@@ -85,34 +85,37 @@ def _grow(names: list[str]):
     return grow
 
 
-def forest(table: DataFrame, names: list[str], n_rows: int) -> list:
-    """The trees as flat arrays; each tree draws its rows from a bounded pool by hash order."""
-    share = min(1.0, (_POOL + 6 * math.sqrt(_POOL)) / n_rows)
-    pick = F.pmod(F.xxhash64("row_id", F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)
-    pool = table.withColumn("pick", pick).filter(F.col("pick") < share).orderBy("pick").limit(_POOL)
-    # of the rows of the pool each tree only looks at slightly more than it takes
-    look = (SAMPLE + 6 * math.sqrt(SAMPLE)) / min(n_rows, _POOL)
-    draw = F.pmod(F.xxhash64("row_id", "tree"), F.lit(1 << 40)) / float(1 << 40)
-    order = Window.partitionBy("tree").orderBy("draw", "row_id")
+def forest(table: DataFrame, names: list[str], n_rows: int, trees: int, sample: int) -> list:
+    """The trees as flat arrays.
+
+    The rows with the smallest hashes, as many as all trees together take, are put in one random
+    order.  Each tree takes the next ``sample`` places, going round where the table holds fewer.
+    """
+    wanted, each = min(n_rows, trees * sample), min(n_rows, sample)
+    drawn = table.withColumn("draw", F.md5(F.concat(F.lit(f"{SEED}-"), F.col("row_id").cast("string"))))
+    if wanted < n_rows:
+        drawn = drawn.filter(F.col("draw") < draw_of_rank(drawn.select("draw"), wanted))
+    place = F.row_number().over(Window.orderBy("draw", "row_id")) - 1  # trees * sample rows at most
     samples = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-        .withColumn("draw", draw).filter(F.col("draw") < look)
-        .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE)
+        drawn.withColumn("place", place)
+        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        .filter(F.pmod(F.col("place") - F.col("tree") * each, F.lit(wanted)) < each)
     )
     return samples.groupBy("tree").applyInPandas(_grow(names), _TREE).collect()
 
 
 def scores(ctx: Context) -> DataFrame | None:
     """(row_id, score); higher is more isolated.  None when the journal is too small."""
+    config = ctx.config
     table, names = features(ctx)
     table = settle(table, "isolation_features")
     n_rows = table.count()
     if n_rows < MIN_ROWS:
         return None
     trees = [tuple(np.asarray(part) for part in (t.feature, t.cut, t.child, t.depth))
-             for t in forest(table, names, n_rows)]
+             for t in forest(table, names, n_rows, config.isolation_trees, config.isolation_sample)]
     shared = ctx.journal.sparkSession.sparkContext.broadcast(trees)
-    norm = _expected_depth(min(SAMPLE, n_rows))
+    norm = _expected_depth(min(config.isolation_sample, n_rows))
 
     @F.pandas_udf("double")
     def score(frame: pd.DataFrame) -> pd.Series:

@@ -86,3 +86,21 @@ def exact_quantiles(rows: DataFrame, value: str, probs: list[float], by: list[st
          * (spot(p) - F.floor(spot(p)))).alias(f"q{i}")
         for i, p in enumerate(probs)
     ])
+
+
+def draw_of_rank(draws: DataFrame, rank: int, digits: int = 3) -> str:
+    """The text below which ``rank`` of the distinct hexadecimal draws lie; each step counts 16^3 cells."""
+    bound = ""
+    while rank or not bound:
+        cells = draws.filter(F.col("draw").startswith(bound)).groupBy(
+            F.substring("draw", len(bound) + 1, digits).alias("cell")).count().collect()
+        for cell in sorted(cells):
+            if cell["count"] > rank:
+                bound += cell["cell"]
+                break
+            rank -= cell["count"]
+        else:
+            return bound + "g"  # every draw of the cell
+        if len(bound) >= 32:
+            break
+    return bound

@@ -104,8 +104,8 @@ def threshold_sweep(rows: DataFrame, combos: DataFrame) -> DataFrame:
         .groupBy("step").agg(F.sum("n").alias("n"))
     counts = per_step.agg(F.collect_list(F.struct("step", "n"))).scalar()
     total = combos.agg(F.sum("n")).scalar()
-    sample = F.struct("cosine", "row_id", "konto_soll", F.substring("b", 1, 40).alias("label"),
-                      F.substring("a", 1, 40).alias("text"))
+    sample = F.struct("cosine", "row_id", "konto_soll", F.col("b").alias("label"),
+                      F.col("a").alias("text"))
     worst = rows.orderBy("cosine", "row_id").limit(EXAMPLES) \
         .agg(F.sort_array(F.collect_list(sample))).scalar()
     steps = combos.sparkSession.range(1, SWEEP_STEPS + 1).select(

@@ -509,6 +509,9 @@ select (select mandant from p group by 1 order by count(*) desc, mandant limit 1
   '2001-09-01T00:00:00' as run_date, 'journal.csv' as file, (select count(*) from p) as total_rows,
   (select round(count(*) filter (susp) / count(*) * 100, 2) from out) as suspicious_pct, flag, n
 from counts""")
+_oracle("save_run_months", """
+select (select mandant from p group by 1 order by count(*) desc, mandant limit 1) as mandant,
+  '2001-09-01T00:00:00' as run_date, 'journal.csv' as file, m.* from konto_months m""")
 _oracle("last_run", """
 select * exclude (k) from (
   select *, row_number() over (partition by mandant order by run_date desc) as k from runs)
@@ -563,7 +566,7 @@ select round(i * 0.05, 2) as threshold,
   (select count(*) from sims where c < round(i * 0.05, 2)) as n_anomalies,
   round((select count(*) from sims where c < round(i * 0.05, 2))
     / (select count(*) from sims) * 100, 1) as pct,
-  coalesce((select string_agg(konto || ' ' || left(label, 40) || ' ' || left(buchungstext, 40), '; '
+  coalesce((select string_agg(konto || ' ' || label || ' ' || buchungstext, '; '
       order by c, row_id)
     from (select * from sims order by c, row_id limit 3) where c < round(i * 0.05, 2)), '')
     as examples

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from journalsieve.functions.accounts import is_pnl
 from journalsieve.functions.amounts import NUMBER
 from journalsieve.functions.dates import month_label
+from journalsieve.operators.quantiles import draw_of_rank
 from journalsieve.plans.registry import TESTS
 
 CHART_ROWS = 500_000
@@ -63,25 +64,7 @@ def downsample(scored: DataFrame, max_rows: int = CHART_ROWS, seed: int = 42) ->
         # the published rule keeps the whole rest when nothing may be filled up
         return scored
     draw = F.md5(F.concat(F.lit(f"{seed}-"), F.col("row_id").cast("string")))
-    return flagged.union(quiet.filter(draw < _draw_of_rank(quiet.select(draw.alias("draw")), wanted)))
-
-
-def _draw_of_rank(draws: DataFrame, rank: int, digits: int = 3) -> str:
-    """The text below which ``rank`` of the distinct hexadecimal draws lie; each step counts 16^3 cells."""
-    bound = ""
-    while rank or not bound:
-        cells = draws.filter(F.col("draw").startswith(bound)).groupBy(
-            F.substring("draw", len(bound) + 1, digits).alias("cell")).count().collect()
-        for cell in sorted(cells):
-            if cell["count"] > rank:
-                bound += cell["cell"]
-                break
-            rank -= cell["count"]
-        else:
-            return bound + "g"  # every draw of the cell
-        if len(bound) >= 32:
-            break
-    return bound
+    return flagged.union(quiet.filter(draw < draw_of_rank(quiet.select(draw.alias("draw")), wanted)))
 
 
 def score_histogram(scored: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from journalsieve.functions.dates import month_label
 
@@ -36,49 +36,55 @@ def run_record(mandant: DataFrame, file: str, run_date: str, statistics: DataFra
         counts.alias("flag_counts"))
 
 
-def previous_run(runs: DataFrame) -> DataFrame:
-    """Per client the run before the newest one; a client with a single run has none."""
-    newest_first = Window.partitionBy("mandant").orderBy(F.desc("run_date"))
-    return (
-        runs.withColumn("place", F.row_number().over(newest_first))
-        .filter("place <= 2").filter("place = 2").drop("place")
-    )
+def monthly_records(mandant: DataFrame, file: str, run_date: str, months: DataFrame) -> DataFrame:
+    """The monthly sums per account stored beside the run's record, one row each."""
+    return months.select(
+        mandant.select("mandant").scalar().alias("mandant"), F.lit(run_date).alias("run_date"),
+        F.lit(file).alias("file"), "konto_soll", "monat", "summe")
 
 
-def flag_deltas(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """(flag, current, previous, delta) of the tests whose counts changed."""
-    now, then = F.coalesce("now", F.lit(0)), F.coalesce("then", F.lit(0))
-    return (
-        current.withColumnRenamed("n", "now")
-        .join(previous.withColumnRenamed("n", "then"), "flag", "full")
-        .select("flag", now.alias("current"), then.alias("previous"), (now - then).alias("delta"))
-        .filter("delta != 0")
-    )
+def _newest_two(runs: DataFrame) -> DataFrame:
+    """The two newest runs of every client, ``place`` 1 and 2; runs of one second go by file name."""
+    newest_first = Window.partitionBy("mandant").orderBy(F.desc("run_date"), F.desc("file"))
+    return runs.withColumn("place", F.row_number().over(newest_first)).filter("place <= 2")
 
 
-def account_changes(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """(konto_soll, change): accounts only one of the two runs booked on."""
-    now = current.select("konto_soll").distinct()
-    then = previous.select("konto_soll").distinct()
-    return now.join(then, "konto_soll", "left_anti").withColumn("change", F.lit("new")).union(
-        then.join(now, "konto_soll", "left_anti").withColumn("change", F.lit("removed")))
+def previous_run(runs: DataFrame) -> DataFrame:
+    """Per client the run before the newest one; a client with a single run has none."""
+    return _newest_two(runs).filter("place = 2").drop("place")
 
 
-def compare_runs(current: dict[str, DataFrame], previous: dict[str, DataFrame]) -> DataFrame:
-    """(kind, name, current, previous, delta) over flags, suspicious share and accounts.
+def compare_runs(runs: DataFrame, months: DataFrame) -> DataFrame:
+    """(mandant, kind, name, current, previous, delta) of every client's newest two stored runs.
 
-    Each side brings ``flags`` (flag, n), ``statistics`` and ``months``.
+    ``runs`` holds the run records, ``months`` their monthly records.  Rows name the tests whose
+    counts changed, the suspicious share, and accounts only one of the runs booked on.  A client's
+    first run has nothing to compare with.
     """
-    flags = flag_deltas(current["flags"], previous["flags"]).select(
-        F.lit("flag").alias("kind"), F.col("flag").alias("name"),
-        *[F.col(c).cast("double").alias(c) for c in ("current", "previous", "delta")])
-    before = previous["statistics"].select("suspicious_pct").scalar()
-    share = current["statistics"].select(
-        F.lit("share").alias("kind"), F.lit("suspicious_pct").alias("name"),
-        F.col("suspicious_pct").alias("current"), before.alias("previous"),
-        F.round(F.col("suspicious_pct") - before, 2).alias("delta"))
-    accounts = account_changes(current["months"], previous["months"]).select(
-        F.concat(F.col("change"), F.lit(" account")).alias("kind"),
+    pair = _newest_two(runs).withColumn(
+        "n_runs", F.count(F.lit(1)).over(Window.partitionBy("mandant"))).filter("n_runs = 2")
+    newest = F.col("place") == 1
+
+    def sides(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
+        value = value.cast("double")
+        return rows.groupBy("mandant", *keys).agg(
+            F.sum(F.when(newest, value).otherwise(0.0)).alias("current"),
+            F.sum(F.when(newest, 0.0).otherwise(value)).alias("previous"))
+
+    counts = pair.select("mandant", "place", F.explode("flag_counts").alias("name", "n"))
+    flags = sides(counts, ["name"], F.col("n")).filter("current != previous").select(
+        "mandant", F.lit("flag").alias("kind"), "name", "current", "previous",
+        (F.col("current") - F.col("previous")).alias("delta"))
+    share = sides(pair, [], F.col("suspicious_pct")).select(
+        "mandant", F.lit("share").alias("kind"), F.lit("suspicious_pct").alias("name"), "current",
+        "previous", F.round(F.col("current") - F.col("previous"), 2).alias("delta"))
+    booked = (
+        months.join(pair.select("mandant", "run_date", "file", "place"), ["mandant", "run_date", "file"])
+        .groupBy("mandant", "konto_soll")
+        .agg(F.bool_or(newest).alias("now"), F.bool_or(~newest).alias("then"))
+    )
+    accounts = booked.filter(F.col("now") != F.col("then")).select(
+        "mandant", F.when(F.col("now"), "new account").otherwise("removed account").alias("kind"),
         F.col("konto_soll").alias("name"),
         *[F.lit(None).cast("double").alias(c) for c in ("current", "previous", "delta")])
     return flags.unionByName(share).unionByName(accounts)

@@ -433,20 +433,32 @@ def monthly_account_sums(spark, sf_dir):
     return history.monthly_account_sums(context_of(spark, sf_dir).account_months)
 
 
-def _record(run: Analysis, file: str, run_date: str) -> DataFrame:
-    mandant = history.detect_mandant(run.journal, file)
-    return history.run_record(mandant, file, run_date, run.statistics(), run.flag_counts())
+def _save(runs: list[tuple[Analysis, str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Store runs (run, file, date) of one client, the newest last; the stored records and monthly
+    sums, read back."""
+    spark = runs[-1][0].journal.sparkSession
+    folders = [workspace.new_folder(spark, part) for part in ("history", "history-months")]
+    mandant = history.detect_mandant(runs[-1][0].journal, runs[-1][1])
+    for run, file, run_date in runs:
+        months = history.monthly_account_sums(run.context.account_months)
+        tables = (history.run_record(mandant, file, run_date, run.statistics(), run.flag_counts()),
+                  history.monthly_records(mandant, file, run_date, months))
+        for rows, folder in zip(tables, folders):
+            run_store.append(rows, folder)
+    return tuple(run_store.load(spark, folder, rows.schema) for rows, folder in zip(tables, folders))
 
 
 @query("save_run")
 def save_run(spark, sf_dir):
-    run = shared_run(spark, sf_dir)
-    folder = workspace.new_folder(spark, "history")
-    record = _record(run, "journal.csv", "2001-09-01T00:00:00")
-    run_store.append(record, folder)
-    back = run_store.load(spark, folder, record.schema)
-    return back.select("mandant", "run_date", "file", "total_rows", "suspicious_pct",
-                       F.explode("flag_counts").alias("flag", "n"))
+    records, _ = _save([(shared_run(spark, sf_dir), "journal.csv", "2001-09-01T00:00:00")])
+    return records.select("mandant", "run_date", "file", "total_rows", "suspicious_pct",
+                          F.explode("flag_counts").alias("flag", "n"))
+
+
+@query("save_run_months")
+def save_run_months(spark, sf_dir):
+    """The monthly sums per account stored with the run."""
+    return _save([(shared_run(spark, sf_dir), "journal.csv", "2001-09-01T00:00:00")])[1]
 
 
 @query("last_run")
@@ -456,12 +468,11 @@ def last_run(spark, sf_dir):
 
 @query("compare_runs")
 def compare_runs(spark, sf_dir):
-    sides = [
-        {"flags": run.flag_counts(), "statistics": run.statistics(),
-         "months": history.monthly_account_sums(run.context.account_months)}
-        for run in (shared_run(spark, sf_dir), shared_run(spark, sf_dir, EARLIER))
-    ]
-    return history.compare_runs(*sides)
+    """The journal up to a date and the whole journal, stored one after the other and compared from
+    the store alone."""
+    stored = _save([(shared_run(spark, sf_dir, EARLIER), "journal.csv", "2001-01-01T00:00:00"),
+                    (shared_run(spark, sf_dir), "journal.csv", "2001-09-01T00:00:00")])
+    return history.compare_runs(*stored).drop("mandant")
 
 
 def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,12 +126,17 @@ def test_client_detection(raw, spark):
 
 
 def test_compare_runs(spark):
-    def side(flags_, pct, accounts):
-        return {"flags": spark.createDataFrame(flags_, "flag string, n long"),
-                "statistics": spark.createDataFrame([(pct,)], "suspicious_pct double"),
-                "months": spark.createDataFrame([(a,) for a in accounts], "konto_soll string")}
-    out = history.compare_runs(side([("A", 3), ("B", 1)], 5.0, ["1", "2", "2"]),
-                               side([("A", 1), ("B", 1), ("C", 2)], 7.5, ["2", "3"])).collect()
+    runs = spark.createDataFrame(
+        [("m", "2024-01-01", "f", 99.0, {"A": 9}), ("m", "2024-02-01", "f", 7.5, {"A": 1, "B": 1, "C": 2}),
+         ("m", "2024-02-01", "g", 5.0, {"A": 3, "B": 1}), ("first", "2024-02-01", "g", 5.0, {"A": 3})],
+        "mandant string, run_date string, file string, suspicious_pct double, flag_counts map<string, long>")
+    months = spark.createDataFrame(
+        [("m", "2024-01-01", "f", "9"), ("m", "2024-02-01", "f", "2"), ("m", "2024-02-01", "f", "3"),
+         ("m", "2024-02-01", "g", "1"), ("m", "2024-02-01", "g", "2"), ("m", "2024-02-01", "g", "2"),
+         ("first", "2024-02-01", "g", "7")],
+        "mandant string, run_date string, file string, konto_soll string")
+    out = history.compare_runs(runs, months).collect()
+    assert {r.mandant for r in out} == {"m"}  # a first run has nothing to compare with
     got = {(r.kind, r.name): r.delta for r in out}
     assert got == {("flag", "A"): 2.0, ("flag", "C"): -2.0, ("share", "suspicious_pct"): -2.5,
                    ("new account", "1"): None, ("removed account", "3"): None}
