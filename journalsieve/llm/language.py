@@ -108,8 +108,9 @@ def fit(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", t
     if usable is not None:
         labelled = labelled.filter(usable)
     labelled = own_columns(labelled, id=id_col, text=text_col, lang=lang_col)
-    sizes = labelled.groupBy("lang").count().withColumn(
-        "width", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")))
+    # written, so that the planner knows how few rows these are and leaves the texts where they lie
+    sizes = settle(labelled.groupBy("lang").count().withColumn(
+        "width", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))), "language-sizes")
     drawn = F.pmod(F.xxhash64(F.lit(7), F.col("id")), F.lit(1 << 40)) / float(1 << 40)
     picked = labelled.join(sizes.select("lang", "width"), "lang").filter(drawn < F.col("width"))
 
