@@ -28,6 +28,8 @@ from journalsieve.llm.common import in_portions
 END = "</w>"
 #: Words and pieces whose ids a worker keeps, and token pairs it knows; a full table is emptied.
 KEPT_WORDS, KEPT_PAIRS = 400_000, 1_000_000
+#: Characters split at a time: the more, the more new words share one walk.
+PORTION = 4 << 20
 
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 # letters, numbers and white space below U+0250, where normal form C changes nothing
@@ -194,7 +196,7 @@ class PrefixTrieEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[str]:
         """Decimal ids of each text, joined by spaces."""
-        for portion in in_portions(texts):
+        for portion in in_portions(texts, PORTION):
             split = []  # of each text: special tokens as their ids, the rest as lists of pieces
             fresh: set[str] = set()
             for i in portion:
