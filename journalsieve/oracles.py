@@ -278,6 +278,12 @@ v_raw as (select id, g, tf * ln(1 + (select count(distinct id) from v_tf) / df)
   from v_tf join v_df using (g)),
 v as (select id, g, w / sqrt(sum(w * w) over (partition by id)) as w from v_raw)"""
 
+
+def _vectors(name: str) -> str:
+    """The vectors ``name`` of the texts ``<name>_texts``."""
+    return re.sub(r"\bv(?=_\w|\b)", name, _VECTORS)
+
+
 _CTES["v_texts_label"] = """
 select txt as id, txt from (select buchungstext as txt from eligible union
   select label from eligible)"""
@@ -399,10 +405,6 @@ select row_id from p where ok and kreditor <> '' and (a, konto, kreditor) not in
 _oracle("semi_outlier_months", """
 select row_id, konto as konto_soll, strftime(d, '%Y-%m') as monat from p
 where ok and pnl and (konto, ym) in (select (konto, ym) from spikes)""")
-_oracle("canonical_vendor_join", r"""
-select row_id, case when regexp_matches(kreditor, '^Kreditor \d+$')
-  then 'Kreditor ' || (cast(substr(kreditor, 10) as integer) % 10) else kreditor end
-  as _kreditor_canonical from p""")
 _oracle("consecutive_pair", """
 select * from (select row_id, lag(row_id) over w as previous_id,
     cast(floor((epoch(d) - epoch(lag(d) over w)) / 86400) as bigint) as gap_days
@@ -590,35 +592,71 @@ ORACLES["cosine_pairs"] = """
 select x.vec_id as id_a, y.vec_id as id_b,
   round(list_dot_product(x.embedding::double[], y.embedding::double[]), 6) as cosine
 from embeddings x join embeddings y on y.vec_id = x.vec_id + 1"""
-_oracle("vendor_clusters", """
-select kreditor, coalesce((
-    select m.kreditor from vendor_names m join reach r2 on r2.x = m.kreditor
-    where r2.root = c.root order by length(m.kreditor), m.first_row limit 1), kreditor) as canonical
-from vendor_names left join comp c on c.x = kreditor""", recursive=True, extra="""
+_CLUSTERS = """
 vendor_names as (select kreditor, min(row_id) as first_row from p where kreditor <> '' group by 1),
-v_texts as (select kreditor as id, kreditor as txt from vendor_names),""" + _VECTORS + """,
-near as (select l.id as x, r.id as y from v l join v r using (g) group by all
+n_texts as (select kreditor as id, kreditor as txt from vendor_names),""" + _vectors("n") + """,
+near as (select l.id as x, r.id as y from n l join n r using (g) group by all
   having sum(l.w * r.w) >= 0.8 - 1e-9),
-walk(x, y) as (select x, y from near union select w.x, n.y from walk w join near n on n.x = w.y),
+walk(x, y) as (select x, y from near union select w.x, m.y from walk w join near m on m.x = w.y),
 comp as (select x, min(y) as root from walk group by x),
-reach as (select x, root from comp)""")
-_oracle("near_duplicate_similar_texts", """
-select row_id from close_seq join same on x = buchungstext and y = prev_text where near
-union select prev from close_seq join same on x = buchungstext and y = prev_text where near""",
-        extra="""
+reach as (select x, root from comp),
+canon as (select kreditor, coalesce((
+    select m.kreditor from vendor_names m join reach r2 on r2.x = m.kreditor
+    where r2.root = c.root order by length(m.kreditor), m.first_row limit 1), kreditor) as canonical
+  from vendor_names left join comp c on c.x = kreditor)"""
+_oracle("vendor_clusters", "select kreditor, canonical from canon", recursive=True, extra=_CLUSTERS)
+_oracle("canonical_vendor_join", """
+select row_id, coalesce(canonical, kreditor) as _kreditor_canonical
+from p left join canon using (kreditor)""", recursive=True, extra=_CLUSTERS)
+
+_ALIKE = """
 v_texts as (select distinct buchungstext as id, buchungstext as txt from p),""" + _VECTORS + """,
 same as (select l.id as x, r.id as y from v l join v r using (g) group by all
   having sum(l.w * r.w) >= 0.85),
 close_rows as (select *, case when kreditor <> '' then 'k' || kreditor else 't' end as who
-  from p where ok),
+  from {rows} where ok),
 close_groups as (select a, konto, who from close_rows group by all
   having count(*) between 2 and 10 and count(distinct ym) < 6),
 close_seq as (select row_id, buchungstext, lag(row_id) over w as prev,
     lag(buchungstext) over w as prev_text,
     floor((epoch(d) - epoch(lag(d) over w)) / 86400) between 1 and 3
-      and dvbelegnummer <> lag(dvbelegnummer) over w as near
+      and dvbelegnummer <> lag(dvbelegnummer) over w as close_by
   from close_rows join close_groups using (a, konto, who)
-  window w as (partition by a, konto, who order by d, row_id))""")
+  window w as (partition by a, konto, who order by d, row_id)),
+alike as (
+  select row_id from close_seq join same on x = buchungstext and y = prev_text where close_by
+  union select prev from close_seq join same on x = buchungstext and y = prev_text where close_by)"""
+_oracle("near_duplicate_similar_texts", "select row_id from alike",
+        extra=_ALIKE.replace("{rows}", "p"))
+
+# text mode: the rules that look at vendors see canonical names
+_BY_VENDOR = ["vendor_docs", "regular_vendor", "level1", "level2_groups", "level2",
+              "f_beleg_kreditor_duplikat", "f_neuer_kreditor_hoch"]
+
+
+def _on_canonical(sql: str) -> str:
+    for name in _BY_VENDOR:
+        sql = re.sub(rf"\b{name}\b", f"q_{name}", sql)
+    return re.sub(r"\bp\b", "q", sql)
+
+
+_oracle("full_analysis_text", _EXPORT.replace("from out", "from text_out"), recursive=True,
+        extra=_CLUSTERS + """,
+q as (select p.* replace (coalesce(canonical, kreditor) as kreditor)
+  from p left join canon using (kreditor)),""" + ",".join(
+            f"\nq_{n} as ({_on_canonical(_CTES[n])})" for n in _BY_VENDOR)
+        + "," + _ALIKE.replace("{rows}", "q") + ",\n"
+        + re.sub(r"\bv(?=_\w|\b)(?!_texts_label)", "m", _LABEL_VECTORS) + f""",
+mismatched as (select row_id from sims where c < 0.3
+  and konto in (select konto from eligible group by 1 having count(*) >= 5)),
+text_flags as (select * exclude (score, crit) replace (
+    row_id in (select row_id from alike) as flag_NEAR_DUPLICATE,
+    row_id in (select row_id from q_f_beleg_kreditor_duplikat) as flag_BELEG_KREDITOR_DUPLIKAT,
+    row_id in (select row_id from q_f_neuer_kreditor_hoch) as flag_NEUER_KREDITOR_HOCH,
+    row_id in (select row_id from mismatched) as flag_TEXT_KONTO_MATCH) from scored),
+text_scored as (select *, {" + ".join(f"flag_{n}::int * {w}::double" for n, w in zip(_FLAGS, _POINTS))}
+    as score, ({" or ".join(f"flag_{n}" for n in _DECISIVE)}) as crit from text_flags),
+text_out as ({_CTES["out"].replace("from scored", "from text_scored")})""")
 
 # --- chart data ------------------------------------------------------------------------------
 

@@ -283,11 +283,8 @@ def semi_outlier_months(spark, sf_dir):
 @query("canonical_vendor_join")
 def canonical_vendor_join(spark, sf_dir):
     journal = journal_of(spark, sf_dir)
-    number = F.regexp_extract("kreditor", r"^Kreditor (\d+)$", 1).try_cast("int")
     names = workspace.settle(
-        journal.select("kreditor").distinct().filter(number.isNotNull())
-        .select("kreditor", F.concat(F.lit("Kreditor "), F.pmod(number, F.lit(10)).cast("string"))
-                .alias("canonical")), "vendor_names")
+        vendor_clusters.vendor_clusters(_vendor_names(journal), 0.20), "vendors")
     return prepare.canonical_vendors(journal, names).select("row_id", "_kreditor_canonical")
 
 
@@ -413,6 +410,13 @@ def full_analysis(spark, sf_dir):
     return Analysis(raw_journal(spark, sf_dir)).export()
 
 
+@query("full_analysis_text")
+def full_analysis_text(spark, sf_dir):
+    """The whole way with canonical vendors, similarity of texts and account labels."""
+    return Analysis(raw_journal(spark, sf_dir), labels=order_labels(spark, sf_dir),
+                    text_similarity=True).export()
+
+
 @query("column_profile")
 def column_profile(spark, sf_dir):
     return validation.column_profile(raw_journal(spark, sf_dir))

@@ -14,7 +14,7 @@ FOLDER = "/root/testdata/sf0.001"
 CHECKED = [
     "read_journal_csv", "prepared_parquet", "counterpart_account", "flags_parquet", "export_csv",
     "retain_last_n", "compare_runs", "test_readiness", "feedback_stats", "reweight",
-    "text_konto_match", "threshold_sweep", "vendor_clusters", "cosine_pairs", "downsample",
+    "text_konto_match", "threshold_sweep", "vendor_clusters", "canonical_vendor_join", "full_analysis_text", "cosine_pairs", "downsample",
     "derive_dims", "debit_credit_balance", "global_stats", "save_run", "save_run_months", "merge_flags",
 ]
 
