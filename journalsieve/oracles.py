@@ -583,6 +583,19 @@ union all select 'std', round(stddev_pop(c), 5), null from sims
 union all select 'min', round(min(c), 5), null from sims
 union all select 'max', round(max(c), 5), null from sims""", extra=_LABEL_VECTORS)
 
+# --- what intake stores beside the totals ----------------------------------------------------
+
+
+def _per_upload(sql: str) -> str:
+    return " union all ".join(
+        f"select 'upload_1{m}' as upload, * from ({_with(sql, where=f'o_orderkey % 3 = {m}')})"
+        for m in range(3))
+
+
+ORACLES["intake_suspicious"] = _per_upload(_EXPORT)
+ORACLES["intake_months"] = _per_upload(
+    "select (select min(mandant) from p) as mandant, m.* from konto_months m")
+
 # --- vectors and entity resolution -----------------------------------------------------------
 
 ORACLES["text_vectors"] = (

@@ -177,8 +177,7 @@ def gt_lookup(spark, sf_dir):
         "row_id", "gt_bezeichnung")
 
 
-@query("intake_stream")
-def intake_stream(spark, sf_dir):
+def _taken_in(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
     """One upload folder per client; each arrives and is analysed on its own."""
     root = workspace.new_folder(spark, "intake")
     export = order_export(spark, sf_dir)
@@ -187,7 +186,24 @@ def intake_stream(spark, sf_dir):
             "header", True).csv(f"{root}/inbox/upload_{upload}")
     intake.intake_stream(spark, f"{root}/inbox", f"{root}/results", f"{root}/state",
                          export.columns)
-    return intake.intake_results(spark, f"{root}/results").drop("batch")
+    return intake.intake_results(spark, f"{root}/results", part).drop("batch")
+
+
+@query("intake_stream")
+def intake_stream(spark, sf_dir):
+    return _taken_in(spark, sf_dir, "totals")
+
+
+@query("intake_suspicious")
+def intake_suspicious(spark, sf_dir):
+    """The suspicious rows stored with every upload."""
+    return _taken_in(spark, sf_dir, "suspicious").withColumn("row_id", F.col("row_id").cast("long"))
+
+
+@query("intake_months")
+def intake_months(spark, sf_dir):
+    """The monthly sums per account stored with every upload."""
+    return _taken_in(spark, sf_dir, "months").select("upload", "mandant", "konto_soll", "monat", "summe")
 
 
 # --- scalar functions ------------------------------------------------------------------------

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from journalsieve.config import AnalysisConfig
 from journalsieve.functions.text import clean_nulls
+from journalsieve.plans import history
 from journalsieve.plans.analysis import Analysis
+from journalsieve.plans.registry import TESTS
 from journalsieve.schema import CSV_NULL_LITERALS, NULL_LITERALS
 from journalsieve.sources.journal_csv import map_columns
+from journalsieve.workspace import new_folder
 
 RESULT_SCHEMA = (
     "upload string, total_input long, total_suspicious long, total_output long, "
@@ -17,23 +20,42 @@ RESULT_SCHEMA = (
 )
 
 
+#: What is stored of every upload, each part in its own folder.
+PARTS = ("totals", "suspicious", "flags", "history", "months")
+
+
+def _parts_of(run: Analysis, upload: str, arrived: str) -> dict[str, DataFrame]:
+    mandant = history.detect_mandant(run.journal, upload)
+    totals = run.statistics()
+    months = history.monthly_account_sums(run.context.account_months)
+    return {
+        "totals": totals,
+        "suspicious": run.export(),
+        "flags": run.scored.select("row_id", *[t.column for t in TESTS], "_score"),
+        "history": history.run_record(mandant, upload, arrived, totals, run.flag_counts()),
+        "months": history.monthly_records(mandant, upload, arrived, months),
+    }
+
+
 def _analyse_batch(results: str, config: AnalysisConfig):
     def analyse(batch: DataFrame, batch_id: int) -> None:
         """Each upload of the batch is one journal: its statistics cover its own rows only.
 
-        A repeated batch replaces its own result folder, so a restart leaves no duplicates.
+        The batch is written once by upload, so every analysis reads its own rows alone.  The driver
+        holds the names of the batch's uploads.  A repeated batch replaces its own result folders,
+        so a restart leaves no duplicates.
         """
-        rows = batch.persist()
-        uploads = sorted(r.upload for r in rows.select("upload").distinct().collect())
-        tables = []
-        for upload in uploads:
-            raw = map_columns(rows.filter(F.col("upload") == upload).drop("upload"))
-            figures = Analysis(raw, config).statistics()
-            tables.append(figures.withColumn("upload", F.lit(upload)))
-        for i, figures in enumerate(tables):
-            figures.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite") \
-                .parquet(f"{results}/batch={batch_id}/upload={i}")
-        rows.unpersist()
+        folder = new_folder(batch.sparkSession, "intake")
+        batch.write.partitionBy("upload").parquet(folder)
+        rows = batch.sparkSession.read.schema(batch.schema).parquet(folder)
+        uploads = rows.groupBy("upload").agg(
+            F.date_format(F.max("arrived_at"), "yyyy-MM-dd'T'HH:mm:ss").alias("arrived")).orderBy("upload")
+        for i, (upload, arrived) in enumerate(uploads.collect()):
+            own = rows.filter(F.col("upload") == upload).drop("upload", "arrived_at")
+            run = Analysis(map_columns(own), config)
+            for part, figures in _parts_of(run, upload, arrived).items():
+                figures.withColumns({"upload": F.lit(upload), "batch": F.lit(batch_id).cast("long")}) \
+                    .write.mode("overwrite").parquet(f"{results}/{part}/batch={batch_id}/upload={i}")
     return analyse
 
 
@@ -49,7 +71,8 @@ def intake_stream(spark: SparkSession, inbox: str, results: str, state: str, col
     arriving = clean_nulls(
         spark.readStream.schema(schema).option("sep", separator).option("header", True)
         .option("quote", '"').option("escape", '"').csv(f"{inbox}/*/")
-        .select("*", F.element_at(F.split("_metadata.file_path", "/"), -2).alias("upload")),
+        .select("*", F.element_at(F.split("_metadata.file_path", "/"), -2).alias("upload"),
+                F.col("_metadata.file_modification_time").alias("arrived_at")),
         literals)
     query = (
         arriving.writeStream.trigger(availableNow=True).option("checkpointLocation", state)
@@ -59,5 +82,7 @@ def intake_stream(spark: SparkSession, inbox: str, results: str, state: str, col
     return query
 
 
-def intake_results(spark: SparkSession, results: str) -> DataFrame:
-    return spark.read.schema(RESULT_SCHEMA).parquet(f"{results}/*/*")
+def intake_results(spark: SparkSession, results: str, part: str = "totals") -> DataFrame:
+    """One of ``PARTS`` over all uploads; ``upload`` and ``batch`` say where a row came from."""
+    read = spark.read.schema(RESULT_SCHEMA) if part == "totals" else spark.read
+    return read.parquet(f"{results}/{part}/*/*")

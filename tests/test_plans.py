@@ -230,6 +230,13 @@ def test_intake_analyses_each_upload_once(spark, raw, tmp_path):
     got = intake.intake_results(spark, results).collect()
     assert sorted((r.upload, r.total_input) for r in got) == [
         ("first", len(journal_rows())), ("second", 30)]
+    suspicious = intake.intake_results(spark, results, "suspicious").groupBy("upload").count().collect()
+    assert dict(map(tuple, suspicious)) == {r.upload: r.total_suspicious for r in got if r.total_suspicious}
+    assert intake.intake_results(spark, results, "flags").count() == len(journal_rows()) + 30
+    records = intake.intake_results(spark, results, "history").collect()
+    assert sorted((r.file, r.total_rows, len(r.flag_counts)) for r in records) == [
+        ("first", len(journal_rows()), 15), ("second", 30, 15)]
+    assert intake.intake_results(spark, results, "months").select("file").distinct().count() == 2
 
 
 def test_downsample_fills_up_exactly_without_a_sort(spark):
