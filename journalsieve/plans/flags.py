@@ -44,13 +44,15 @@ def with_flags(ctx: Context, enabled: Iterable[str] | None = None) -> DataFrame:
     """One boolean column per test beside the exported and typed columns of the journal; disabled
     tests are false throughout.  Source columns no later step reads are not carried along.
 
-    Row conditions become a projection, lookups are joined on their keys.  The tests that deliver
+    Row conditions become a projection.  Lookup tables of the same keys are joined with each other
+    first, so the journal meets them once.  The tests that deliver
     row ids are united, folded to one row per id and joined once on the unique id: a single shuffle
     of the journal, on a key that cannot run hot.
     """
     wanted = {t.name for t in TESTS} if enabled is None else set(enabled)
     df, listed = ctx.journal, []
     hits: dict[str, list[Column]] = {t.name: [] for t in TESTS}
+    tables: dict[tuple[str, ...], DataFrame] = {}
     active = [t for t in TESTS if t.name in wanted]
     # the small jobs behind the tests are independent of each other
     with ThreadPoolExecutor(SETUP_JOBS) as pool:
@@ -64,8 +66,12 @@ def with_flags(ctx: Context, enabled: Iterable[str] | None = None) -> DataFrame:
                 hits[test.name].append(F.col(mark))
             else:
                 if isinstance(part, Lookup):
-                    df = df.join(part.table, part.keys, "left")
+                    keys = tuple(part.keys)
+                    tables[keys] = tables[keys].join(part.table, part.keys, "full") \
+                        if keys in tables else part.table
                 hits[test.name].append(part.hit)
+    for keys, table in tables.items():
+        df = df.join(table, list(keys), "left")
     if listed:
         tagged = reduce(DataFrame.union, [
             rows.select("row_id", F.lit(mark).alias("mark")) for mark, rows in listed])

@@ -14,7 +14,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
+#: Fall-back folders of local sessions; they go when the interpreter ends.
+_local_roots: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -27,8 +28,8 @@ def scratch_root(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     app = context.applicationId
     if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="journalsieve-")
-    return _local_roots[app]
+        _local_roots[app] = tempfile.TemporaryDirectory(prefix="journalsieve-", ignore_cleanup_errors=True)
+    return _local_roots[app].name
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

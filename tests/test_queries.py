@@ -6,7 +6,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from journalsieve.oracles import ORACLES
-from journalsieve.queries import QUERIES
+from journalsieve.plans.analysis import Analysis
+from journalsieve.queries import QUERIES, journal_of
 from tools.check import TABLES, canonical
 
 FOLDER = "/root/testdata/sf0.001"
@@ -14,7 +15,8 @@ FOLDER = "/root/testdata/sf0.001"
 CHECKED = [
     "read_journal_csv", "prepared_parquet", "counterpart_account", "flags_parquet", "export_csv",
     "retain_last_n", "compare_runs", "test_readiness", "feedback_stats", "reweight",
-    "text_konto_match", "threshold_sweep", "vendor_clusters", "canonical_vendor_join", "full_analysis_text", "cosine_pairs", "downsample",
+    "text_konto_match", "threshold_sweep", "vendor_clusters", "canonical_vendor_join",
+    "full_analysis_text", "intake_suspicious", "cosine_pairs", "downsample",
     "derive_dims", "debit_credit_balance", "global_stats", "save_run", "save_run_months", "merge_flags",
 ]
 
@@ -43,3 +45,10 @@ def test_every_query_has_sql_or_a_reason():
 
 def test_entry(spark):
     assert entry(spark).columns[0] == "row_id"
+
+
+def test_lookups_of_equal_keys_meet_the_journal_once(spark):
+    run = Analysis.of_prepared(journal_of(spark, FOLDER))
+    plan = run.flagged()._jdf.queryExecution().optimizedPlan().toString()
+    # account limits, account months and row ids
+    assert plan.count("Join LeftOuter") == 3
