@@ -75,19 +75,17 @@ _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?",
                         re.I)
 _WORD = re.compile(r"[a-z]+")
+_RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 _SENTENCE = re.compile(r"[.!?…。](?:\s|$)")
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name or text, attributes): text, start and end tags; comments and raw elements are left out."""
     at, size, raw = 0, len(page), None
-    lower = page.lower() if any(f"<{name}" in page.lower() for name in RAW) else ""
-    if len(lower) != size:  # lower-casing changed the length: search the page itself
-        lower = page
     while at < size:
         if raw:
-            end = lower.find(f"</{raw}", at)
-            at, raw = (size if end < 0 else end), None
+            end = _RAW_END[raw].search(page, at)
+            at, raw = (end.start() if end else size), None
             continue
         start = page.find("<", at)
         if start < 0:
