@@ -114,6 +114,21 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 raw = name
 
 
+def _about(named: list[set[str]], article: bool) -> set[str]:
+    """Words that say what an element is, from the words of each of its names.
+
+    Beside a name of content words alone (``post category-social``), and on an article, other names tell of
+    its category, layout or settings.  An article is a comment only if that is a whole name of it.  Of a name
+    of both kinds the rest counts (``post-comments``), but the header of content holds its title.
+    """
+    content = any(n and n <= CONTENT_WORDS for n in named)
+    if article:
+        return set() if content else {w for n in named if len(n) == 1 for w in n & COMMENT_WORDS}
+    if content:
+        named = [n for n in named if n & CONTENT_WORDS]
+    return {w for n in named for w in n if w != "header" or not n & CONTENT_WORDS}
+
+
 class _Reader:
     """Collects the blocks of a page with the state of their open elements."""
 
@@ -127,12 +142,13 @@ class _Reader:
     def _state(self, name: str, attributes: str) -> tuple[str, int, float, bool, bool, bool]:
         _, _, weight, around, comments, hidden = self.open[-1]
         self.opened += 1
-        words, role = set(), ""
+        words, named, role = set(), [], ""
         if attributes and name not in ("html", "body"):
             for key, value in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), value.strip("\"'").lower()
                 if key in ("class", "id", "itemprop"):
                     words.update(_WORD.findall(value))
+                    named += [set(_WORD.findall(v)) for v in value.split()]
                 elif key == "role":
                     role = value
                 elif key == "hidden" and name != "input" or key == "aria-hidden" and value == "true":
@@ -143,9 +159,10 @@ class _Reader:
         elif words & CONTENT_WORDS:
             weight = max(weight, self.costs.content_word)
         in_article = weight == self.costs.content_tag
-        if words & COMMENT_WORDS:
+        about = _about(named, name in CONTENT_TAGS or role in ("main", "article"))
+        if about & COMMENT_WORDS:
             around = comments = True
-        elif (name in AROUND_TAGS or role in AROUND_ROLES or words & AROUND_WORDS and name in BLOCK
+        elif (name in AROUND_TAGS or role in AROUND_ROLES or about & AROUND_WORDS and name in BLOCK
               or name == "header" and not in_article):
             around = True
         return name, self.opened, weight, around, comments, hidden or name in HIDDEN

@@ -9,3 +9,18 @@ def test_raw_elements_end_where_lower_case_is_longer():
     for name in ("SCRIPT", "Style", "script"):
         page = f"<article><p>\u0130stanbul. {LONG}</p><{name.lower()}>var x = 1;</{name}><p>After. {LONG}</p></article>"
         assert html_cut.extract(page)[0] == f"\u0130stanbul. {LONG}\n\nAfter. {LONG}"
+
+
+def test_names_of_the_articles_own_element():
+    for tag in ("article class='post category-social'", "main class=has-sidebar", "article class='post comments-open'",
+                "div class='content with-sidebar'", "div id=content class=with-sidebar", "div role=main class=no-menu"):
+        end = tag.split()[0]
+        page = (f"<{tag}><div class=entry-header><h1>The title</h1></div><p>{LONG}</p><div class=sidebar>Most read today."
+                f"</div><div class=post-comments><p>I say: {LONG}</p></div></{end}>")
+        assert html_cut.extract(page)[0] == f"The title\n\n{LONG}", tag
+
+
+def test_names_around_the_text_still_count():
+    for tag in ("div class=sidebar", "div class=post-share", "div class=main-menu", "div class='post-comments open'",
+                "article class=comment", "section id=comments", "nav class=content"):
+        assert html_cut.extract(f"<article><p>{LONG}</p></article><{tag}><p>Beside. {LONG}</p></{tag.split()[0]}>")[0] == LONG
