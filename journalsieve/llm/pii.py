@@ -154,7 +154,8 @@ def confident_patterns(seen: DataFrame, settings: Bootstrap = Bootstrap()) -> Da
     edges = settle(
         seen.select(F.explode("seen").alias("o")).select("o.*")
         .select("kind", "instance", "seed", F.explode("patterns").alias("pattern"))
-        .groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")), "pii-graph")
+        .groupBy("kind", "pattern", "instance").agg(
+            F.max("seed").alias("seed"), (~F.min("seed")).alias("loose")), "pii-graph")
     instances = edges.groupBy("kind", "instance").agg(F.max("seed").cast("double").alias("trust"))
     patterns = None
     for _ in range(settings.rounds):
@@ -171,7 +172,8 @@ def confident_patterns(seen: DataFrame, settings: Bootstrap = Bootstrap()) -> Da
                 F.when(F.max("seed"), 1.0).otherwise(F.coalesce(1 - F.exp(doubt), F.lit(0.0))).alias("trust")),
             "pii-instances")
     trusted = patterns.filter((F.col("support") >= settings.support) & (F.col("confidence") >= settings.pattern))
-    found = edges.filter("not seed").join(trusted, ["kind", "pattern"]).join(
+    # a loose spelling of a known instance counts too, also where the strict one has the same words around it
+    found = edges.filter("loose").join(trusted, ["kind", "pattern"]).join(
         instances.filter(F.col("trust") >= settings.instance), ["kind", "instance"])
     return settle(found.select("kind", "pattern", "instance").distinct(), "pii-found")
 
