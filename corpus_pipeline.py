@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from journalsieve.llm import bpe, language, likeness, mixing, pii
+from journalsieve.llm import bpe, language, mixing, pii, simhash
 from journalsieve.workspace import settle
 
 VOCABULARY = "word_bpe_49k.json"
@@ -22,21 +22,22 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word likeness 0.8 or more) the document with the smallest id stays, once.
+    """Of each group that the fingerprints link, the document with the smallest id stays, once.
 
-    Rows are told apart by id and text: of exact repeats one stays, and of near copies with one id the least hash.
-    A document without an id stays if it is no exact repeat of another one without an id.
+    Rows are told apart by id and text (null counts as empty): of exact repeats the first by source, lang and
+    n_chars stays.  Rows without an id come after all others; a group of such rows alone keeps the least hash.
     """
-    found = likeness.near_copies(docs)
-    kept = found.filter("doc_id is not null").groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("kept"))
-    kept = kept.select(F.col("kept.doc_id").alias("kept"), F.col("kept.mark").alias("kept_mark"))
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    first = F.row_number().over(Window.partitionBy(
-        "doc_id", "__mark", F.col("doc_id").isNull() & F.col("text").isNull()).orderBy("source", "lang", "n_chars"))
-    marked = docs.withColumn("__mark", mark)
-    joined = marked.join(kept, (F.col("doc_id") == F.col("kept")) & (F.col("__mark") == F.col("kept_mark")), "left").filter(
-        "doc_id is null or kept is not null")
-    return joined.withColumn("__first", first).filter("__first = 1").select(*docs.columns)
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), mark.alias("mark"))
+    found = simhash.near_duplicates(docs.select(key.alias("key"), "text"), id_col="key")
+    name = lambda id_, mark_: F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("")), mark_)
+    kept = found.filter(F.col("key") == F.col("component_id")).select(
+        name(F.col("key.id"), F.col("key.mark")).alias("name")).distinct()
+    row = "row" + "_" * max(map(len, docs.columns))  # a name that none of the columns has
+    whole = docs.select(name(F.col("doc_id"), mark).alias("name"), F.struct(*docs.columns).alias(row)).join(
+        kept, "name", "left_semi")
+    first = F.row_number().over(Window.partitionBy("name").orderBy(*[f"{row}.{c}" for c in ("source", "lang", "n_chars")]))
+    return whole.withColumn("place", first).filter("place = 1").select(f"{row}.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
