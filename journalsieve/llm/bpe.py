@@ -20,6 +20,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -225,7 +226,7 @@ def encoder(path: str) -> PrefixTrieEncoder:
 
 _OUTPUTS = {
     "n_tokens": ("long", pa.int64(), lambda ids, text: ids.count(" ") + 1 if ids else 0),
-    "ids": ("array<int>", pa.list_(pa.int32()), lambda ids, text: list(map(int, ids.split()))),
+    "ids": ("array<int>", pa.list_(pa.int32()), lambda ids, text: np.fromstring(ids, np.int32, sep=" ")),
     "decoded": ("string", pa.string(), lambda ids, text: text()),
     "ids_sha256": ("string", pa.string(), lambda ids, text: hashlib.sha256(ids.encode()).hexdigest()),
     "decoded_sha256": ("string", pa.string(),
