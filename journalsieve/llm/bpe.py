@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from journalsieve.llm.common import in_portions
+from journalsieve.llm.common import in_portions, text_portions
 
 END = "</w>"
 #: Words and pieces whose ids a worker keeps, and token pairs it knows; a full table is emptied.
@@ -50,7 +50,8 @@ def _byte_characters() -> dict[int, str]:
 class PrefixTrieEncoder:
     """Encoder of one vocabulary file (BPE with word ends, byte-level symbols)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_WORDS, portion: int = PORTION):
+        self.kept, self.portion = kept, portion
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocab: dict[str, int] = spec["model"]["vocab"]
@@ -189,7 +190,7 @@ class PrefixTrieEncoder:
         new_words = set().union(*words_of.values())
         known = {w: self.words[w] for w in new_words.intersection(self.words)}
         known.update(self.learn(new_words.difference(known)))
-        if len(self.words) > KEPT_WORDS:
+        if len(self.words) > self.kept:
             self.words.clear()
         self.words.update(known)
         look = known.__getitem__
@@ -197,7 +198,7 @@ class PrefixTrieEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[str]:
         """Decimal ids of each text, joined by spaces."""
-        for portion in in_portions(texts, PORTION):
+        for portion in in_portions(texts, self.portion):
             split = []  # of each text: special tokens as their ids, the rest as lists of pieces
             fresh: set[str] = set()
             for i in portion:
@@ -205,7 +206,7 @@ class PrefixTrieEncoder:
                 split.append([self.special.get(m) or self.pieces_of(m) for m in marked])
                 fresh.update(*[p for p in split[-1] if isinstance(p, list)])
             new = fresh.difference(self.pieces)
-            if len(self.pieces) + len(new) > KEPT_WORDS:
+            if len(self.pieces) + len(new) > self.kept:
                 self.pieces.clear()
                 new = fresh
             self._learn_pieces(new)
@@ -220,8 +221,8 @@ class PrefixTrieEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> PrefixTrieEncoder:
-    return PrefixTrieEncoder(path)
+def encoder(path: str, kept: int = KEPT_WORDS, portion: int = PORTION) -> PrefixTrieEncoder:
+    return PrefixTrieEncoder(path, kept, portion)
 
 
 _OUTPUTS = {
@@ -235,12 +236,14 @@ _OUTPUTS = {
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-                  outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), keep: tuple[str, ...] = ()) -> DataFrame:
+                  outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), keep: tuple[str, ...] = (),
+                  kept: int = KEPT_WORDS, portion: int = PORTION) -> DataFrame:
     """Encode every whole text with the vocabulary file at ``path`` and decode the ids again.
 
     ``outputs`` chooses among n_tokens, ids, decoded, ids_sha256, decoded_sha256.  A null text counts as
     empty (no tokens, empty strings); null ids and repeated rows pass through; an empty table gives an
-    empty table; of the other columns only those in ``keep`` pass through.
+    empty table; of the other columns only those in ``keep`` pass through.  ``kept`` words a worker remembers and
+    ``portion`` characters at a time trade memory for time; the results do not depend on them.
     """
     chosen = {name: _OUTPUTS[name] for name in outputs}
     passed = [id_col, *[k for k in keep if k not in (id_col, *chosen)]]
@@ -248,17 +251,18 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(path, kept, portion)
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            columns: list[list] = [[] for _ in chosen]
-            for ids in coder.encode(texts):
-                text = functools.cache(functools.partial(coder.decode, ids))
-                for column, (_, _, make) in zip(columns, chosen.values()):
-                    column.append(make(ids, text))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], *[pa.array(c, t) for c, (_, t, _) in zip(columns, chosen.values())]],
-                names=[*passed, *chosen])
+            for start, texts in text_portions(batch.column(0), portion):
+                columns: list[list] = [[] for _ in chosen]
+                for ids in coder.encode(texts):
+                    text = functools.cache(functools.partial(coder.decode, ids))
+                    for column, (_, _, make) in zip(columns, chosen.values()):
+                        column.append(make(ids, text))
+                own = batch.slice(start, len(texts)).columns[1:]
+                yield pa.RecordBatch.from_arrays(
+                    [*own, *[pa.array(c, t) for c, (_, t, _) in zip(columns, chosen.values())]],
+                    names=[*passed, *chosen])
 
     return source.mapInArrow(run, ", ".join(
         [*types, *[f"{n} {t}" for n, (t, _, _) in chosen.items()]]))

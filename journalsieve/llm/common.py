@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -28,6 +30,16 @@ def in_portions(texts: list[str], size: int = 1 << 20) -> Iterator[range]:
         yield range(start, len(texts))
 
 
+def text_portions(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of stretches of about ``size`` bytes, null as empty; only one is held as objects."""
+    start, held = 0, 0
+    for i, length in enumerate(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).tolist(), 1):
+        held += length
+        if held >= size or i == len(column):
+            yield start, [t or "" for t in column.slice(start, i - start).to_pylist()]
+            start, held = i, 0
+
+
 def fold(df: DataFrame, doc_id: str, folds: int):
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from journalsieve.llm.common import in_portions
+from journalsieve.llm.common import text_portions
 
 #: Words of the shortest run.
 LEAST = 12
@@ -166,12 +166,11 @@ def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
-            for rows in in_portions(texts):
-                counts, runs, short = _portion(texts[rows.start:rows.stop], least, "collapsed" in outputs)
+            for start, texts in text_portions(batch.column(len(kept))):
+                counts, runs, short = _portion(texts, least, "collapsed" in outputs)
                 made = {"n_words": lambda: pa.array(counts), "runs": lambda: runs,
                         "collapsed": lambda: pa.array(short, pa.string())}
-                own = batch.slice(rows.start, len(rows)).columns[:-1]
+                own = batch.slice(start, len(texts)).columns[:-1]
                 yield pa.RecordBatch.from_arrays([*own, *[made[o]() for o in outputs]], names=[*kept, *outputs])
 
     return source.mapInArrow(run, schema)
