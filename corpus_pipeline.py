@@ -13,6 +13,9 @@ from journalsieve.llm import bpe, language, mixing, pii, simhash
 from journalsieve.workspace import settle
 
 VOCABULARY = "word_bpe_49k.json"
+#: Words a worker remembers and characters it encodes at a time: less than the operator's own, as the workers
+#: still hold what earlier stages left.
+KEPT_WORDS, PORTION = 150_000, 1 << 20
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +56,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and a digest of what they decode to."""
     return bpe.encode_decode(docs, public_tokenizers.path(VOCABULARY), keep=("lang", "source", "n_chars"),
-                             outputs=("n_tokens", "ids", "decoded_sha256"))
+                             outputs=("n_tokens", "ids", "decoded_sha256"), kept=KEPT_WORDS, portion=PORTION)
 
 
 STAGES = [
