@@ -15,8 +15,9 @@ from journalsieve.workspace import settle
 
 
 class Context:
-    """``vectors`` are optional term vectors of the posting texts (text, gram, weight), ``labels``
-    optional account labels (konto_soll, gt_bezeichnung).
+    """``vectors`` are optional vectors of the posting texts: terms (text, gram, weight), or dense unit
+    vectors (text, vector) of texts and labels.  ``labels`` are optional account labels (konto_soll,
+    gt_bezeichnung).
 
     The tests of a run are set up concurrently; what they share is computed by whoever asks first.
     """

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from journalsieve.operators.context import Context
 from journalsieve.operators.parts import Part, RowIds, counted_amounts
 from journalsieve.operators.quantiles import draw_of_rank, exact_quantiles
+from journalsieve.operators.text_vectors import is_dense
 from journalsieve.workspace import settle
 
 # the helpers travel with their tasks, so executors need no copy of this package
@@ -42,10 +43,14 @@ def features(ctx: Context) -> tuple[DataFrame, list[str]]:
     table = rows.select("row_id", "buchungstext", *[c.alias(n) for n, c in columns.items()])
     if ctx.vectors is not None:
         dims = [f"text_{i}" for i in range(TEXT_DIMS)]
-        slot = F.pmod(F.xxhash64("gram"), F.lit(TEXT_DIMS))
-        folded = ctx.vectors.groupBy(F.col("text").alias("buchungstext")).agg(*[
-            F.sum(F.when(slot == i, F.col("weight")).otherwise(0.0)).alias(d)
-            for i, d in enumerate(dims)])
+        if is_dense(ctx.vectors):
+            folded = ctx.vectors.select(F.col("text").alias("buchungstext"), *[
+                F.coalesce(F.get("vector", F.lit(i)), F.lit(0.0)).alias(d) for i, d in enumerate(dims)])
+        else:
+            slot = F.pmod(F.xxhash64("gram"), F.lit(TEXT_DIMS))
+            folded = ctx.vectors.groupBy(F.col("text").alias("buchungstext")).agg(*[
+                F.sum(F.when(slot == i, F.col("weight")).otherwise(0.0)).alias(d)
+                for i, d in enumerate(dims)])
         table = table.join(folded, "buchungstext", "left").fillna(0.0, dims)
         names += dims
     return table.drop("buchungstext"), names

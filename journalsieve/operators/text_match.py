@@ -8,7 +8,7 @@ from journalsieve.functions.text import strip
 from journalsieve.operators.context import Context
 from journalsieve.operators.parts import Part, RowIds
 from journalsieve.operators.quantiles import exact_quantiles
-from journalsieve.operators.text_vectors import pair_cosines, text_vectors
+from journalsieve.operators.text_vectors import is_dense, pair_cosines, text_vectors
 from journalsieve.workspace import settle
 
 SOURCE_LABEL = "bezeichnung"
@@ -56,8 +56,11 @@ def text_label_counts(ctx: Context) -> DataFrame:
         eligible_rows(ctx).groupBy("konto_soll", F.col("buchungstext").alias("a"),
                                    F.col("label").alias("b"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row")), "text_label")
-    texts = combos.select(F.col("a").alias("text")).union(combos.select("b"))
-    vectors = settle(text_vectors(texts).select("text", "gram", "weight"), "text_vectors")
+    if ctx.vectors is not None and is_dense(ctx.vectors):
+        vectors = ctx.vectors
+    else:
+        texts = combos.select(F.col("a").alias("text")).union(combos.select("b"))
+        vectors = settle(text_vectors(texts).select("text", "gram", "weight"), "text_vectors")
     return settle(combos.join(pair_cosines(combos, vectors), ["a", "b"]), "text_label_cosine")
 
 

@@ -53,9 +53,24 @@ def text_vectors(texts: DataFrame, text: str = "text", key: str | None = None) -
     )
 
 
+def is_dense(vectors: DataFrame) -> bool:
+    """Whether vectors are given as (text, vector) and not as terms (text, gram, weight)."""
+    return "vector" in vectors.columns
+
+
 def pair_cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(a, b, cosine) of the distinct text pairs (a, b); pairs without a common gram get 0."""
+    """(a, b, cosine) of the distinct text pairs (a, b); pairs without a common gram get 0.
+
+    Dense unit vectors (text, vector) are joined to both sides; a pair of which one text has no vector,
+    or whose vectors differ in length, has a null cosine.
+    """
     wanted = pairs.select("a", "b").distinct()
+    if is_dense(vectors):
+        left = vectors.select(F.col("text").alias("a"), F.col("vector").alias("va"))
+        right = vectors.select(F.col("text").alias("b"), F.col("vector").alias("vb"))
+        alike = F.size("va") == F.size("vb")
+        return wanted.join(left, "a", "left").join(right, "b", "left").select(
+            "a", "b", F.when(alike, dot(F.col("va"), F.col("vb"))).alias("cosine"))
     left = vectors.select(F.col("text").alias("a"), "gram", F.col("weight").alias("wa"))
     right = vectors.select(F.col("text").alias("b"), "gram", F.col("weight").alias("wb"))
     return (

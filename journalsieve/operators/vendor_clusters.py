@@ -1,105 +1,34 @@
 """Canonical vendor names: names whose vectors are close are one vendor.
 
 Density clustering with a minimum of two members is the same as the connected components of the
-graph of all pairs within the distance.  The pairs come from an exact filter: order the grams of
-every vector from rare to common; two vectors with a cosine of at least ``t`` must share a gram
-in front of the point where the rest of the vector is shorter than ``t``.  A gram shared by many
-names is checked in blocks, and a block reports only one edge per connected name, so no task holds
-an unbounded group and the pairs themselves are never written out.
+graph of all pairs within the distance; ``similarity_join`` finds edges with these components.
 """
 
 from __future__ import annotations
 
-import sys
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from journalsieve.operators.components import connected_components
-from journalsieve.operators.text_vectors import text_vectors
+from journalsieve.operators.similarity_join import GROUP, close_edges, dense_edges
+from journalsieve.operators.text_vectors import is_dense, text_vectors
 from journalsieve.workspace import settle
 
-# the helpers travel with their tasks, so executors need no copy of this package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-_BLOCK = 256
-_SLACK = 1e-9
-
-
-def leading_grams(vectors: DataFrame, cosine: float) -> DataFrame:
-    """(gram, text) in front of the cut of each vector."""
-    common_first = Window.partitionBy("text").orderBy(F.desc("df"), F.desc("gram"))
-    tail = F.sum(F.col("weight") * F.col("weight")).over(
-        common_first.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (
-        vectors.withColumn("tail", tail)
-        .filter(F.col("tail") >= cosine * cosine - _SLACK).select("gram", "text")
-    )
-
-
-def _cells(postings: DataFrame) -> DataFrame:
-    """Each name once per pair of blocks of its gram; at most two blocks of names per cell."""
-    sizes = settle(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
-                   .filter("names > 1"), "gram_sizes")
-    blocks = F.ceil(F.col("names") / _BLOCK).cast("int")
-    return (
-        postings.join(sizes, "gram")
-        .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int"))
-        .select("gram", "text", "block",
-                F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("gram", "text", F.least("block", "other").alias("lower"),
-                F.greatest("block", "other").alias("upper"))
-    )
-
 
-def _least_reachable(close: np.ndarray) -> np.ndarray:
-    """Index of the least row each row is connected to."""
-    label = np.arange(len(close))
-    while True:
-        spread = np.where(close, label[None, :], len(close)).min(axis=1)
-        spread = np.minimum(spread, label)
-        if (spread == label).all():
-            return label
-        label = spread
-
-
-def _edges_of_cell(cosine: float):
-    def check(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.drop_duplicates("text").sort_values("text")
-        names = cell["text"].to_numpy()
-        axis: dict[str, int] = {}
-        for grams in cell["grams"]:
-            for g in grams:
-                axis.setdefault(g, len(axis))
-        matrix = np.zeros((len(names), len(axis)))
-        for i, (grams, weights) in enumerate(zip(cell["grams"], cell["weights"])):
-            matrix[i, [axis[g] for g in grams]] = weights
-        label = _least_reachable(matrix @ matrix.T >= cosine - _SLACK)
-        linked = label != np.arange(len(names))
-        return pd.DataFrame({"a": names[label[linked]], "b": names[linked]})
-    return check
-
-
-def close_name_edges(vectors: DataFrame, cosine: float) -> DataFrame:
-    """Edges that connect the same names as all pairs with at least that cosine would."""
-    vectors = settle(vectors, "name_vectors")
-    packed = vectors.groupBy("text").agg(
-        F.collect_list(F.struct("gram", "weight")).alias("terms")
-    ).select("text", F.col("terms.gram").alias("grams"), F.col("terms.weight").alias("weights"))
-    cells = _cells(leading_grams(vectors, cosine)).join(packed, "text")
-    return cells.groupBy("gram", "lower", "upper").applyInPandas(
-        _edges_of_cell(cosine), "a string, b string")
-
-
-def vendor_clusters(names: DataFrame, eps: float) -> DataFrame:
+def vendor_clusters(names: DataFrame, eps: float, vectors: DataFrame | None = None,
+                    group: int = GROUP) -> DataFrame:
     """(kreditor, canonical) from ``names`` (kreditor, first_row): shortest name of the cluster,
-    the earliest one on ties; a name without neighbours stays itself."""
+    the earliest one on ties; a name without neighbours stays itself.
+
+    Names are compared by trigrams, or by given dense unit vectors (text, vector); a name without a
+    vector has no neighbours.
+    """
     names = settle(names.groupBy("kreditor").agg(F.min("first_row").alias("first_row")),
                    "vendor_names")
-    edges = close_name_edges(text_vectors(names, "kreditor"), 1.0 - eps)
+    if vectors is not None and is_dense(vectors):
+        own = names.join(vectors, F.col("kreditor") == F.col("text")).select("text", "vector")
+        edges = dense_edges(own, 1.0 - eps)
+    else:
+        edges = close_edges(text_vectors(names, "kreditor"), 1.0 - eps, group)
     members = connected_components(edges).withColumnRenamed("node", "kreditor")
     located = names.join(members, "kreditor", "left").withColumn(
         "component", F.coalesce("component", "kreditor"))

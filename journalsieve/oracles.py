@@ -642,6 +642,21 @@ alike as (
 _oracle("near_duplicate_similar_texts", "select row_id from alike",
         extra=_ALIKE.replace("{rows}", "p"))
 
+_GIVEN = """
+given as (select txt, embedding::double[] as e from (select distinct buchungstext as txt from p) join embeddings
+  on vec_id = ('0x' || substr(md5(txt), 1, 8))::bigint % (select count(*) from embeddings)),
+same as (select l.txt as x, r.txt as y from given l join given r on list_cosine_similarity(l.e, r.e) >= 0.1),
+close_rows as""" + _ALIKE.split("close_rows as", 1)[1]
+_oracle("near_duplicate_given_vectors", "select row_id from alike", extra=_GIVEN.replace("{rows}", "p"))
+
+ORACLES["embedding_clusters"] = """
+with recursive names as (select 'V' || vec_id as name, vec_id as id, embedding::double[] as e from embeddings),
+near as (select l.name as x, r.name as y from names l join names r on list_cosine_similarity(l.e, r.e) >= 0.42 - 1e-9),
+walk(x, y) as (select x, y from near union select w.x, m.y from walk w join near m on m.x = w.y),
+comp as (select x, min(y) as root from walk group by x)
+select c.x as kreditor, (select n.name from comp d join names n on n.name = d.x where d.root = c.root
+  order by length(n.name), n.id limit 1) as canonical from comp c"""
+
 # text mode: the rules that look at vendors see canonical names
 _BY_VENDOR = ["vendor_docs", "regular_vendor", "level1", "level2_groups", "level2",
               "f_beleg_kreditor_duplikat", "f_neuer_kreditor_hoch"]

@@ -13,6 +13,7 @@ from journalsieve.operators.prepare import (
     canonical_vendors, counterpart_accounts, with_canonical_columns, with_counterparts,
     with_typed_columns, with_voucher_id,
 )
+from journalsieve.operators.similarity_join import unit_vectors
 from journalsieve.operators.text_vectors import text_vectors
 from journalsieve.operators.vendor_clusters import vendor_clusters
 from journalsieve.plans import flags, report
@@ -24,14 +25,18 @@ class Analysis:
 
     The prepared journal and the scored journal are each written once; everything else is a lazy
     DataFrame over them.  ``text_similarity`` turns on the text vectors: vendor names are clustered
-    and near duplicates compared by similarity of their texts.  ``labels`` (konto_soll,
+    and near duplicates compared by similarity of their texts.  ``vectors`` (text, vector) are dense
+    vectors of texts, labels and vendor names from any model; they turn text mode on and take the
+    place of the trigrams in every comparison.  ``labels`` (konto_soll,
     gt_bezeichnung) enables the comparison of texts with account labels.
     """
 
     def __init__(self, raw: DataFrame, config: AnalysisConfig | None = None,
-                 labels: DataFrame | None = None, text_similarity: bool = False):
+                 labels: DataFrame | None = None, text_similarity: bool = False,
+                 vectors: DataFrame | None = None):
         self.config = config or AnalysisConfig()
-        self.raw, self.labels, self.text_similarity = raw, labels, text_similarity
+        self.raw, self.labels, self.given = raw, labels, vectors
+        self.text_similarity = text_similarity or vectors is not None
 
     @classmethod
     def of_prepared(cls, journal: DataFrame, config: AnalysisConfig | None = None,
@@ -41,6 +46,11 @@ class Analysis:
         run.__dict__["journal"] = journal
         return run
 
+    @cached_property
+    def dense(self) -> DataFrame | None:
+        """The given vectors at unit length, written once."""
+        return None if self.given is None else settle(unit_vectors(self.given), "dense_texts")
+
     @cached_property
     def journal(self) -> DataFrame:
         """The typed journal: the raw text is read and parsed once."""
@@ -49,7 +59,8 @@ class Analysis:
         if self.text_similarity and self.config.kreditor_clustering_enabled:
             names = journal.filter("kreditor != ''").groupBy("kreditor").agg(
                 F.min("row_id").alias("first_row"))
-            merged = settle(vendor_clusters(names, self.config.kreditor_clustering_eps), "vendors")
+            merged = settle(vendor_clusters(
+                names, self.config.kreditor_clustering_eps, self.dense), "vendors")
             journal = settle(canonical_vendors(journal, merged), "journal")
         return journal
 
@@ -60,8 +71,8 @@ class Analysis:
 
     @cached_property
     def context(self) -> Context:
-        vectors = None
-        if self.text_similarity:
+        vectors = self.dense
+        if self.text_similarity and vectors is None:
             vectors = settle(
                 text_vectors(self.journal, "buchungstext").select("text", "gram", "weight"),
                 "posting_vectors")

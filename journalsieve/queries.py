@@ -12,7 +12,7 @@ from journalsieve.functions.accounts import is_pnl
 from journalsieve.functions.dates import month_label, whole_days
 from journalsieve.functions.text import clean_nulls
 from journalsieve.operators import (
-    amounts, duplicates, isolation, prepare, series, stats, text_match, text_vectors,
+    amounts, duplicates, isolation, prepare, series, similarity_join, stats, text_match, text_vectors,
     vendor_clusters,
 )
 from journalsieve.operators.context import Context
@@ -590,6 +590,34 @@ def near_duplicate_similar_texts(spark, sf_dir):
     return flags.run_single_test(Context(journal, vectors=vectors), "NEAR_DUPLICATE")
 
 
+@query("embedding_clusters")
+def embedding_clusters(spark, sf_dir):
+    """Clusters of given dense vectors; the names are the ids."""
+    given = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("kreditor"), F.col("vec_id").alias("first_row"),
+        F.col("embedding").alias("vector"))
+    vectors = similarity_join.unit_vectors(given, "kreditor")
+    return vendor_clusters.vendor_clusters(given, 0.58, vectors)
+
+
+def _given_vectors(spark: SparkSession, sf_dir: str, texts: DataFrame) -> DataFrame:
+    """(text, vector): every text takes the embedding that its digest points to."""
+    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    digest = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long")
+    count = embeddings.agg(F.count(F.lit(1))).scalar()
+    return texts.distinct().withColumn("vec_id", digest % count).join(embeddings, "vec_id").select("text", "vector")
+
+
+@query("near_duplicate_given_vectors")
+def near_duplicate_given_vectors(spark, sf_dir):
+    """Near duplicates whose texts are alike by given dense vectors."""
+    journal = journal_of(spark, sf_dir)
+    texts = journal.select(F.col("buchungstext").alias("text"))
+    vectors = workspace.settle(similarity_join.unit_vectors(_given_vectors(spark, sf_dir, texts)), "given_vectors")
+    config = AnalysisConfig(near_duplicate_text_similarity=0.1)
+    return flags.run_single_test(Context(journal, config, vectors), "NEAR_DUPLICATE")
+
+
 # --- chart data ------------------------------------------------------------------------------
 
 

@@ -85,13 +85,12 @@ def _names():
     return sorted(n for n in names if n)
 
 
-@pytest.mark.parametrize("block", [3, 256])
-def test_vendor_clusters_against_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(vc, "_BLOCK", block)
+@pytest.mark.parametrize("group", [3, 256])
+def test_vendor_clusters_against_all_pairs(spark, group):
     names, eps = _names(), 0.35
     rows = spark.createDataFrame([(n, i) for i, n in enumerate(names)],
                                  "kreditor string, first_row long")
-    got = {r.kreditor: r.canonical for r in vc.vendor_clusters(rows, eps).collect()}
+    got = {r.kreditor: r.canonical for r in vc.vendor_clusters(rows, eps, group=group).collect()}
     weights = {}
     for r in text_vectors(rows, "kreditor").collect():
         weights.setdefault(r.text, {})[r.gram] = r.weight
