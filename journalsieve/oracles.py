@@ -450,6 +450,13 @@ select row_id, strftime(d, '%Y-%m-%d') as datum, konto as konto_soll, konto_habe
   round_even(score, 2) as anomaly_score, anomaly_flags from out where susp"""
 _oracle("export_projection", _EXPORT)
 _oracle("full_analysis", _EXPORT)
+_oracle("own_tests", """
+select row_id, round_even(score + f1::int * 1.25::double + f2::int * 2.0::double, 2) as anomaly_score,
+  concat_ws('|', nullif(anomaly_flags, ''), case when f1 then 'WOCHENENDE' end,
+    case when f2 then 'TAGESHAEUFUNG' end) as anomaly_flags
+from (select *, isodow(d) >= 6 and a > 0 and not st as f1,
+    (konto, d) in (select (konto, d) from p group by konto, d having count(*) >= 3) as f2 from out)
+where score + f1::int * 1.25::double + f2::int * 2.0::double >= 2.0 or crit or f2""")
 _oracle("run_statistics", _FIGURES)
 _oracle("enabled_tests", """
 select flag, case when flag in ('BETRAG_ZSCORE', 'STORNO', 'NEAR_DUPLICATE') then n else 0 end as n

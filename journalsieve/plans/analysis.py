@@ -16,7 +16,8 @@ from journalsieve.operators.prepare import (
 from journalsieve.operators.similarity_join import unit_vectors
 from journalsieve.operators.text_vectors import text_vectors
 from journalsieve.operators.vendor_clusters import vendor_clusters
-from journalsieve.plans import flags, report
+from journalsieve.plans import flags, report, validation
+from journalsieve.plans.registry import TESTS, FlagTest, checked
 from journalsieve.workspace import settle
 
 
@@ -27,13 +28,14 @@ class Analysis:
     DataFrame over them.  ``text_similarity`` turns on the text vectors: vendor names are clustered
     and near duplicates compared by similarity of their texts.  ``vectors`` (text, vector) are dense
     vectors of texts, labels and vendor names from any model; they turn text mode on and take the
-    place of the trigrams in every comparison.  ``labels`` (konto_soll,
+    place of the trigrams in every comparison.  ``tests`` are the tests of the run, one's own among them.  ``labels`` (konto_soll,
     gt_bezeichnung) enables the comparison of texts with account labels.
     """
 
     def __init__(self, raw: DataFrame, config: AnalysisConfig | None = None,
                  labels: DataFrame | None = None, text_similarity: bool = False,
-                 vectors: DataFrame | None = None):
+                 vectors: DataFrame | None = None, tests: Iterable[FlagTest] = TESTS):
+        self.tests = checked(tests)
         self.config = config or AnalysisConfig()
         self.raw, self.labels, self.given = raw, labels, vectors
         self.text_similarity = text_similarity or vectors is not None
@@ -79,7 +81,7 @@ class Analysis:
         return Context(self.journal, self.config, vectors, self.labels)
 
     def flagged(self, enabled: Iterable[str] | None = None) -> DataFrame:
-        return flags.with_flags(self.context, enabled)
+        return flags.with_flags(self.context, enabled, self.tests)
 
     def score(self, enabled: Iterable[str] | None = None) -> DataFrame:
         """Flags, score and counter accounts as a lazy plan.
@@ -87,7 +89,7 @@ class Analysis:
         The counter accounts are joined here and not while preparing: both joins on the row id share
         one shuffle of the journal.
         """
-        scored = flags.with_score(self.flagged(enabled), self.config.custom_weights)
+        scored = flags.with_score(self.flagged(enabled), self.config.custom_weights, self.tests)
         return with_counterparts(scored, counterpart_accounts(self.journal))
 
     @cached_property
@@ -96,16 +98,21 @@ class Analysis:
         return settle(self.score(), "scored")
 
     def single_test(self, name: str) -> DataFrame:
-        return flags.run_single_test(self.context, name)
+        return flags.run_single_test(self.context, name, self.tests)
 
     def suspicious_rows(self) -> DataFrame:
-        return report.suspicious_rows(self.scored, self.config)
+        return report.suspicious_rows(self.scored, self.config, self.tests)
 
     def export(self) -> DataFrame:
-        return report.export_projection(self.suspicious_rows())
+        return report.export_projection(self.suspicious_rows(), self.tests)
 
     def flag_counts(self) -> DataFrame:
-        return report.flag_counts(self.scored)
+        return report.flag_counts(self.scored, self.tests)
 
     def statistics(self) -> DataFrame:
-        return report.run_statistics(self.scored, self.config)
+        return report.run_statistics(self.scored, self.config, self.tests)
+
+    def readiness(self) -> DataFrame:
+        """Which tests the columns of the journal allow; a column the journal lacks counts as missing."""
+        profile = validation.column_profile(self.raw, validation.profiled_columns(self.tests))
+        return validation.test_readiness(profile, self.tests)

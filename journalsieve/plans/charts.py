@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,7 +11,7 @@ from journalsieve.functions.accounts import is_pnl
 from journalsieve.functions.amounts import NUMBER
 from journalsieve.functions.dates import month_label
 from journalsieve.operators.quantiles import draw_of_rank
-from journalsieve.plans.registry import TESTS
+from journalsieve.plans.registry import TESTS, FlagTest
 
 CHART_ROWS = 500_000
 BINS = 50
@@ -33,10 +34,10 @@ def weekday_name(day: Column) -> Column:
     return F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), F.weekday(day) + 1)
 
 
-def derive_dims(scored: DataFrame) -> DataFrame:
+def derive_dims(scored: DataFrame, tests: Sequence[FlagTest] = TESTS) -> DataFrame:
     """Calendar, risk and amount classes for free chart building."""
     day = F.col("_datum")
-    raised = sum((F.col(t.column).cast("int") for t in TESTS[1:]), F.col(TESTS[0].column).cast("int"))
+    raised = sum((F.col(t.column).cast("int") for t in tests[1:]), F.col(tests[0].column).cast("int"))
     return scored.withColumns({
         "Wochentag": weekday_name(day),
         "Monat": month_label(F.col("_ym")),
@@ -122,9 +123,9 @@ def top_accounts(scored: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def amount_vs_score(scored: DataFrame) -> DataFrame:
+def amount_vs_score(scored: DataFrame, tests: Sequence[FlagTest] = TESTS) -> DataFrame:
     """Amount, score and the first raised flag in registry order of every flagged row."""
-    first = F.coalesce(*[F.when(F.col(t.column), t.name) for t in TESTS])
+    first = F.coalesce(*[F.when(F.col(t.column), t.name) for t in tests])
     return scored.filter("_score > 0").select("row_id", "_abs", "_score", first.alias("top_flag"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from journalsieve.plans.registry import WEIGHTS
+from journalsieve.plans.registry import TESTS, FlagTest
 from journalsieve.schema import (
     LABELS_FOR_STATS, LABELS_FOR_TRAINING, LABELS_PER_FLAG, REVIEW_LABELS, WEIGHT_BOUNDS,
 )
@@ -77,12 +79,12 @@ def feedback_stats(labels: DataFrame) -> DataFrame:
     )
 
 
-def reweight(labels: DataFrame) -> DataFrame:
+def reweight(labels: DataFrame, tests: Sequence[FlagTest] = TESTS) -> DataFrame:
     """(flag, weight): default weight times one half plus precision, for flags judged often
     enough; rounded to two decimals and clamped."""
     _require(labels, LABELS_FOR_TRAINING, "training")
     low, high = WEIGHT_BOUNDS
-    defaults = F.create_map(*[F.lit(x) for item in WEIGHTS.items() for x in item])
+    defaults = F.create_map(*[F.lit(x) for t in tests for x in (t.name, float(t.weight))])
     judged = F.col("tp") + F.col("fp")
     learned = F.bround(F.col("default") * (0.5 + F.col("tp") / judged), 2)
     return (
@@ -93,6 +95,6 @@ def reweight(labels: DataFrame) -> DataFrame:
     )
 
 
-def learned_weights(labels: DataFrame) -> dict[str, float]:
+def learned_weights(labels: DataFrame, tests: Sequence[FlagTest] = TESTS) -> dict[str, float]:
     """The same as a mapping for the configuration: at most one entry per test."""
-    return {r.flag: r.weight for r in reweight(labels).collect()}
+    return {r.flag: r.weight for r in reweight(labels, tests).collect()}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from journalsieve.functions.text import strip
-from journalsieve.schema import CANONICAL_COLUMNS, TEST_COLUMNS
+from journalsieve.plans.registry import TESTS, FlagTest, needs_of
+from journalsieve.schema import CANONICAL_COLUMNS
 
 SPARSE_BELOW = 50.0
 
@@ -27,10 +30,16 @@ def column_profile(journal: DataFrame, columns: list[str] = CANONICAL_COLUMNS) -
     )
 
 
-def _needs(profile: DataFrame) -> DataFrame:
+def profiled_columns(tests: Sequence[FlagTest] = TESTS) -> list[str]:
+    """The canonical columns, and those that only tests of one's own read."""
+    own = [c for required, optional in needs_of(tests).values() for c in (*required, *optional)]
+    return list(dict.fromkeys([*CANONICAL_COLUMNS, *own]))
+
+
+def _needs(profile: DataFrame, tests: Sequence[FlagTest]) -> DataFrame:
     rows = [
         (test, place, column, needed)
-        for test, (required, optional) in TEST_COLUMNS.items()
+        for test, (required, optional) in needs_of(tests).items()
         for place, (column, needed) in enumerate(
             [(c, True) for c in required] + [(c, False) for c in optional])
     ]
@@ -43,11 +52,11 @@ def _listed(condition: Column, shown: Column) -> Column:
     return F.array_join(F.transform(items, lambda i: i["s"]), ", ")
 
 
-def test_readiness(profile: DataFrame) -> DataFrame:
+def test_readiness(profile: DataFrame, tests: Sequence[FlagTest] = TESTS) -> DataFrame:
     """(test, status, reason): blocked without a required column, degraded when one is sparse or an
     optional one is empty."""
     needed, pct, name = F.col("needed"), F.col("fill_pct"), F.col("column_name")
-    grouped = _needs(profile).join(profile, "column_name").groupBy("test").agg(
+    grouped = _needs(profile, tests).join(profile, "column_name").groupBy("test").agg(
         _listed(needed & (pct == 0), name).alias("blocked"),
         _listed(needed & (pct > 0) & (pct < SPARSE_BELOW),
                 F.concat(name, F.format_string(" (%.0f%%)", pct))).alias("sparse"),

@@ -17,10 +17,10 @@ from journalsieve.operators import (
 )
 from journalsieve.operators.context import Context
 from journalsieve.operators.groups import rows_in_small_groups
-from journalsieve.operators.parts import counted_amounts
+from journalsieve.operators.parts import Lookup, Part, Predicate, counted_amounts
 from journalsieve.plans import charts, feedback, flags, history, report, validation
 from journalsieve.plans.analysis import Analysis
-from journalsieve.plans.registry import FLAG_NAMES, TESTS
+from journalsieve.plans.registry import FLAG_NAMES, TESTS, FlagTest
 from journalsieve.sources import run_store
 from journalsieve.sources.journal_csv import map_columns, read_journal_csv
 from journalsieve.sources.order_journal import order_export, order_labels
@@ -420,6 +420,26 @@ def merge_flags(spark, sf_dir):
     return merged.select("row_id", *[f"flag_{n}" for n in names], "_score")
 
 
+def _weekend(ctx: Context) -> list[Part]:
+    return [Predicate((F.weekday("_datum") >= 5) & counted_amounts())]
+
+
+def _busy_day(ctx: Context) -> list[Part]:
+    day = ctx.journal.filter("_datum is not null").groupBy("konto_soll", "_datum").agg(F.count(F.lit(1)).alias("on_day"))
+    return [Lookup(day.filter("on_day >= 3"), ["konto_soll", "_datum"], F.col("on_day").isNotNull())]
+
+
+OWN_TESTS = (FlagTest("WOCHENENDE", 1.25, False, _weekend, ("datum", "betrag")),
+             FlagTest("TAGESHAEUFUNG", 2.0, True, _busy_day, ("konto_soll", "datum")))
+
+
+@query("own_tests")
+def own_tests(spark, sf_dir):
+    """The export of a run with two tests beside the registered ones."""
+    run = Analysis.of_prepared(journal_of(spark, sf_dir), tests=[*TESTS, *OWN_TESTS])
+    return run.export().select("row_id", "anomaly_score", "anomaly_flags")
+
+
 @query("full_analysis")
 def full_analysis(spark, sf_dir):
     """The whole way from the raw export to the suspicious rows, nothing shared."""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from journalsieve.config import AnalysisConfig
 from journalsieve.functions.text import clean_nulls
 from journalsieve.plans import history
 from journalsieve.plans.analysis import Analysis
-from journalsieve.plans.registry import TESTS
+from journalsieve.plans.registry import TESTS, FlagTest
 from journalsieve.schema import CSV_NULL_LITERALS, NULL_LITERALS
 from journalsieve.sources.journal_csv import map_columns
 from journalsieve.workspace import new_folder
@@ -31,13 +33,13 @@ def _parts_of(run: Analysis, upload: str, arrived: str) -> dict[str, DataFrame]:
     return {
         "totals": totals,
         "suspicious": run.export(),
-        "flags": run.scored.select("row_id", *[t.column for t in TESTS], "_score"),
+        "flags": run.scored.select("row_id", *[t.column for t in run.tests], "_score"),
         "history": history.run_record(mandant, upload, arrived, totals, run.flag_counts()),
         "months": history.monthly_records(mandant, upload, arrived, months),
     }
 
 
-def _analyse_batch(results: str, config: AnalysisConfig):
+def _analyse_batch(results: str, config: AnalysisConfig, tests: Sequence[FlagTest]):
     def analyse(batch: DataFrame, batch_id: int) -> None:
         """Each upload of the batch is one journal: its statistics cover its own rows only.
 
@@ -52,7 +54,7 @@ def _analyse_batch(results: str, config: AnalysisConfig):
             F.date_format(F.max("arrived_at"), "yyyy-MM-dd'T'HH:mm:ss").alias("arrived")).orderBy("upload")
         for i, (upload, arrived) in enumerate(uploads.collect()):
             own = rows.filter(F.col("upload") == upload).drop("upload", "arrived_at")
-            run = Analysis(map_columns(own), config)
+            run = Analysis(map_columns(own), config, tests=tests)
             for part, figures in _parts_of(run, upload, arrived).items():
                 figures.withColumns({"upload": F.lit(upload), "batch": F.lit(batch_id).cast("long")}) \
                     .write.mode("overwrite").parquet(f"{results}/{part}/batch={batch_id}/upload={i}")
@@ -60,7 +62,8 @@ def _analyse_batch(results: str, config: AnalysisConfig):
 
 
 def intake_stream(spark: SparkSession, inbox: str, results: str, state: str, columns: list[str],
-                  separator: str = ";", config: AnalysisConfig | None = None):
+                  separator: str = ";", config: AnalysisConfig | None = None,
+                  tests: Sequence[FlagTest] = TESTS):
     """Analyse every upload folder ``<inbox>/<upload>/*.csv`` that has arrived, then stop.
 
     The whole-file statistics of the tests need all rows of an upload, so the unit of work is the
@@ -76,7 +79,7 @@ def intake_stream(spark: SparkSession, inbox: str, results: str, state: str, col
         literals)
     query = (
         arriving.writeStream.trigger(availableNow=True).option("checkpointLocation", state)
-        .foreachBatch(_analyse_batch(results, config or AnalysisConfig())).start()
+        .foreachBatch(_analyse_batch(results, config or AnalysisConfig(), tests)).start()
     )
     query.awaitTermination()
     return query

@@ -258,3 +258,32 @@ def test_landscape_takes_plain_numbers_only(spark):
                                  "row_id long, konto_soll string, _abs double, _score double")
     rows = rows.selectExpr("*", "date'2024-01-01' as _datum")
     assert [r.konto_num for r in charts.landscape_3d(rows).orderBy("row_id").collect()] == [4711.0, 1000.0]
+
+
+def test_own_tests_reach_flags_score_export_and_readiness(spark, raw):
+    from journalsieve.operators.parts import Lookup, Predicate, RowIds
+    from journalsieve.plans.analysis import Analysis
+    from journalsieve.plans.registry import FlagTest
+
+    own = [FlagTest("FILIALE_LEER", 2.5, False, lambda ctx: [Predicate(F.col("filiale") == "")], ("filiale",), ("datum",)),
+           FlagTest("ZWEIMAL", 0.5, True, lambda ctx: [
+               RowIds(ctx.journal.filter("buchungstext = 'doppelt'").select("row_id")),
+               Lookup(ctx.journal.groupBy("belegnummer").agg(F.count(F.lit(1)).alias("times")), ["belegnummer"],
+                      (F.col("times") == 2) & (F.col("belegnummer") != ""))], ("region",))]
+    rows = raw([{"filiale": "", "belegnummer": "a"}, {"filiale": "x", "belegnummer": "b"},
+                {"filiale": "x", "belegnummer": "b"}, {"filiale": "x", "buchungstext": "doppelt", "belegnummer": "c"},
+                {"filiale": "x", "belegnummer": "d"}])
+    run = Analysis(rows, tests=[*TESTS, *own])
+    found = {r.row_id: (r.anomaly_score, r.anomaly_flags) for r in run.export().collect()}
+    assert found == {0: (2.5, "FILIALE_LEER"), 1: (0.5, "ZWEIMAL"), 2: (0.5, "ZWEIMAL"), 3: (0.5, "ZWEIMAL")}
+    counts = {r.flag: r.n for r in run.flag_counts().collect()}
+    assert list(counts)[-2:] == ["FILIALE_LEER", "ZWEIMAL"] and counts["FILIALE_LEER"] == 1 and counts["ZWEIMAL"] == 3
+    assert run.statistics().head().max_possible_score == sum(t.weight for t in [*TESTS, *own])
+    assert {r.row_id for r in run.single_test("ZWEIMAL").collect()} == {1, 2, 3}
+    alone = Analysis(rows, AnalysisConfig(custom_weights={"ZWEIMAL": 4.0}), tests=own[1:])
+    assert {r.row_id: r.anomaly_score for r in alone.export().collect()} == {1: 4.0, 2: 4.0, 3: 4.0}
+    status = {r.test: r.status for r in run.readiness().collect()}
+    assert status["FILIALE_LEER"] == "ok" and status["ZWEIMAL"] == "blocked" and status["LEERER_BUCHUNGSTEXT"] == "ok"
+    for wrong in ([*TESTS, FlagTest("storno", 1.0, False, own[0].rule)], [], [FlagTest("a|b", 1.0, False, own[0].rule)]):
+        with pytest.raises(ValueError):
+            Analysis(rows, tests=wrong)
