@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 KEEP_RUNS = 20
@@ -38,6 +39,48 @@ def retain_last_n(runs: DataFrame, n: int = KEEP_RUNS) -> DataFrame:
     )
 
 
+def current_version(spark: SparkSession, store: str) -> int | None:
+    """The newest published version of a versioned store, or None before the first."""
+    try:
+        return spark.read.schema("version int").parquet(f"{store}/published").agg(F.max("version")).head()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def load_current(spark: SparkSession, store: str, schema) -> DataFrame:
+    """The rows of the newest published version; a DataFrame keeps to the version it was made from."""
+    version = current_version(spark, store)
+    if version is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{store}/version={version}")
+
+
+def _publish(rows: DataFrame, store: str, version: int) -> None:
+    """Writes a version and then, as one small file, the mark that makes it the newest."""
+    rows.write.mode("overwrite").partitionBy("mandant").parquet(f"{store}/version={version}")
+    mark = rows.sparkSession.range(1).select(F.lit(version).alias("version")).coalesce(1)
+    mark.write.mode("append").parquet(f"{store}/published")
+
+
+def add_runs(rows: DataFrame, store: str, schema, keep: int = KEEP_RUNS) -> int:
+    """Publishes the next version: the stored runs and ``rows``, of each client the ``keep`` newest run dates.
+
+    Rows beyond are removed: the version before the last one is emptied, so its files go.  Readers see one
+    whole version at any time, those of the version just replaced included.  A version that was written but
+    never published is written over.  One writer at a time.
+    """
+    spark = rows.sparkSession
+    newest = current_version(spark, store)
+    version = 0 if newest is None else newest + 1
+    together = load_current(spark, store, schema).unionByName(rows)
+    _publish(retain_last_n(together, keep), store, version)
+    if version >= 2:
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{store}/version={version - 2}")
+    return version
+
+
 def export_csv(rows: DataFrame, folder: str) -> None:
     """Semicolon-separated with header; one file per partition, in the order of the rows."""
     rows.write.option("sep", ";").option("header", True).csv(folder)

@@ -287,3 +287,27 @@ def test_own_tests_reach_flags_score_export_and_readiness(spark, raw):
     for wrong in ([*TESTS, FlagTest("storno", 1.0, False, own[0].rule)], [], [FlagTest("a|b", 1.0, False, own[0].rule)]):
         with pytest.raises(ValueError):
             Analysis(rows, tests=wrong)
+
+
+def test_retention_removes_and_readers_see_whole_versions(spark, tmp_path):
+    store, schema = f"{tmp_path}/store", "run_date string, file string, n int, mandant string"
+    assert run_store.current_version(spark, store) is None
+    assert run_store.load_current(spark, store, schema).count() == 0
+    reader = None
+    for day in range(7):
+        rows = spark.createDataFrame([(f"2024-01-{day + 1:02}", f"{f}.csv", day, m) for m in ("a", "b") for f in (1, 2)
+                                      if (day, m) != (6, "b")], schema)
+        assert run_store.add_runs(rows, store, schema, keep=5) == day
+        if day == 5:
+            reader = run_store.load_current(spark, store, schema)  # made before the last change
+    assert sorted({r.n for r in reader.collect()}) == [1, 2, 3, 4, 5] and reader.count() == 20
+    now = run_store.load_current(spark, store, schema).collect()
+    assert sorted((r.mandant, r.n) for r in now if r.file == "1.csv") == [
+        *[("a", n) for n in range(2, 7)], *[("b", n) for n in range(1, 6)]]
+    # files of older versions are gone; a version written but not published is not seen and written over
+    held = {p.parent.parent.name for p in tmp_path.glob("store/version=*/mandant=*/*.parquet")}
+    assert held == {"version=5", "version=6"}
+    reader.limit(1).write.partitionBy("mandant").parquet(f"{store}/version=7")
+    assert run_store.current_version(spark, store) == 6 and run_store.load_current(spark, store, schema).count() == 20
+    assert run_store.add_runs(reader.limit(0), store, schema, keep=5) == 7
+    assert run_store.load_current(spark, store, schema).count() == 20
