@@ -9,9 +9,15 @@ and two sketches are compared below the smaller of their cuts.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from journalsieve.workspace import settle
+
 WORDS, FRACTION, LEAST = 5, 1 / 16, 8
+#: One range of ids for so many of the square root of their number.
+PER_ROOT = 16
 _SPACE = r"[\x20\x09-\x0D]+"
 _LOWEST, _HIGHEST = -(1 << 63), (1 << 63) - 1
 
@@ -67,39 +73,35 @@ def as_text(sketch: str) -> Column:
                     F.array_join(F.transform(F.col(sketch)["hashes"], digits), ""))
 
 
-def _next_larger(rows: DataFrame, widths: list[int], low: int) -> DataFrame:
+def _next_larger(rows: DataFrame, count: int) -> DataFrame:
     """Adds ``after``, the next larger id and its size, to distinct (id, size).
 
-    Ids fall into buckets of the given width; the smallest of each bucket answers for the bucket before,
-    found the same way among the far fewer buckets.  No task sees more than a bucket's ids.
+    The ids are dealt into ranges of about equal length, however they are spread; the smallest of each
+    range answers for the range before.  The number of ranges and their length both grow with the square
+    root of the count.  The ranges are written, so that a task run again finds the same ones.
     """
     here = F.struct("id", "size")
-    if not widths:
-        return rows.withColumn("after", F.lead(here).over(Window.orderBy("id")))
-    bucketed = rows.withColumn("bucket", F.floor((F.col("id") - low) / widths[0]))
-    heads = bucketed.groupBy("bucket").agg(F.min(here).alias("head"))
-    following = _next_larger(
-        heads.select(F.col("bucket").alias("id"), F.struct("bucket", "head").alias("size")), widths[1:], 0)
-    following = following.select(F.col("id").alias("bucket"), F.col("after.size.head").alias("head"))
-    inside = F.lead(here).over(Window.partitionBy("bucket").orderBy("id"))
-    return (bucketed.withColumn("after", inside).join(following, "bucket", "left")
+    ranged = settle(rows.repartitionByRange(max(1, math.isqrt(count) // PER_ROOT), "id")
+                    .withColumn("range", F.spark_partition_id()), "id-ranges")
+    heads = ranged.groupBy("range").agg(F.min(here).alias("head"))
+    heads = heads.select("range", F.lead("head").over(Window.orderBy("range")).alias("head"))
+    inside = F.lead(here).over(Window.partitionBy("range").orderBy("id"))
+    return (ranged.withColumn("after", inside).join(heads, "range")
             .select("id", "size", F.coalesce("after", "head").alias("after")))
 
 
-def neighbours(docs: DataFrame, per_bucket: int = 64, per_upper: int = 4096) -> DataFrame:
+def neighbours(docs: DataFrame) -> DataFrame:
     """(id, before, half): the document that has ``id`` as its next one, descending, and half its size.
 
-    ``docs`` has (id, size); an id that repeats counts once, with its largest size.  Only ids move.  The
-    width of the buckets follows from the smallest and largest id and their number.
+    ``docs`` has (id, size); an id that repeats counts once, with its largest size.  Only ids move.  Any
+    longs will do as ids: no arithmetic is done on them.
     """
     ids = docs.filter("id is not null").groupBy("id").agg(F.max("size").alias("size"))
-    facts = ids.agg(F.min("id"), F.max("id"), F.count("id"), F.min(F.struct("id", "size"))).head()
-    low, high, count = facts[0], facts[1], facts[2]
-    if not count:
+    facts = ids.agg(F.count("id").alias("count"), F.min(F.struct("id", "size")).alias("first")).head()
+    if not facts["count"]:
         return ids.select("id", F.col("id").alias("before"), F.col("size").alias("half"))
-    width = max(1, (high - low + 1) * per_bucket // count)
-    linked = _next_larger(ids, [width, per_upper], low)
-    first = F.struct(F.lit(low).cast("long").alias("id"), F.lit(facts[3]["size"]).cast("long").alias("size"))
+    linked = _next_larger(ids, facts["count"])
+    first = F.struct(*[F.lit(facts["first"][c]).cast("long").alias(c) for c in ("id", "size")])
     after = F.coalesce("after", first)  # the smallest comes last; its next one is the largest
     return linked.select("id", after["id"].alias("before"),
                          F.floor(after["size"] / 2).cast("int").alias("half"))
