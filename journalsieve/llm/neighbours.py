@@ -22,6 +22,8 @@ from journalsieve.llm.common import own_columns
 QUERY_BLOCK, BLOCK, TILE = 2048, 8192, 256
 #: Dimensions whose int8 products add up exactly in single precision.
 EXACT = 1024
+#: Largest component of a vector that has bounds, and the inverse of the smallest.
+SAFE = 1e140
 
 
 def usable(vector: Column) -> Column:
@@ -31,16 +33,23 @@ def usable(vector: Column) -> Column:
 
 
 class Quantised:
-    """A block in int8 with the norms that bound its error."""
+    """A block in int8 with the norms that bound its error.
+
+    Vectors whose largest component lies beyond ``SAFE`` have no bounds: their products or norms could
+    leave the range of doubles, so every pair of theirs is computed again.
+    """
 
     def __init__(self, vectors: np.ndarray):
-        self.scale = np.abs(vectors).max(1) / 127
+        largest = np.abs(vectors).max(1)
+        self.unbounded = (largest > SAFE) | (largest < 1 / SAFE)
+        vectors = np.where(self.unbounded[:, None], 0.0, vectors)
+        self.scale = np.where(self.unbounded, 1.0, largest) / 127
         # held in single precision, where sums of products of these integers are exact
         self.codes = np.rint(vectors / self.scale[:, None]).astype(np.int8).astype(np.float32)
         rounded = self.codes * self.scale[:, None]
-        self.norm = np.linalg.norm(vectors, axis=1)
-        self.rounded_norm = np.linalg.norm(rounded, axis=1)
-        self.error = np.linalg.norm(vectors - rounded, axis=1)
+        self.norm = lengths(vectors)
+        self.rounded_norm = lengths(rounded)
+        self.error = lengths(vectors - rounded)
 
     def bounds(self, rows: slice, other: "Quantised") -> tuple[np.ndarray, np.ndarray]:
         """Approximate products of ``rows`` with ``other``, and how far the true ones may lie off."""
@@ -51,17 +60,33 @@ class Quantised:
         off = self.norm[rows, None] * other.error
         off += self.error[rows, None] * other.rounded_norm
         off += 1e-12 * self.norm[rows, None] * other.norm
+        off += 1e-290  # products of components may vanish
+        off[self.unbounded[rows]] = np.inf
+        off[:, other.unbounded] = np.inf
         return product, off
 
 
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    """Euclidean norms; the vectors are scaled first, so that no square overflows or vanishes."""
+    largest = np.abs(vectors).max(1)
+    largest[largest == 0] = 1.0
+    return np.linalg.norm(vectors / largest[:, None], axis=1) * largest
+
+
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of the rows, in double precision, summed in the order of the dimensions."""
     total = np.zeros(len(a))
-    for k in range(a.shape[1]):
-        total += a[:, k] * b[:, k]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for k in range(a.shape[1]):
+            total += a[:, k] * b[:, k]
     return total
 
 
+def _first(entry: tuple[bool, float, int]) -> tuple[bool, float, int]:
+    """Order of (is a number, negated product, id); products that are no number come first, by id."""
+    return entry if entry[0] else (False, 0.0, entry[2])
+
+
 def nearest_in_blocks(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray,
                       k: int) -> list[tuple[int, int, float]]:
     """The k best (query, id, product) of each query in one block, ties to the smaller id."""
@@ -79,8 +104,10 @@ def nearest_in_blocks(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarra
         exact = exact_products(queries[rows][at], vectors[candidate])
         ends = np.searchsorted(at, np.arange(len(product) + 1))
         for row, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
-            best = heapq.nsmallest(k, zip((-exact[a:b]).tolist(), ids[candidate[a:b]].tolist()))
-            found.extend((int(query_ids[start + row]), i, -s) for s, i in best)
+            scores = exact[a:b]
+            best = heapq.nsmallest(k, zip((~np.isnan(scores)).tolist(), (-scores).tolist(),
+                                          ids[candidate[a:b]].tolist()), key=_first)
+            found.extend((int(query_ids[start + row]), i, -s) for _, s, i in best)
     return found
 
 
@@ -91,8 +118,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     ``is_query`` is a condition on the id column.  Returns query_id, rank, id, score.  Vectors that are
     null, zero, or hold null or non-finite components take no part, nor do null ids; vectors meet only
     vectors of as many dimensions.  Of rows that share an id the smallest vector counts.  Ties go to the
-    smaller id; with fewer than k candidates all are returned.  Extra columns are left out; an empty
-    table gives an empty result.
+    smaller id; with fewer than k candidates all are returned.  Products beyond the range of doubles are
+    infinite, and no number where both infinities meet; those come first, as in Spark's order.  Extra
+    columns are left out; an empty table gives an empty result.
     """
     rows = own_columns(vectors, id=id_col, vector=vector_col).select(
         F.col("id").cast("long"), F.col("vector").cast("array<double>"))
