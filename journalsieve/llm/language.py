@@ -101,8 +101,9 @@ def fit(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", t
         lang_col: str = "lang", sample: int = SAMPLE, clusters: int = CLUSTERS) -> LanguageModel:
     """Learn from documents with a label (and ``usable``), about ``sample`` of each language.
 
-    The sample is a hash range of the ids, as wide as the language's number of documents allows; texts
-    are read whole.  What reaches the driver are the idf and the centroids, both of fixed length.
+    The sample is a hash range of the ids with their texts, as wide as the language's number of documents
+    allows; rows alike in both count once, so null or equal ids do not swell it.  Texts are read whole.
+    What reaches the driver are the idf and the centroids, both of fixed length.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if usable is not None:
@@ -111,25 +112,31 @@ def fit(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", t
     # written, so that the planner knows how few rows these are and leaves the texts where they lie
     sizes = settle(labelled.groupBy("lang").count().withColumn(
         "width", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))), "language-sizes")
-    drawn = F.pmod(F.xxhash64(F.lit(7), F.col("id")), F.lit(1 << 40)) / float(1 << 40)
-    picked = labelled.join(sizes.select("lang", "width"), "lang").filter(drawn < F.col("width"))
+    draw = F.xxhash64(F.lit(7), F.col("id"), F.col("text"))
+    picked = labelled.withColumn("draw", draw).join(sizes.select("lang", "width"), "lang").filter(
+        F.pmod("draw", F.lit(1 << 40)) / float(1 << 40) < F.col("width"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, buckets, weights = [], [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if has_letter(text):
+            langs, draws, buckets, weights = [], [], [], []
+            seen = set()
+            for lang, draw, text in zip(*[column.to_pylist() for column in batch.columns]):
+                if (lang, draw) not in seen and has_letter(text):
+                    seen.add((lang, draw))
                     tf = ngram_counts(text)
                     used = np.flatnonzero(tf)
                     langs.append(lang)
+                    draws.append(draw)
                     buckets.append(used.astype(np.int32))
                     weights.append(np.log1p(tf[used]).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(buckets, pa.list_(pa.int32())),
-                 pa.array(weights, pa.list_(pa.float32()))], names=["lang", "buckets", "weights"])
+                [pa.array(langs, pa.string()), pa.array(draws, pa.int64()),
+                 pa.array(buckets, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))],
+                names=["lang", "draw", "buckets", "weights"])
 
-    counted = settle(picked.select("lang", "text").mapInArrow(
-        count, "lang string, buckets array<int>, weights array<float>"), "language-sample")
+    counted = picked.select("lang", "draw", "text").mapInArrow(
+        count, "lang string, draw long, buckets array<int>, weights array<float>")
+    counted = settle(counted.dropDuplicates(["lang", "draw"]).drop("draw"), "language-sample")
     total = counted.count()
     frequency = np.zeros(BUCKETS)
     for row in counted.select(F.explode("buckets").alias("b")).groupBy("b").count().collect():
