@@ -1,9 +1,12 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a sequence of text blocks.  A linear classifier turns what stands around a block (its
-containers, their roles and class names, link density, length) into a cost for either label; blocks that
-follow each other and blocks of the same container are tied by smoothness costs.  The labelling of least
-total cost is a minimum cut between the terminals "content" and "boilerplate".
+A page becomes a graph of its text blocks and of the elements that hold them.  A linear classifier turns
+the text of a block alone (length, links, sentences, headings) into a terminal capacity; elements whose
+tag, role or names say what they are have capacities of their own.  Edges tie a block to its element,
+elements to the ones around them in the same marked region (DOM proximity), and blocks that follow each
+other or share a container (adjacency).  The labelling of least total cost is a minimum cut between the
+terminals "content" and "boilerplate": short lines of an article are kept by their surroundings, long
+notices are dropped by theirs, and a layout name around a whole article is outvoted by its paragraphs.
 """
 
 from __future__ import annotations
@@ -20,9 +23,9 @@ from pyspark.sql import DataFrame, functions as F
 from journalsieve.llm.common import own_columns
 
 # Elements whose text is never shown as text of the page.
-HIDDEN = {"head", "title", "script", "style", "template", "noscript", "textarea", "select", "button",
-          "iframe", "object", "svg", "math", "canvas", "audio", "video"}
-RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template"}
+HIDDEN = {"head", "title", "script", "style", "template", "textarea", "select", "button", "iframe", "canvas",
+          "audio", "video"}
+RAW = {"script", "style", "textarea", "title", "iframe", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl",
          "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -44,21 +47,28 @@ AROUND_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "adver
                 "pagination", "popup", "promo", "promotion", "recommended", "related", "search", "share",
                 "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar",
                 "topbar", "widget"}
+# Of these, names that themes also give to wrappers of the text; and words that begin the name of a setting.
+LAYOUT_WORDS = {"banner", "header", "modal", "promo", "promotion", "share", "sharing", "social", "widget"}
+SETTING_WORDS = {"has", "no", "with", "without"}
 
 
 @dataclass(frozen=True)
 class Costs:
-    """Weights of the classifier (positive: content) and of the ties between blocks."""
+    """Weights of the classifier (positive: content) and of the edges."""
 
     bias: float = -1.0
-    content_tag: float = 4.0
-    content_word: float = 2.0
-    around: float = -9.0
     heading: float = 0.5
     words: float = 1 / 15  # for each of up to 45 words
     sentence: float = 0.5
     links: float = -3.0
     list_item: float = -0.5
+    content_tag: float = 4.0  # ties of a block to its element, by the region that it lies in
+    content_word: float = 2.0
+    around: float = 9.0
+    layout: float = 4.0
+    layout_base: float = 6.0  # what the blocks under a layout name must outweigh, and more for each block
+    layout_block: float = 1.0
+    nested: float = 0.5  # of a marked element to the region around it, for each block
     following: float = 0.9  # divided by the containers between two blocks, plus one
     same_container: float = 0.5
 
@@ -68,6 +78,30 @@ class Block:
     text: str
     score: float
     path: tuple[int, ...]  # containers from the outermost
+    home: int  # element that holds it
+
+
+@dataclass
+class Element:
+    """An element of the graph: the one around it, its mark, and the strength of ties within its region."""
+
+    parent: int
+    mark: str  # "", content, around or layout
+    tie: float
+    blocks: int = 0  # inside it, at any depth
+
+
+@dataclass(frozen=True)
+class State:
+    """What holds inside an open element; ``around`` is 0, 1 (by a layout name) or 2."""
+
+    name: str = ""
+    number: int = 0
+    weight: float = 0.0
+    around: int = 0
+    comments: bool = False
+    hidden: bool = False
+    home: int = 0
 
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -130,17 +164,18 @@ def _about(named: list[set[str]], article: bool) -> set[str]:
 
 
 class _Reader:
-    """Collects the blocks of a page with the state of their open elements."""
+    """Collects the blocks and elements of a page with the state of its open elements."""
 
     def __init__(self, costs: Costs):
         self.costs, self.blocks, self.opened = costs, [], 0
-        # name, container number, content weight, whether something around counts, whether by comments, hidden
-        self.open: list[tuple[str, int, float, bool, bool, bool]] = [("", 0, 0.0, False, False, False)]
+        self.elements = {0: Element(-1, "", 0.0)}
+        self.open = [State()]
         self.parts: list[str] = []
         self.linked = 0
 
-    def _state(self, name: str, attributes: str) -> tuple[str, int, float, bool, bool, bool]:
-        _, _, weight, around, comments, hidden = self.open[-1]
+    def _state(self, name: str, attributes: str) -> State:
+        outer = self.open[-1]
+        weight, around, comments, hidden = outer.weight, outer.around, outer.comments, outer.hidden
         self.opened += 1
         words, named, role = set(), [], ""
         if attributes and name not in ("html", "body"):
@@ -148,24 +183,36 @@ class _Reader:
                 key, value = key.lower(), value.strip("\"'").lower()
                 if key in ("class", "id", "itemprop"):
                     words.update(_WORD.findall(value))
-                    named += [set(_WORD.findall(v)) for v in value.split()]
+                    each = [_WORD.findall(v) for v in value.split()]
+                    named += [set(n) for n in each if not n or n[0] not in SETTING_WORDS]
                 elif key == "role":
                     role = value
                 elif key == "hidden" and name != "input" or key == "aria-hidden" and value == "true":
                     hidden = True
-        if name in CONTENT_TAGS or role in ("main", "article"):
+        article = name in CONTENT_TAGS or role in ("main", "article")
+        if article:
             weight = self.costs.content_tag
-            around = comments  # what lies around the article does not count inside it
+            around = 2 if comments else 0  # what lies around the article does not count inside it
         elif words & CONTENT_WORDS:
             weight = max(weight, self.costs.content_word)
-        in_article = weight == self.costs.content_tag
-        about = _about(named, name in CONTENT_TAGS or role in ("main", "article"))
+        about = _about(named, article)
         if about & COMMENT_WORDS:
-            around = comments = True
-        elif (name in AROUND_TAGS or role in AROUND_ROLES or about & AROUND_WORDS and name in BLOCK
-              or name == "header" and not in_article):
-            around = True
-        return name, self.opened, weight, around, comments, hidden or name in HIDDEN
+            around, comments = 2, True
+        elif name in AROUND_TAGS or role in AROUND_ROLES or name == "header" and weight != self.costs.content_tag:
+            around = 2
+        elif name in BLOCK and about & AROUND_WORDS:
+            around = max(around, 1 if about & AROUND_WORDS <= LAYOUT_WORDS else 2)
+        mark = ""
+        if around > outer.around:
+            mark = "layout" if around == 1 else "around"
+        elif not around and (outer.around or weight > outer.weight):
+            mark = "content"
+        home = outer.home
+        if mark or name in BLOCK and name != "p":
+            tie = (weight, self.costs.layout, self.costs.around)[around]
+            self.elements[self.opened] = Element(home, mark, tie)
+            home = self.opened
+        return State(name, self.opened, weight, around, comments, hidden or name in HIDDEN, home)
 
     def flush(self) -> None:
         if not self.parts:
@@ -174,33 +221,31 @@ class _Reader:
         linked, self.parts, self.linked = self.linked, [], 0
         if not text:
             return
-        _, _, weight, around, _, _ = self.open[-1]
-        costs, names = self.costs, [o[0] for o in self.open[-4:]]
-        score = costs.bias + weight + costs.words * min(45, text.count(" ") + 1)
+        costs, names = self.costs, [o.name for o in self.open[-4:]]
+        score = costs.bias + costs.words * min(45, text.count(" ") + 1)
         score += costs.links * min(1.0, linked / len(text))
-        if around:
-            score += costs.around
         if any(n in ("h1", "h2", "h3", "h4", "h5", "h6") for n in names):
             score += costs.heading
         if "li" in names:
             score += costs.list_item
         if _SENTENCE.search(text):
             score += costs.sentence
-        self.blocks.append(Block(text, score, tuple(o[1] for o in self.open if o[0] in BLOCK and o[0] != "p")))
+        path = tuple(o.number for o in self.open if o.name in BLOCK and o.name != "p")
+        self.blocks.append(Block(text, score, path, self.open[-1].home))
 
     def start(self, name: str, attributes: str) -> None:
         if name in BLOCK:
             self.flush()
-            while self.open[-1][0] and self.open[-1][0] not in BLOCK or self.open[-1][0] == "p":
-                if self.open[-1][0] in HIDDEN:
+            while self.open[-1].name and self.open[-1].name not in BLOCK or self.open[-1].name == "p":
+                if self.open[-1].name in HIDDEN:
                     break
                 self.open.pop()
             if name in IMPLIED:
                 ends, within = IMPLIED[name]
                 for k in range(len(self.open) - 1, 0, -1):
-                    if self.open[k][0] in within:
+                    if self.open[k].name in within:
                         break
-                    if self.open[k][0] in ends:
+                    if self.open[k].name in ends:
                         del self.open[k:]
                         break
         elif name == "br":
@@ -212,20 +257,21 @@ class _Reader:
         if name in BLOCK:
             self.flush()
         for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == name:
+            if self.open[k].name == name:
                 del self.open[k:]
                 return
-            if name not in BLOCK and self.open[k][0] in BLOCK:
+            if name not in BLOCK and self.open[k].name in BLOCK:
                 return
 
     def text(self, text: str) -> None:
-        if not self.open[-1][5]:
+        if not self.open[-1].hidden:
             self.parts.append(text)
-            if any(o[0] == "a" for o in self.open[-4:]):
+            if any(o.name == "a" for o in self.open[-4:]):
                 self.linked += len(text.strip())
 
 
-def blocks_of(page: str, costs: Costs = Costs()) -> list[Block]:
+def read_page(page: str, costs: Costs = Costs()) -> tuple[list[Block], dict[int, Element]]:
+    """The blocks of a page, and the elements that hold them by number."""
     reader = _Reader(costs)
     for kind, value, attributes in tokens(page):
         if kind == "text":
@@ -235,7 +281,13 @@ def blocks_of(page: str, costs: Costs = Costs()) -> list[Block]:
         else:
             reader.end(value)
     reader.flush()
-    return reader.blocks
+    elements = reader.elements
+    for block in reader.blocks:
+        elements[block.home].blocks += 1
+    for number in sorted(elements, reverse=True):  # an element is opened after those around it
+        if number:
+            elements[elements[number].parent].blocks += elements[number].blocks
+    return reader.blocks, elements
 
 
 def ties(blocks: list[Block], costs: Costs = Costs()) -> list[tuple[int, int, float]]:
@@ -259,6 +311,27 @@ def ties(blocks: list[Block], costs: Costs = Costs()) -> list[tuple[int, int, fl
     return edges
 
 
+def graph(blocks: list[Block], elements: dict[int, Element],
+          costs: Costs = Costs()) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Terminal capacities and edges of the blocks, followed by those of the elements in marked regions.
+
+    An element outside every marked region ties nothing: there blocks stand by their text and their
+    neighbours.  A mark but a layout name outweighs all blocks inside its element, and an element without
+    a mark follows its region; a block leaves it where its own cost outweighs the region's tie.
+    """
+    scores, edges = [b.score for b in blocks], ties(blocks, costs)
+    place = {}
+    for number, e in elements.items():
+        if e.tie and e.blocks:
+            place[number] = len(scores)
+            scores.append({"": 0.0, "content": 2 * e.tie * e.blocks + 10, "around": -2 * e.tie * e.blocks - 10,
+                           "layout": -costs.layout_base - costs.layout_block * e.blocks}[e.mark])
+            if e.parent in place:
+                edges.append((place[e.parent], place[number], costs.nested * e.blocks if e.mark else e.tie * (e.blocks + 1)))
+    edges += [(i, place[b.home], elements[b.home].tie) for i, b in enumerate(blocks) if b.home in place]
+    return scores, edges
+
+
 def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """True where the cut leaves a node with the source (content).
 
@@ -332,17 +405,17 @@ def _source_side(weight: dict[int, float], around: list[dict[int, float]]) -> se
                 path.pop()
 
 
-def extract(page: str | None, costs: Costs = Costs()) -> tuple[str, int, int]:
-    """(text, blocks, blocks kept) of a whole page."""
-    blocks = blocks_of(page or "", costs)
-    kept = minimum_cut([b.score for b in blocks], ties(blocks, costs))
+def extract(page: str | None, costs: Costs = Costs()) -> tuple[str, int, int, int]:
+    """(text, blocks, blocks kept, blocks whose label the edges turned against their own cost) of a whole page."""
+    blocks, elements = read_page(page or "", costs)
+    kept = minimum_cut(*graph(blocks, elements, costs))
     texts = [b.text for b, k in zip(blocks, kept) if k]
-    return "\n\n".join(texts), len(blocks), len(texts)
+    return "\n\n".join(texts), len(blocks), len(texts), sum((b.score > 0) != k for b, k in zip(blocks, kept))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                   costs: Costs = Costs()) -> DataFrame:
-    """Id, url, text, n_chars (code points), n_blocks and n_kept of every page, from its whole html.
+    """Id, url, text, n_chars (code points), n_blocks, n_kept and n_turned of every page, from its whole html.
 
     Null or empty html, or a page without content, gives an empty text.  Null ids and urls and repeated
     rows pass through; extra columns are left out; an empty table gives an empty table.  Pages are
@@ -359,8 +432,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64()), pa.array([f[1] for f in found], pa.int32()),
-                 pa.array([f[2] for f in found], pa.int32())],
-                names=[id_col, url_col, "text", "n_chars", "n_blocks", "n_kept"])
+                 pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32())],
+                names=[id_col, url_col, "text", "n_chars", "n_blocks", "n_kept", "n_turned"])
 
     return source.mapInArrow(run, f"`{id_col}` {types[id_col]}, `{url_col}` {types[url_col]}, text string, "
-                                  "n_chars long, n_blocks int, n_kept int")
+                                  "n_chars long, n_blocks int, n_kept int, n_turned int")
