@@ -6,17 +6,18 @@ ORACLES = {
     "op4_poisson_mix": """
 WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 rates AS (SELECT source, sqrt(n) / sum(sqrt(n)) OVER () * sum(n) OVER () / n AS rate FROM sizes),
+wanted AS (SELECT source, rate, unnest(generate_series(0, ceil(rate + 12 * sqrt(rate) + 40)::BIGINT)) AS j FROM rates),
 steps AS (SELECT source, rate, j, sum(exp(-rate + j * ln(rate) - lgamma(j + 1))) OVER (
-              PARTITION BY source ORDER BY j ROWS UNBOUNDED PRECEDING) AS cdf
-          FROM rates, generate_series(0, 200) AS g(j) WHERE j <= ceil(rate + 12 * sqrt(rate) + 40)),
+              PARTITION BY source ORDER BY j ROWS UNBOUNDED PRECEDING) AS cdf FROM wanted),
 cdfs AS (SELECT source, rate, list(cdf ORDER BY j) AS cdf FROM steps GROUP BY source, rate),
 drawn AS (SELECT d.*, r.rate, r.cdf,
               ('0x' || substr(md5('0:draw:' || doc_id), 1, 13))::BIGINT / pow(16, 13) AS u
           FROM documents d JOIN cdfs r ON d.source IS NOT DISTINCT FROM r.source),
-counted AS (SELECT *, len(list_filter(cdf, lambda c: c <= u))::INTEGER AS copies FROM drawn)
+counted AS (SELECT *, len(list_filter(cdf, lambda c: c <= u))::INTEGER AS copies FROM drawn),
+repeated AS (SELECT *, unnest(generate_series(1, copies::BIGINT)) AS k FROM counted)
 SELECT doc_id, text, lang, source, n_chars, k::INTEGER AS copy, copies, rate,
        md5('0:place:' || doc_id || ':' || k) AS place
-FROM counted, generate_series(1, 200) AS g(k) WHERE k <= copies""",
+FROM repeated""",
     "op8_block_join": """
 WITH usable AS (
     SELECT vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings
