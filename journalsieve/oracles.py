@@ -332,6 +332,8 @@ select row_id, {_DATE_TEXT.format('d')} as datum,
 from p"""
 _oracle("read_journal_csv", _READ)
 _oracle("read_journal_csv_semicolon", _READ)
+_oracle("journal_row_numbers", f"""
+select row_number() over (order by row_id) - 1 as row_id, * exclude (row_id) from ({_READ.strip()})""")
 _oracle("clean_nulls", "select row_id, nullif(kreditor, '') as Kreditor from p")
 _oracle("prepared_parquet", """
 select row_id, betrag as _betrag, a as _abs, strftime(d, '%Y-%m-%d') as datum, kl as _kontoklasse,

@@ -97,6 +97,16 @@ def read_journal_csv_semicolon(spark, sf_dir):
     return _as_read(read_journal_csv(spark, folder))
 
 
+@query("journal_row_numbers")
+def journal_row_numbers(spark, sf_dir):
+    """An export in several files without a key of its own: rows are numbered as the files have them."""
+    folder = workspace.new_folder(spark, "unnumbered_export")
+    ordered = order_export(spark, sf_dir).repartitionByRange(16, "row_id").sortWithinPartitions("row_id")
+    ordered.drop("row_id").write.option("sep", ";").option("header", True).option(
+        "ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(folder)
+    return _as_read(read_journal_csv(spark, folder))
+
+
 def _as_read(journal: DataFrame) -> DataFrame:
     return journal.select(
         F.col("row_id").cast("long").alias("row_id"), "datum", "betrag", "konto_soll",

@@ -5,10 +5,12 @@ from __future__ import annotations
 import csv
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from journalsieve.functions.text import clean_nulls
+from journalsieve.operators.running import with_total_before
 from journalsieve.schema import COLUMN_ALIASES, CSV_NULL_LITERALS, NULL_LITERALS
+from journalsieve.workspace import settle
 
 SEPARATORS = ["|", ";", ",", "\t"]
 _TRAILING_SEMICOLONS = r";+\s*$"
@@ -64,6 +66,14 @@ def sniff(header: str) -> tuple[str, list[str]]:
 
 
 _QUOTES = {"quote": '"', "escape": '"'}
+#: Blocks of the input (of 128 MB, as a rule) whose first numbers are broadcast, four longs each.
+BROADCAST_BLOCKS = 1 << 20
+
+
+def _place() -> Column:
+    """Where a row stands in the input: its file, and the block of it that one task reads."""
+    return F.struct(*[F.col(f"_metadata.{source}").alias(name) for name, source in (
+        ("file", "file_path"), ("start", "file_block_start"), ("length", "file_block_length"))]).alias("_place")
 
 
 def _first_line(spark: SparkSession, path: str) -> str:
@@ -71,27 +81,71 @@ def _first_line(spark: SparkSession, path: str) -> str:
     return re.sub(_BYTE_ORDER_MARK, "", rows[0].value) if rows else ""
 
 
-def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """The file with its own column names, all strings, missing values as NULL."""
+def _parsed(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """The file's rows as text, with their place in the input, and the names of the columns."""
     first = _first_line(spark, path)
     separator, names = sniff(first)
     unique = [n if names.index(n) == i else f"{n}.{i}" for i, n in enumerate(names)]
-    schema = ", ".join(f"`{n.replace('`', '')}` STRING" for n in unique)
+    unique = [n.replace("`", "") for n in unique]
+    schema = ", ".join(f"`{n}` STRING" for n in unique)
     if separator == "|":
         # this export ends its lines with stray semicolons, which belong to no column
         lines = spark.read.text(path).select(F.regexp_replace(
             F.regexp_replace("value", _BYTE_ORDER_MARK, ""), _TRAILING_SEMICOLONS, "")
-            .alias("value"))
+            .alias("value"), _place())
         header = re.sub(_TRAILING_SEMICOLONS, "", first)
         parsed = lines.filter((F.col("value") != header) & (F.trim("value") != "")).select(
-            F.from_csv("value", schema, {"sep": separator, **_QUOTES}).alias("row")).select("row.*")
+            F.from_csv("value", schema, {"sep": separator, **_QUOTES}).alias("row"), "_place").select("row.*", "_place")
     else:
         parsed = (spark.read.schema(schema)
                   .option("sep", separator).option("header", True).option("enforceSchema", True)
-                  .options(**_QUOTES).csv(path))
-    return clean_nulls(parsed, sorted({*NULL_LITERALS, *CSV_NULL_LITERALS}))
+                  .options(**_QUOTES).csv(path).select("*", _place()))
+    return parsed, unique
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """The file with its own column names, all strings, missing values as NULL."""
+    parsed, names = _parsed(spark, path)
+    return clean_nulls(parsed.select(*[f"`{n}`" for n in names]), sorted({*NULL_LITERALS, *CSV_NULL_LITERALS}))
+
+
+def with_row_numbers(parsed: DataFrame) -> DataFrame:
+    """``_place`` becomes ``row_id``: numbers from 0 without gaps, by file path and place in the file.
+
+    A first pass counts the rows of every block of the scan, and the counts of the blocks before, by path
+    and start, give each block its first number.  The second pass reads the same blocks; should the scan
+    be split otherwise by then, it fails instead of numbering wrongly.  One row a block is joined: it is
+    broadcast up to ``BROADCAST_BLOCKS`` of them, and left to the planner beyond.
+    """
+    at = F.monotonically_increasing_id()
+    key = [F.col("_place.start").alias("_start"), F.col("_place.length").alias("_length"),
+           F.xxhash64("_place.file").alias("_file"), F.spark_partition_id().alias("_part")]
+    keys = ["_start", "_length", "_file", "_part"]
+    blocks = settle(
+        parsed.select(*key, F.col("_place.file").alias("file"), at.alias("at"))
+        .groupBy(*keys, "file").agg(F.count(F.lit(1)).alias("rows"), F.min("at").alias("_first")), "blocks")
+    found = blocks.agg(F.count(F.lit(1)).alias("all"), F.count_distinct(F.struct(*keys)).alias("told_apart")).head()
+    if found["all"] != found["told_apart"]:
+        raise RuntimeError("two files of the input share a hash of their paths")
+    numbered = settle(with_total_before(blocks, ["file", "_start"], "rows", found["all"])
+                      .select(*keys, (F.col("before") - F.col("_first")).alias("_shift")), "block_numbers")
+    if found["all"] <= BROADCAST_BLOCKS:
+        numbered = F.broadcast(numbered)
+    others = [c for c in parsed.columns if c != "_place"]
+    placed = parsed.select(*[f"`{c}`" for c in others], *key, at.alias("_at")).join(numbered, keys, "left")
+    number = F.when(F.col("_shift").isNull(), F.raise_error(F.lit("the input is split otherwise than when it was counted"))
+                    .cast("long")).otherwise(F.col("_at") + F.col("_shift"))
+    return placed.select(number.alias("row_id"), *[f"`{c}`" for c in others])
 
 
 def read_journal_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A journal export under canonical column names."""
-    return map_columns(read_export(spark, path))
+    """A journal export under canonical column names.
+
+    Without a column ``row_id`` of its own, rows are numbered from 0 in the order of the files' paths and
+    of their lines.
+    """
+    parsed, names = _parsed(spark, path)
+    given = "row_id" in (n.lower() for n in names)
+    rows = parsed.select(*[f"`{n}`" for n in names]) if given else with_row_numbers(parsed)
+    cleaned = clean_nulls(rows, sorted({*NULL_LITERALS, *CSV_NULL_LITERALS}))
+    return map_columns(cleaned)

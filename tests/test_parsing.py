@@ -141,3 +141,50 @@ def test_quoted_pipe_export(spark, tmp_path):
     file.write_text('"datum"|"konto_soll"|"buchungstext";;\n2024-01-01|62000|"a ""b"" c";;\n', encoding="utf-8")
     rows = read_export(spark, str(file)).collect()
     assert [tuple(r) for r in rows] == [("2024-01-01", "62000", 'a "b" c')]
+
+
+def test_row_numbers_follow_the_files(spark, tmp_path):
+    """Equal under any split, by file path and line, for both kinds of export, blank lines left out."""
+    from pyspark.sql import functions as F
+
+    wanted = []
+    for separator, end in ((";", ""), ("|", ";;")):
+        folder = tmp_path / f"export{ord(separator)}"
+        folder.mkdir()
+        wanted = []
+        for file, rows in (("b.csv", 700), ("a.csv", 30), ("c d.csv", 0), ("d.csv", 1500)):
+            lines = [f"{file}-{i}{separator}{i},00{separator}62000{end}" for i in range(rows)]
+            lines[10:10] = [""]
+            (folder / file).write_text("\n".join([separator.join(["Buchungstext", "FiBuBetrag", "Kontonummer"]) + end, *lines]))
+            wanted.append((file, rows))
+        texts = [f"{file}-{i}" for file, rows in sorted(wanted) for i in range(rows)]
+        before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+        try:
+            for size, cost in (("128m", "4m"), ("1k", "0"), ("5000b", "100b"), ("20k", "3k")):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+                spark.conf.set("spark.sql.files.openCostInBytes", cost)
+                rows = read_journal_csv(spark, str(folder)).orderBy(F.desc("row_id")).collect()[::-1]
+                assert [r.row_id for r in rows] == list(range(len(texts)))
+                assert [r.buchungstext for r in rows] == texts
+        finally:
+            for name, value in before.items():
+                spark.conf.set(name, value)
+    own = tmp_path / "own.csv"
+    own.write_text("row_id;datum;betrag\n7;2024-01-01;5\n3;2024-01-02;6\n")
+    assert sorted(r.row_id for r in read_journal_csv(spark, str(own)).collect()) == ["3", "7"]
+    none = tmp_path / "none.csv"
+    none.write_text("datum;betrag;kreditor\n")
+    assert read_journal_csv(spark, str(none)).count() == 0
+
+
+def test_running_totals_over_ranges(spark, monkeypatch):
+    from journalsieve.operators import running
+
+    monkeypatch.setattr(running, "PER_ROOT", 3)
+    rows = [(f"k{i // 3:04d}", i % 3, i * 7 % 11) for i in range(900)]
+    frame = spark.createDataFrame(rows, "k string, i int, n long").repartition(5)
+    out = {(r.k, r.i): r.before for r in running.with_total_before(frame, ["k", "i"], "n", 900).collect()}
+    total = 0
+    for k, i, n in rows:
+        assert out[k, i] == total
+        total += n
