@@ -3,15 +3,14 @@
 The built-in exact percentile keeps every distinct value of a group in one task.  Here a value gets
 a position code that grows with it (octave, then leading mantissa bits).  Counting coarse cells
 finds the cell that holds each wanted rank; only that cell is counted again in fine cells, and only
-the fine cell by value.  Every step is a pre-aggregated count; no window sees raw rows.
+the fine cell by value.  Every step is a count combined before its shuffle: no window sees raw rows, and
+no values are shuffled but those of the cells that hold a wanted rank.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from journalsieve.workspace import settle
-
 _FINE = 1 << 24
 _COARSE = 1 << 12
 _OCTAVE_SHIFT = 1100
@@ -26,19 +25,22 @@ def _position(v: Column) -> Column:
     return (F.when(v == 0, F.lit(0)).when(v > 0, code).otherwise(-code)).cast("long")
 
 
+def _counted(values: DataFrame, here: list[str], cell: str) -> DataFrame:
+    """Per ``here`` and ``cell`` the values held and those up to its end."""
+    return values.groupBy(*here, cell).agg(F.sum("weight").alias("held")).withColumn(
+        "upto", F.sum("held").over(Window.partitionBy(*here).orderBy(cell)))
+
+
+def _known(found: DataFrame) -> DataFrame:
+    """The wanted ranks so far as a local table: two rows per group and quantile."""
+    return found.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
 def _narrow(values: DataFrame, wanted: DataFrame, by: list[str], inside: list[str],
             cell: str) -> DataFrame:
     """For each wanted rank, the ``cell`` that holds it and the number of values before it."""
     here = [*by, *inside]
-    running = Window.partitionBy(*here).orderBy(cell)
-    cells = values
-    if inside:
-        # at most two cells per group and quantile remain, so the side stays small
-        cells = values.join(F.broadcast(wanted.select(*here).distinct()), here, "left_semi")
-    cells = (
-        cells.groupBy(*here, cell).agg(F.sum("weight").alias("held"))
-        .withColumn("upto", F.sum("held").over(running))
-    )
+    cells = _counted(values.join(F.broadcast(wanted.select(*here).distinct()), here, "left_semi"), here, cell)
     hit = (F.col("rank") >= F.col("before") + F.col("upto") - F.col("held")) & (
         F.col("rank") < F.col("before") + F.col("upto"))
     return (
@@ -52,14 +54,12 @@ def exact_quantiles(rows: DataFrame, value: str, probs: list[float], by: list[st
                     weight: str | None = None) -> DataFrame:
     """One row per group: ``n`` and ``q0``, ``q1``, ... with linear interpolation.
 
-    ``by`` must have few groups (account classes, one run): the wanted ranks are broadcast.
-    ``weight`` names a column with repetition counts.  The value counts are written once and narrowed
-    down in the same way at every size.
+    ``by`` must have few groups (account classes, one run): the wanted ranks pass through the driver.
+    ``weight`` names a column with repetition counts.  ``rows`` are read three times, the two columns
+    alone, in the same way at every size; write them first where they are dear to compute.
     """
-    values = settle(
-        rows.filter(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).alias("v"))
-        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("weight")), "value_counts")
+    values = rows.filter(F.col(value).isNotNull()).select(
+        *by, F.col(value).alias("v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("weight"))
     values = values.withColumn("fine", _position(F.col("v"))) \
         .withColumn("coarse", F.floor(F.col("fine") / _COARSE))
 
@@ -68,10 +68,13 @@ def exact_quantiles(rows: DataFrame, value: str, probs: list[float], by: list[st
 
     ranks = F.array_distinct(F.flatten(F.array(*[
         F.array(F.floor(spot(p)), F.ceil(spot(p))) for p in probs])))
-    totals = values.groupBy(*by).agg(F.sum("weight").alias("n"))
-    found = totals.select(*by, "n", F.explode(ranks).alias("rank"), F.lit(0).alias("before"))
-    for inside, cell in (([], "coarse"), (["coarse"], "fine"), (["coarse", "fine"], "v")):
-        found = _narrow(values, found, by, inside, cell)
+    before = F.col("upto") - F.col("held")
+    first = _counted(values, by, "coarse").withColumn("n", F.sum("held").over(Window.partitionBy(*by)))
+    found = _known(first.select(
+        *by, F.explode(F.filter(ranks, lambda r: (r >= before) & (r < F.col("upto")))).alias("rank"), "n",
+        "coarse", before.alias("before")))
+    found = _known(_narrow(values, found, by, ["coarse"], "fine"))
+    found = _narrow(values, found, by, ["coarse", "fine"], "v")
 
     def at(rank: Column) -> Column:
         return F.max(F.when(F.col("rank") == rank, F.col("v")))

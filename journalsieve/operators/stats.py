@@ -30,11 +30,9 @@ def moments_table(amounts: DataFrame) -> DataFrame:
 
 def quartiles_table(amounts: DataFrame, total: bool = True) -> DataFrame:
     """Exact quartiles (``q0``, ``q1``) per class and, if wanted, of the total."""
-    per_class = amounts.groupBy("_kontoklasse", "_abs").agg(F.count(F.lit(1)).alias("times"))
     if total:
-        groups = F.explode(F.array(F.col("_kontoklasse"), F.lit(TOTAL)))
-        per_class = per_class.withColumn("_kontoklasse", groups)
-    return exact_quantiles(per_class, "_abs", [0.25, 0.75], ["_kontoklasse"], weight="times")
+        amounts = amounts.select("_abs", F.explode(F.array("_kontoklasse", F.lit(TOTAL))).alias("_kontoklasse"))
+    return exact_quantiles(amounts, "_abs", [0.25, 0.75], ["_kontoklasse"])
 
 
 def class_moments(amounts: DataFrame) -> dict[str, Moments]:
@@ -53,11 +51,11 @@ def class_quartiles(amounts: DataFrame) -> dict[str, tuple[int, float, float]]:
 
 def global_stats(amounts: DataFrame, iqr_factor: float) -> DataFrame:
     """n, mean, deviation, interquartile range and fence over all counted amounts."""
-    overall = F.col("_kontoklasse") == TOTAL
-    spread = quartiles_table(amounts).filter(overall).select("_kontoklasse", "q0", "q1")
+    whole = amounts.select("_abs", F.lit(TOTAL).alias("_kontoklasse"))
+    spread = exact_quantiles(whole, "_abs", [0.25, 0.75], ["_kontoklasse"]).select("_kontoklasse", "q0", "q1")
     iqr = F.col("q1") - F.col("q0")
     return (
-        moments_table(amounts).filter(overall).join(spread, "_kontoklasse")
+        moments_table(amounts).filter(F.col("_kontoklasse") == TOTAL).join(spread, "_kontoklasse")
         .select(F.col("n").alias("n_vals"), F.col("mean").alias("b_mean"),
                 F.col("std").alias("b_std"), iqr.alias("b_iqr"),
                 (F.col("q1") + F.lit(iqr_factor) * iqr).alias("b_fence"))
