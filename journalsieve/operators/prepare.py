@@ -11,6 +11,7 @@ from journalsieve.functions.text import strip
 from journalsieve.operators.groups import rows_in_small_groups
 from journalsieve.schema import BLANK_WORDS, CANONICAL_COLUMNS, NO_REVERSAL_REFERENCE
 
+# fixed values: patterns of reversal, correction and period texts
 _REVERSAL_TEXT = r"storno|stornierung|r[uü]ckbuchung|gutschrift.*storn"
 _CORRECTION_TEXT = r"\bkorrektur\b"
 _TEXT_PERIOD = r"\b\d{1,2}[/.]\d{4}\b"
