@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from journalsieve.llm import language, neighbours, queries, simhash, sketch
+from journalsieve.llm import language, neighbours, queries, sketch
 
 SPACE = r"[\x20\x09-\x0D]+"
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -116,16 +116,6 @@ def test_fingerprint_query_equals_brute_force(spark, tmp_path, texts):
     assert len(set(least.values())) < len({c for c in codes.values()})
 
 
-def test_pairs_of_fingerprints_lie_within_the_distance(spark):
-    rng = random.Random(4)
-    codes = [rng.getrandbits(64) for _ in range(30)]
-    codes += [c ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for c in codes]
-    frame = spark.createDataFrame([(signed(c),) for c in set(codes)], "fp long")
-    for group in (1024, 4):
-        found = [tuple(r) for r in simhash.near_pairs(frame, 2, group).collect()]
-        assert len(found) >= 30 and all(((a ^ b) & (1 << 64) - 1).bit_count() <= 2 for a, b in found)
-
-
 def test_nearest_with_huge_and_tiny_components(spark):
     rng = np.random.default_rng(6)
     vectors = rng.normal(size=(120, 6))
