@@ -13,9 +13,14 @@ bytes of a restaurant are seated side by side, given each other's tables of the
 
 Contexts that share their last three bytes are seated in one partition with all their descendants, as
 many partitions as the data need.  What lies above, at most 256^3 sequences whatever the corpus, is
-seated in one task.  Words (for the additive base score) and sequences are counted map-side.  Texts are
-dealt into blocks of bounded size for scoring; each block asks the shards of the model for just the words
-and sequences it holds, in packed lists.  No table of the corpus is broadcast.
+seated in one task.
+
+Texts are dealt into blocks of bounded size.  Each block lists its distinct words (for the additive base
+score) and sequences with their training counts once, in packed lists by shard of the model.  The lists
+give the model its counts, and later ask it for what the block needs; a block has at most ``shards`` of
+them, so their number grows with the corpus, not with its square.  Shards and blocks are streamed: a task
+holds one shard's or one block's part of the model, never a shard's lists or a block's texts together.
+No table of the corpus is broadcast.
 """
 
 from __future__ import annotations
@@ -23,28 +28,31 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from journalsieve.llm.common import in_portions, own_columns
+from journalsieve.llm.common import text_portions
 from journalsieve.workspace import settle
 
 END = b"\n"
-#: Bytes of the sequences whose number the alphabet bounds; what the key of a sequence begins with, which
-#: no word does.
-UPPER, SEQUENCE = 3, b" "
+#: Bytes of the sequences whose number the alphabet bounds.
+UPPER = 3
 #: Counted sequences a task holds before it sums equal ones again.
 MERGED = 3_000_000
+#: Sequences differ mostly in bytes that are far from even; a prime spreads them over the shards.
+PRIME = 1_000_003
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bytes of a sequence, discount and strength, Gibbs rounds and those before averaging, sizes, seed."""
+    """Bytes of a sequence (7 at most), discount and strength, Gibbs rounds and those before averaging, sizes,
+    seed.  ``shards`` bounds the lists of a block; a shard holds that share of the distinct sequences."""
 
     order: int = 6
     discount: float = 0.5
@@ -53,6 +61,7 @@ class Settings:
     burn_in: int = 2
     passes: int = 2  # between the levels above and below
     block_bytes: int = 32 << 20
+    shards: int = 1024
     partition_rows: int = 500_000
     seed: int = 0
 
@@ -70,10 +79,11 @@ def sequences(texts: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndar
     lead = END * (order - 1)
     spelled = [b" ".join([*words, END]) if words else END for words in texts]
     data = np.frombuffer(lead + lead.join(spelled), np.uint8)
-    whole = np.zeros(len(data) - order + 1, np.int64)
-    for k in range(order):
-        whole <<= 8
-        whole |= data[k:k + len(whole)]
+    whole, length = data.astype(np.int64), 1
+    for bit in f"{order:b}"[1:]:  # as in raising to a power: twice as long, and one byte more
+        whole, length = (whole[:-length] << 8 * length) | whole[length:], 2 * length
+        if bit == "1":
+            whole, length = (whole[:-1] << 8) | data[length:], length + 1
     sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
     ends = np.cumsum(sizes + order - 1)
     inside = np.ones(len(whole) + order - 1, bool)
@@ -149,56 +159,130 @@ def sample(codes: np.ndarray, counts: np.ndarray, high: int, low: int, base: np.
 
 # --- counting -----------------------------------------------------------------------------------------
 
-def _keys(codes: np.ndarray, order: int) -> pa.Array:
-    """Sequences as keys: the mark and their bytes."""
-    raw = np.empty((len(codes), order + 1), np.uint8)
-    raw[:, 0] = SEQUENCE[0]
-    raw[:, 1:] = codes.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 8 - order:]
-    ends = np.arange(len(codes) + 1, dtype=np.int32) * np.int32(order + 1)
-    return pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(ends), pa.py_buffer(raw.tobytes())])
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where each distinct value of a sorted array begins."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[:len(ordered)])
 
 
-def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found = pc.value_counts(pa.array(codes))
-    return found.field("values").to_numpy(), found.field("counts").to_numpy()
+def _counted(codes: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sequences and how often each comes with its mark set; the mark is sorted along as the last bit."""
+    marked = np.sort((codes << 1) | trained)
+    codes = marked >> 1
+    first = _firsts(codes)
+    return codes[first], np.add.reduceat(marked & 1, first) if len(first) else first
 
 
 def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    found, place = np.unique(np.concatenate([np.zeros(0, np.int64), *codes]), return_inverse=True)
-    sums = np.bincount(place, np.concatenate([np.zeros(0), *counts]), len(found))
-    return found, np.rint(sums).astype(np.int64)
+    found = np.concatenate([np.zeros(0, np.int64), *codes])
+    order = np.argsort(found, kind="stable")  # what is sorted already is merged
+    found, n = found[order], np.concatenate([np.zeros(0, np.int64), *counts])[order]
+    first = _firsts(found)
+    return found[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def count_keys(rows: DataFrame, settings: Settings) -> DataFrame:
-    """(key, n): words and sequences with their counts in the training texts, sequences also with none."""
-    order = settings.order
+def _packed(values: np.ndarray) -> bytes:
+    return zlib.compress(values.tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.int64)
+
+
+def _words_packed(words: list[bytes]) -> bytes:
+    return zlib.compress(b" ".join(words), 1)
+
+
+def _words_unpacked(packed: bytes) -> list[bytes]:
+    return zlib.decompress(packed).split(b" ")
+
+
+def _by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the items by shard, and where each shard begins and the last ends."""
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+LISTS = "shard int, block int, words binary, seen binary, codes binary, counts binary"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _list_blocks(order: int, shards: int):
+    """(shard, block, words, seen, codes, counts): the distinct words and sequences of each block, and how
+    often each occurs in its training texts, packed by shard; empty lists are left out."""
+    names = [field.split()[0] for field in LISTS.split(", ")]
+
+    def lists(block: int, words: Counter[bytes], found: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        spelled = list(words)
+        word_order, word_at = _by_shard(np.fromiter((zlib.crc32(w) % shards for w in spelled), np.int64, len(spelled)), shards)
+        order_, at = _by_shard(found % PRIME % shards, shards)
+        seen = np.fromiter(words.values(), np.int64, len(spelled))[word_order]
+        spelled = [spelled[i] for i in word_order.tolist()]
+        found, counts = found[order_], counts[order_]
+        used = [k for k in range(shards) if word_at[k] < word_at[k + 1] or at[k] < at[k + 1]]
+        cut = lambda values, ends, k: values[ends[k]:ends[k + 1]]
+        return pa.RecordBatch.from_arrays([
+            pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int32()),
+            pa.array([_words_packed(cut(spelled, word_at, k)) if word_at[k] < word_at[k + 1] else None for k in used], pa.binary()),
+            pa.array([_packed(cut(seen, word_at, k)) for k in used], pa.binary()),
+            pa.array([_packed(np.diff(cut(found, at, k), prepend=0)) for k in used], pa.binary()),
+            pa.array([_packed(cut(counts, at, k)) for k in used], pa.binary())], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, words, codes, counts = None, Counter(), [], []
         for batch in batches:
-            texts, trains = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            words: Counter[bytes] = Counter()
-            codes, counts = [], []
-            for portion in in_portions(texts, 2 << 20):
-                for trained in (True, False):
-                    split = [words_of(texts[i]) for i in portion if trains[i] == trained]
-                    if not split:
-                        continue
-                    found, n = _counted(sequences(split, order)[0])
+            blocks, trains = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            ends = [*_firsts(blocks).tolist(), len(blocks)]
+            for start, end in zip(ends, ends[1:]):
+                if now not in (None, blocks[start]):
+                    yield lists(now, words, *_summed(codes, counts))
+                    words, codes, counts = Counter(), [], []
+                now = blocks[start]
+                for begin, texts in text_portions(batch.column(1).slice(start, end - start), 2 << 20):
+                    split, trained = [words_of(t) for t in texts], trains[start + begin:start + begin + len(texts)]
+                    found, starts = sequences(split, order)
+                    per_text = np.diff(np.append(starts, len(found)))
+                    found, n = _counted(found, np.repeat(trained, per_text))
                     codes.append(found)
-                    counts.append(n * trained)
-                    if sum(map(len, codes)) > MERGED:
+                    counts.append(n)
+                    if len(codes) > 1 and sum(map(len, codes)) > MERGED + 2 * len(codes[0]):
                         codes, counts = map(lambda x: [x], _summed(codes, counts))
-                    if trained:
-                        words[END] += len(split)
-                        for own in split:
-                            words.update(own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["key", "n"])
-            found, n = _summed(codes, counts)
-            yield pa.RecordBatch.from_arrays([_keys(found, order), pa.array(n)], names=["key", "n"])
+                    words.update(chain.from_iterable(own for own, t in zip(split, trained) if t))
+                    words[END] += int(trained.sum())
+                    for own in (own for own, t in zip(split, trained) if not t):
+                        words.update(dict.fromkeys(own, 0))
+        if now is not None:
+            yield lists(now, words, *_summed(codes, counts))
+
+    return run
 
-    counted = rows.select("text", ~F.col("held_out")).mapInArrow(count, "key binary, n long")
-    return counted.groupBy("key").agg(F.sum("n").alias("n"))
+
+COUNTS = "key binary, code long, n long"
+
+
+def _sum_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, code, n): the words and sequences of each shard with their counts, from the lists sorted by shard."""
+    now, words, codes, counts = None, Counter(), [], []
+
+    def sums() -> pa.RecordBatch:
+        found, n = _summed(codes, counts)
+        return pa.RecordBatch.from_arrays([
+            pa.array([*words, *[None] * len(found)], pa.binary()),
+            pa.concat_arrays([pa.nulls(len(words), pa.int64()), pa.array(found, pa.int64())]),
+            pa.concat_arrays([pa.array(words.values(), pa.int64()), pa.array(n, pa.int64())])], names=["key", "code", "n"])
+
+    for batch in batches:
+        for shard, _, spelled, seen, found, n in zip(*[c.to_pylist() for c in batch.columns]):
+            if now not in (None, shard):
+                yield sums()
+                words, codes, counts = Counter(), [], []
+            now = shard
+            if spelled is not None:
+                words.update(dict(zip(_words_unpacked(spelled), _unpacked(seen).tolist())))
+            codes.append(np.cumsum(_unpacked(found)))
+            counts.append(_unpacked(n))
+            if len(codes) > 1 and sum(map(len, codes)) > MERGED + 2 * len(codes[0]):
+                codes, counts = map(lambda x: [x], _summed(codes, counts))
+    if now is not None:
+        yield sums()
 
 
 # --- the model ----------------------------------------------------------------------------------------
@@ -216,15 +300,12 @@ def _cut(column: str, length: int) -> Column:
     return F.col(column).bitwiseAND(F.lit((1 << 8 * length) - 1))
 
 
-def train(counted: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def train(grams: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(code, chance): the averaged predictive probability of the last byte of each counted sequence.
 
-    ``counted`` is the table of ``count_keys``, written; sequences of n = 0 are predicted only.
+    ``grams`` (code, n) is written; sequences of n = 0 are predicted only.
     """
     order = settings.order
-    code = F.conv(F.hex(F.substring("key", 2, order)), 16, 10).cast("long")
-    grams = settle(counted.filter(F.substring("key", 1, 1) == F.lit(SEQUENCE)).select(code.alias("code"), "n"),
-                   "lm-sequences")
     parts = max(1, -(-grams.count() // settings.partition_rows))
     upper = grams.select(_cut("code", UPPER).alias("upper")).distinct()
     seen = grams.filter("n > 0").select(_cut("code", UPPER + 1).alias("code")).distinct()
@@ -266,82 +347,53 @@ def train(counted: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 # --- scoring ------------------------------------------------------------------------------------------
 
-def _packed(codes: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(codes, prepend=0).tobytes(), 1)
+ANSWERS = "block int, words binary, counts binary, codes binary, chances binary"
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(packed), np.int64))
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, words, counts, codes, chances): what the model has for each list.
 
-
-def _words_packed(words: list[bytes]) -> bytes:
-    return zlib.compress(b" ".join(words), 1)
-
-
-def _words_unpacked(packed: bytes) -> list[bytes]:
-    return zlib.decompress(packed).split(b" ") if packed else []
-
-
-def _requests(order: int, shards: int):
-    """(shard, block, words, codes): the distinct words and sequences of each block, by shard of the model."""
-    names = ["shard", "block", "words", "codes"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blocks, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for block in np.unique(blocks):
-                own = [texts[i] for i in np.flatnonzero(blocks == block)]
-                words, codes = {END}, []
-                for portion in in_portions(own, 2 << 20):
-                    split = [words_of(own[i]) for i in portion]
-                    words.update(*split)
-                    codes.append(_counted(sequences(split, order)[0])[0])
-                    if sum(map(len, codes)) > MERGED:
-                        codes = [np.unique(np.concatenate(codes))]
-                dealt: list[list[bytes]] = [[] for _ in range(shards)]
-                for word in sorted(words):
-                    dealt[zlib.crc32(word) % shards].append(word)
-                distinct = np.unique(np.concatenate(codes))
-                shard = distinct % shards
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(shards, dtype=np.int32)), pa.array(np.full(shards, block, np.int32)),
-                     pa.array([_words_packed(d) if d else b"" for d in dealt], pa.binary()),
-                     pa.array([_packed(distinct[shard == k]) for k in range(shards)], pa.binary())], names=names)
-
-    return run
-
-
-def _answers(left: pa.Table, right: pa.Table) -> pa.Table:
-    """(block, words, counts, codes, chances): what the model's shard has for each request."""
-    named = right.filter(right["key"].is_valid())
-    count_of = dict(zip(named["key"].to_pylist(), named["value"].to_pylist()))
-    grams = right.filter(right["code"].is_valid())
-    codes, logs = grams["code"].to_numpy(), grams["value"].to_numpy().astype(np.float32)
-    sort = np.argsort(codes)
-    codes, logs = codes[sort], logs[sort]
-    counts, chances = [], []
-    for words, wanted in zip(left["words"].to_pylist(), left["codes"].to_pylist()):
-        counts.append(np.array([count_of.get(w, 0.0) for w in _words_unpacked(words)]).tobytes())
-        chances.append(logs[np.searchsorted(codes, _unpacked(wanted))].tobytes())
-    return pa.table([left["block"], left["words"], pa.array(counts, pa.binary()), left["codes"],
-                     pa.array(chances, pa.binary())], names=["block", "words", "counts", "codes", "chances"])
-
-
-def _score_block(order: int, whole: float):
+    Rows (shard, block, key, code, value, words, codes) are sorted by shard; those of the model come first,
+    without a block.
+    """
+    now, parts, count_of, known, logs = None, [], {}, None, None
+    for batch in batches:
+        ends = [*_firsts(batch.column(0).to_numpy()).tolist(), batch.num_rows]
+        for start, end in zip(ends, ends[1:]):
+            part = batch.slice(start, end - start)
+            if part.column(0)[0].as_py() != now:
+                now, parts, known = part.column(0)[0].as_py(), [], None
+            asked = part.column(1).is_valid()
+            model = part.filter(pc.invert(asked)).select(["key", "code", "value"])
+            if model.num_rows:
+                parts.append(model)
+            asking = part.filter(asked)
+            if not asking.num_rows:
+                continue
+            if known is None:  # all of the shard's model has come
+                whole, parts = pa.Table.from_batches(parts, model.schema), []
+                named, grams = whole.filter(whole["key"].is_valid()), whole.filter(whole["code"].is_valid())
+                count_of = dict(zip(named["key"].to_pylist(), named["value"].to_pylist()))
+                sort = np.argsort(grams["code"].to_numpy())
+                known, logs = grams["code"].to_numpy()[sort], grams["value"].to_numpy().astype(np.float32)[sort]
+                del whole, named, grams
+            for block, words, codes in zip(*[asking[n].to_pylist() for n in ("block", "words", "codes")]):
+                counts = [] if words is None else [count_of.get(w, 0.0) for w in _words_unpacked(words)]
+                chances = logs[np.searchsorted(known, np.cumsum(_unpacked(codes)))]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([block], pa.int32()), pa.array([words], pa.binary()),
+                    pa.array([np.array(counts, float).tobytes()], pa.binary()), pa.array([codes], pa.binary()),
+                    pa.array([chances.tobytes()], pa.binary())], names=["block", "words", "counts", "codes", "chances"])
+
+
+def _score_block(order: int, whole: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scores each text from the answers to its block; rows are sorted by block, the answers first."""
     names = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        of_word: dict[bytes, float] = {}
-        for words, counts in zip(right["words"].to_pylist(), right["counts"].to_pylist()):
-            of_word.update(zip(_words_unpacked(words), np.frombuffer(counts).tolist()))
-        codes = np.concatenate([_unpacked(c) for c in right["codes"].to_pylist()])
-        logs = np.concatenate([np.frombuffer(c, np.float32) for c in right["chances"].to_pylist()])
-        codes, first = np.unique(codes, return_index=True)
-        codes, logs = pa.array(codes), logs[first].astype(float)
+    def scored(part: pa.RecordBatch, of_word: dict[bytes, float], codes: pa.Array, logs: np.ndarray) -> pa.RecordBatch:
         columns: dict[str, list] = {name: [] for name in names[2:]}
-        texts = left["text"].to_pylist()
-        for portion in in_portions(texts, 4 << 20):  # each portion builds the table of the codes again
-            split = [words_of(texts[i]) for i in portion]
+        for _, texts in text_portions(part["text"], 8 << 20):  # each portion builds the table of the codes again
+            split = [words_of(t) for t in texts]
             found, starts = sequences(split, order)
             columns["score"].append(np.add.reduceat(logs[pc.index_in(pa.array(found), codes).to_numpy()], starts))
             sizes = np.fromiter(map(len, split), np.int64, len(split)) + 1
@@ -350,9 +402,37 @@ def _score_block(order: int, whole: float):
             columns["n_tokens"].append(sizes)
             columns["n_known"].append(np.add.reduceat(counts > 0, starts, dtype=np.int64))
             columns["base_score"].append(np.add.reduceat(np.log10(counts + 1) - whole, starts))
-        return pa.table([left["id"], left["held_out"], *[np.concatenate(columns[n]) for n in names[2:]]], names=names)
+        return pa.RecordBatch.from_arrays(
+            [part["id"], part["held_out"], *[pa.array(np.concatenate(columns[n])) for n in names[2:]]], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, of_word, found, chances, codes, logs = None, {}, [], [], None, None
+        for batch in batches:
+            ends = [*_firsts(batch["block"].to_numpy()).tolist(), batch.num_rows]
+            for start, end in zip(ends, ends[1:]):
+                part = batch.slice(start, end - start)
+                if part["block"][0].as_py() != now:
+                    now, of_word, found, chances, codes = part["block"][0].as_py(), {}, [], [], None
+                answers = part["codes"].is_valid()
+                held = part.filter(answers)
+                for words, counts, own, logs_ in zip(*[held[n].to_pylist() for n in ("words", "counts", "codes", "chances")]):
+                    if words is not None:
+                        of_word.update(zip(_words_unpacked(words), np.frombuffer(counts).tolist()))
+                    found.append(np.cumsum(_unpacked(own)))
+                    chances.append(np.frombuffer(logs_, np.float32))
+                texts = part.filter(pc.invert(answers))
+                if texts.num_rows:
+                    if codes is None:  # all answers to the block have come
+                        codes, logs = pa.array(np.concatenate(found)), np.concatenate(chances).astype(float)
+                        found, chances = [], []
+                    yield scored(texts, of_word, codes, logs)
+
+    return run
+
 
-    return score
+def _beside(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Both tables' rows under the columns of both; what a table lacks is null."""
+    return rows.unionByName(others, allowMissingColumns=True)
 
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -371,25 +451,28 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = max(1, -(-size // settings.block_bytes))
-    counted = settle(count_keys(rows, settings), "lm-counts")
-    words = counted.filter((F.substring("key", 1, 1) != F.lit(SEQUENCE)) & (F.col("n") > 0))
+    shards = min(blocks, settings.shards)
+    block = F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(blocks)).cast("int")
+    dealt = rows.select(block.alias("block"), "text", ~F.col("held_out")).repartitionById(blocks, F.col("block"))
+    lists = settle(dealt.sortWithinPartitions("block").mapInArrow(_list_blocks(settings.order, shards), LISTS), "lm-lists")
+    counted = settle(lists.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
+                     .mapInArrow(_sum_lists, COUNTS), "lm-counts")
+    words = counted.filter(F.col("key").isNotNull() & (F.col("n") > 0))
     facts = words.agg(F.sum("n"), F.count(F.lit(1))).head()
     tokens, distinct = int(facts[0] or 0), int(facts[1])
-    # words and sequences of the model, dealt into as many shards as there are blocks
-    known = words.select((F.crc32("key") % blocks).cast("int").alias("shard"), "key",
+    chances = train(counted.filter("code is not null").select("code", "n"), settings)
+    known = words.select((F.crc32("key") % shards).cast("int").alias("shard"), "key",
                          F.lit(None).cast("long").alias("code"), F.col("n").cast("double").alias("value")).union(
-        train(counted, settings).select((F.col("code") % blocks).cast("int"), F.lit(None).cast("binary"), "code",
-                                        F.log10("chance")))
-
-    block = F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(blocks)).cast("int")
-    # both uses of the dealt texts share one exchange
-    dealt = rows.select(block.alias("block"), "text", "id", "held_out").repartition(blocks, "block")
-    requests = dealt.sortWithinPartitions("block").mapInArrow(
-        _requests(settings.order, blocks), "shard int, block int, words binary, codes binary")
-    answers = requests.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(
-        _answers, "block int, words binary, counts binary, codes binary, chances binary")
+        chances.select((F.col("code") % PRIME % shards).cast("int"), F.lit(None).cast("binary"), "code", F.log10("chance")))
+    asked = _beside(known, lists.select("shard", "block", "words", "codes")).select(
+        "shard", "block", "key", "code", "value", "words", "codes")
+    answers = asked.repartitionById(shards, F.col("shard")).sortWithinPartitions(
+        "shard", F.col("block").asc_nulls_first()).mapInArrow(_answer, ANSWERS)
+    texts = rows.select(block.alias("block"), "id", "held_out", "text")
+    whole = _beside(texts, answers).repartitionById(blocks, F.col("block")).sortWithinPartitions(
+        "block", F.col("codes").isNull())
     id_type = rows.schema["id"].dataType.simpleString()
-    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    scored = whole.mapInArrow(
         _score_block(settings.order, math.log10(tokens + distinct + 1)),
         f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known",
