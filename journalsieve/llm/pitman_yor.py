@@ -396,8 +396,10 @@ def _score_block(order: int, whole: float) -> Callable[[Iterator[pa.RecordBatch]
             split = [words_of(t) for t in texts]
             found, starts = sequences(split, order)
             columns["score"].append(np.add.reduceat(logs[pc.index_in(pa.array(found), codes).to_numpy()], starts))
-            sizes = np.fromiter(map(len, split), np.int64, len(split)) + 1
-            counts = np.fromiter((of_word[w] for words in split for w in (*words, END)), float, sizes.sum())
+            sizes = np.fromiter(map(len, split), np.int64, len(split))
+            counts = np.fromiter(map(of_word.__getitem__, chain.from_iterable(split)), float, sizes.sum())
+            counts = np.insert(counts, np.cumsum(sizes), of_word[END])
+            sizes += 1
             starts = np.cumsum(sizes) - sizes
             columns["n_tokens"].append(sizes)
             columns["n_known"].append(np.add.reduceat(counts > 0, starts, dtype=np.int64))
