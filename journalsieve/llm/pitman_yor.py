@@ -9,7 +9,9 @@ the parent, where it is a customer.
 Gibbs sampling seats the customers again in rounds, given the tables of the others and the parent's
 predictions; the predictive probabilities of the rounds are averaged.  All customers of one byte in one
 restaurant are alike, so their seating is one number, drawn in growing steps for frequent bytes, and the
-bytes of a restaurant are seated side by side, given each other's tables of the round before.
+bytes of a restaurant are seated side by side, given each other's tables of the round before and the
+parent's predictions with their own tables in it.  Against one-customer-at-a-time Gibbs a small corpus
+shows chances 4.8 % off on average and 21 % at most (``tests/llm/test_pitman_yor.py``).
 
 Contexts that share their last three bytes are seated in one partition with all their descendants, as
 many partitions as the data need.  What lies above, at most 256^3 sequences whatever the corpus, is
@@ -54,8 +56,8 @@ class Settings:
     """Bytes of a sequence (7 at most), discount and strength, Gibbs rounds and those before averaging, sizes,
     seed.  ``shards`` bounds the lists of a block; a shard holds that share of the distinct sequences."""
 
-    order: int = 6
-    discount: float = 0.5
+    order: int = 7
+    discount: float = 0.7
     strength: float = 1.0
     rounds: int = 5
     burn_in: int = 2
