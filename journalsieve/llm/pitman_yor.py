@@ -46,7 +46,7 @@ END = b"\n"
 #: Bytes of the sequences whose number the alphabet bounds.
 UPPER = 3
 #: Counted sequences a task holds before it sums equal ones again.
-MERGED = 3_000_000
+MERGED = 1_000_000
 #: Sequences differ mostly in bytes that are far from even; a prime spreads them over the shards.
 PRIME = 1_000_003
 
@@ -56,7 +56,7 @@ class Settings:
     """Bytes of a sequence (7 at most), discount and strength, Gibbs rounds and those before averaging, sizes,
     seed.  ``shards`` bounds the lists of a block; a shard holds that share of the distinct sequences."""
 
-    order: int = 7
+    order: int = 6
     discount: float = 0.7
     strength: float = 1.0
     rounds: int = 5
@@ -245,7 +245,7 @@ def _list_blocks(order: int, shards: int):
                     found, n = _counted(found, np.repeat(trained, per_text))
                     codes.append(found)
                     counts.append(n)
-                    if len(codes) > 1 and sum(map(len, codes)) > MERGED + 2 * len(codes[0]):
+                    if len(codes) > 1 and sum(map(len, codes)) > MERGED + len(codes[0]):
                         codes, counts = map(lambda x: [x], _summed(codes, counts))
                     words.update(chain.from_iterable(own for own, t in zip(split, trained) if t))
                     words[END] += int(trained.sum())
@@ -281,7 +281,7 @@ def _sum_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words.update(dict(zip(_words_unpacked(spelled), _unpacked(seen).tolist())))
             codes.append(np.cumsum(_unpacked(found)))
             counts.append(_unpacked(n))
-            if len(codes) > 1 and sum(map(len, codes)) > MERGED + 2 * len(codes[0]):
+            if len(codes) > 1 and sum(map(len, codes)) > MERGED + len(codes[0]):
                 codes, counts = map(lambda x: [x], _summed(codes, counts))
     if now is not None:
         yield sums()
@@ -394,7 +394,7 @@ def _score_block(order: int, whole: float) -> Callable[[Iterator[pa.RecordBatch]
 
     def scored(part: pa.RecordBatch, of_word: dict[bytes, float], codes: pa.Array, logs: np.ndarray) -> pa.RecordBatch:
         columns: dict[str, list] = {name: [] for name in names[2:]}
-        for _, texts in text_portions(part["text"], 8 << 20):  # each portion builds the table of the codes again
+        for _, texts in text_portions(part["text"], 3 << 20):  # each portion builds the table of the codes again
             split = [words_of(t) for t in texts]
             found, starts = sequences(split, order)
             columns["score"].append(np.add.reduceat(logs[pc.index_in(pa.array(found), codes).to_numpy()], starts))
