@@ -46,8 +46,11 @@ def is_reversal_text(text: Column, amount: Column) -> Column:
 
 
 def named_month(period: Column) -> Column:
-    """Month index of ``m/yyyy`` or ``mm.yyyy``; NULL without a period or beyond December."""
-    month = F.substring_index(F.translate(period, ".", "/"), "/", 1).try_cast("int")
+    """Month index of ``m/yyyy`` or ``mm.yyyy``; NULL without a period or beyond December.
+
+    Without a period the cast gets NULL: a failing cast of a text raises inside, in every row.
+    """
+    month = F.nullif(F.substring_index(F.translate(period, ".", "/"), "/", 1), F.lit("")).try_cast("int")
     return F.when((period != "") & month.between(1, 12),
                   F.right(period, F.lit(4)).try_cast("int") * 12 + month - 1)
 

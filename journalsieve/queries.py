@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import wraps
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,6 +22,7 @@ from journalsieve.operators.parts import Lookup, Part, Predicate, counted_amount
 from journalsieve.plans import charts, feedback, flags, history, report, validation
 from journalsieve.plans.analysis import Analysis
 from journalsieve.plans.registry import FLAG_NAMES, TESTS, FlagTest
+from journalsieve.session import with_plan_settings
 from journalsieve.sources import run_store
 from journalsieve.sources.journal_csv import map_columns, read_journal_csv
 from journalsieve.sources.order_journal import order_export, order_labels
@@ -36,11 +38,18 @@ _runs: dict[tuple, Analysis] = {}
 
 def query(name: str) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
-        QUERIES[name] = fn
+        QUERIES[name] = _in_session(fn)
         return fn
     return register
 
 
+def _in_session(fn: Query) -> Query:
+    @wraps(fn)
+    def run(spark, sf_dir):
+        return fn(with_plan_settings(spark), sf_dir)
+    return run
+
+
 def raw_journal(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
     return map_columns(clean_nulls(order_export(spark, sf_dir, before)))
 
@@ -344,7 +353,7 @@ def _single(name: str, **config) -> Query:
 
 
 for _name in FLAG_NAMES[:13]:
-    QUERIES[_name.lower()] = _single(_name)
+    QUERIES[_name.lower()] = _in_session(_single(_name))
 
 
 @query("isolation_anomalie")

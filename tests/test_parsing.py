@@ -1,10 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from journalsieve import queries, workspace
 from journalsieve.functions.amounts import parse_amounts
 from journalsieve.functions.dates import parse_dates, whole_days
 from journalsieve.functions.text import clean_nulls, strip
-from journalsieve.operators.prepare import counterpart_accounts, prepare, with_counterparts
+from journalsieve.operators.prepare import counterpart_accounts, named_month, prepare, with_counterparts
 from journalsieve.sources.journal_csv import read_journal_csv, resolve_headers, sniff
 
 AMOUNTS = {
@@ -188,3 +189,30 @@ def test_running_totals_over_ranges(spark, monkeypatch):
     for k, i, n in rows:
         assert out[k, i] == total
         total += n
+
+
+def test_parts_of_a_scan_follow_its_rows(spark, tmp_path, monkeypatch):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    monkeypatch.setattr(workspace, "ROWS_PER_TASK", 50, raising=False)
+    parts = workspace.spread(rows)
+    sizes = [len(part) for part in parts.rdd.glom().collect()]
+    assert len(sizes) == 20 and max(sizes) <= 60 and sorted(r.id for r in parts.collect()) == list(range(1000))
+
+
+def test_queries_bound_the_compiled_methods(spark, monkeypatch):
+    key, seen = "spark.sql.codegen.hugeMethodLimit", []
+    own = queries._in_session(lambda session, folder: seen.append(session.conf.get(key)))
+    spark.conf.unset(key)
+    own(spark, "")
+    spark.conf.set(key, "60000")  # what a session has set itself stays
+    own(spark, "")
+    spark.conf.set(key, "8000")
+    assert seen == ["8000", "60000"]
+
+
+def test_month_of_a_period_text(spark):
+    texts = ["", "3/2020", "12.1998", "13/2001", "00/2001", "1.0001"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in frame.select(named_month(F.col("t"))).collect()]
+    assert got == [None, 2020 * 12 + 2, 1998 * 12 + 11, None, None, 12]
