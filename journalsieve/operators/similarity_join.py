@@ -29,7 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Members of the largest group checked at once, rows of a block, and how often a group is dealt again.
 GROUP, BLOCK, DEPTH = 256, 256, 4
-_DENSE_BLOCK = 1024
+#: Bytes and rows of the largest block of dense vectors, rows of the smallest, and rows multiplied at once.
+_DENSE_BYTES, _DENSE_ROWS, _DENSE_LEAST, _STRIP = 1 << 23, 1 << 14, 256, 1024
 _SLACK = 1e-9
 _EDGE = "a string, b string"
 
@@ -209,25 +210,85 @@ def unit_vectors(vectors: DataFrame, text: str = "text", vector: str = "vector")
         "text", F.transform("vector", lambda x: x / F.col("norm")).alias("vector"))
 
 
-def dense_edges(vectors: DataFrame, cosine: float, block: int = _DENSE_BLOCK) -> DataFrame:
-    """The same edges over dense unit vectors (text, vector), by a block matrix join.
-
-    Dense vectors share all dimensions, so no posting tells them apart: every block meets every block, half
-    of them for symmetry, in a task each, and a cell returns one edge per connected name.  Vectors of other
-    lengths never meet.
-    """
+def _lower(close: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> None:
+    """Lowers the labels of rows and columns to the least each is connected to."""
+    top = np.iinfo(rows.dtype).max
+    while True:
+        low = np.minimum(rows, np.where(close, columns, top).min(axis=1))
+        across = np.minimum(columns, np.where(close, low[:, None], top).min(axis=0))
+        if (low == rows).all() and (across == columns).all():
+            return
+        rows[:], columns[:] = low, across
+
+
+def _strip_edges(matrix: np.ndarray, here: np.ndarray, there: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """(lesser row, row) edges that join what is close between two strips of rows, one per row at most."""
+    close = matrix[here] @ matrix[there].T >= cosine - _SLACK
+    rows, columns = here.copy(), there.copy()
+    touched, met = np.flatnonzero(close.any(1)), np.flatnonzero(close.any(0))
+    if not len(touched):
+        return here[:0], here[:0]
+    part, left, right = close[np.ix_(touched, met)], rows[touched], columns[met]
+    _lower(part, left, right)
+    labels, ends = np.r_[left, right], np.r_[here[touched], there[met]]
+    linked = labels != ends
+    return labels[linked], ends[linked]
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Lowers ``label`` to the least row connected by the edges and by the labels so far."""
+    while True:
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label[:] = label[label]
+        if (label[a] == label[b]).all():
+            return
+
+
+def _dense_cells(vectors: DataFrame, block: int | None = None) -> DataFrame:
+    """Each vector once per block of its length (``block`` rows, or ``_DENSE_BYTES``); two blocks a cell."""
     rows = settle(vectors.withColumn("dims", F.size("vector")), "dense_vectors")
-    sizes = settle(rows.groupBy("dims").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "dense_blocks")
+    fit = F.lit(block) if block else F.greatest(F.lit(_DENSE_LEAST), F.least(
+        F.lit(_DENSE_ROWS), F.floor(F.lit(_DENSE_BYTES) / (8 * F.col("dims")))))
+    sizes = settle(rows.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).select(
+        "dims", F.ceil(F.col("n") / fit).cast("int").alias("blocks")), "dense_blocks")
     own = F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int")
     dealt = rows.join(sizes, "dims").withColumn("block", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select("dims", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"),
-                         "text", "vector")
+    return dealt.select("dims", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"),
+                        "block", "text", "vector")
+
 
+def dense_edges(vectors: DataFrame, cosine: float, block: int | None = None, strip: int = _STRIP) -> DataFrame:
+    """The same edges over dense unit vectors (text, vector), by a block matrix join.
+
+    Dense vectors share all dimensions, so no posting tells them apart: every block meets every block, half
+    of them for symmetry, in a task each, and a cell returns one edge per connected name.  Each vector is
+    sent once per block, so blocks are large; a task multiplies them ``strip`` rows at a time and holds the
+    products of two strips alone.  Vectors of other lengths never meet.
+    """
     def check(cell: pa.Table) -> pa.Table:
         names = np.array(cell["text"].to_pylist(), object)
-        matrix = _numbers(cell["vector"])[0].reshape(len(names), -1)
-        order = np.argsort(names, kind="stable")
-        return _forest(names[order], matrix[order] @ matrix[order].T >= cosine - _SLACK)
-
-    return cells.groupBy("dims", "lower", "upper").applyInArrow(check, _EDGE)
+        blocks = cell["block"].to_numpy()
+        # the rows of the lower block first, each in the order of names
+        order = np.lexsort((np.argsort(np.argsort(names, kind="stable")), blocks))
+        names, blocks = names[order], blocks[order]
+        matrix = _numbers(cell["vector"])[0].reshape(len(names), -1)[order]
+        at = np.arange(len(names))
+        cut = int((blocks == blocks[0]).sum()) if len(names) else 0
+        # a block meets itself in its own cell only
+        alone = cell["lower"][0] == cell["upper"][0]
+        left = [at[:cut][i:i + strip] for i in range(0, cut, strip)]
+        right = [at[cut:][i:i + strip] for i in range(0, len(at) - cut, strip)]
+        pairs = [(x, y) for i, x in enumerate(left) for y in left[i:]] if alone else [(x, y) for x in left for y in right]
+        label = at.copy()
+        for here, there in pairs:
+            a, b = _strip_edges(matrix, here, there, cosine)
+            if len(a):
+                _joined(label, a, b)
+        linked = np.flatnonzero(label != at)
+        return pa.table({"a": pa.array(names[label[linked]], pa.string()), "b": pa.array(names[linked], pa.string())})
+
+    return _dense_cells(vectors, block).groupBy("dims", "lower", "upper").applyInArrow(check, _EDGE)

@@ -123,3 +123,18 @@ def test_given_vectors_drive_text_mode(spark, raw):
     unlike = {r.row_id for r in flags.run_single_test(run.context, "TEXT_KONTO_MATCH").collect()}
     assert unlike == {3}  # no vector for the last text, so nothing is known of it
     assert run.export().count() >= 1
+
+
+def test_dense_strips_equal_all_pairs_and_blocks_are_large(spark):
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(120, 4))
+    held = {f"v{i:03}": p / np.linalg.norm(p) for i, p in enumerate(points)}
+    frame = spark.createDataFrame([(n, v.tolist()) for n, v in held.items()], "text string, vector array<double>")
+    for cosine in (0.9, 0.985, -1.0):
+        wanted = [(a, b) for a, b in itertools.combinations(sorted(held), 2) if held[a] @ held[b] >= cosine - 1e-9]
+        for block, strip in ((None, 1024), (None, 7), (37, 5), (200, 50)):
+            found = [tuple(r) for r in sj.dense_edges(frame, cosine, block, strip).collect()]
+            assert _groups(found, held) == _groups(wanted, held)
+    many = spark.range(5000).select(F.col("id").cast("string").alias("text"),
+                                    F.array_repeat(F.lit(0.125), 64).alias("vector"))
+    assert sj._dense_cells(many).count() == 5000  # one block: every vector is sent once
