@@ -600,7 +600,7 @@ def similarity_percentiles(spark, sf_dir):
 @query("text_vectors")
 def text_vectors_of_turns(spark, sf_dir):
     """Vectors of whole conversation turns, keyed by turn."""
-    turns = workspace.spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select(
+    turns = workspace.spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "text").select(
         F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "text")
     return text_vectors.text_vectors(turns, "text", "turn_id").select(
         F.col("text").alias("turn_id"), "gram", F.round("weight", 6).alias("weight"))

@@ -216,3 +216,11 @@ def test_month_of_a_period_text(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in frame.select(named_month(F.col("t"))).collect()]
     assert got == [None, 2020 * 12 + 2, 1998 * 12 + 11, None, None, 12]
+
+
+def test_parts_of_a_scan_follow_its_text(spark, tmp_path):
+    spark.range(200).select(F.repeat(F.lit("x"), 100_000).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/texts")
+    parts = workspace.spread(spark.read.parquet(f"{tmp_path}/texts"), "text")
+    assert parts.rdd.getNumPartitions() == 20 and parts.count() == 200
+    nothing = spark.read.parquet(f"{tmp_path}/texts").filter("text is null")
+    assert workspace.spread(nothing, "text").count() == 0
