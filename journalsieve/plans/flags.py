@@ -13,6 +13,7 @@ from journalsieve.operators.context import Context
 from journalsieve.operators.parts import Lookup, Part, Predicate, RowIds
 from journalsieve.plans.registry import TESTS, FlagTest
 from journalsieve.schema import EXPORT_COLUMNS
+from journalsieve.workspace import settle
 
 SETUP_JOBS = 4
 _KEPT = {"row_id", "mandant", *EXPORT_COLUMNS}
@@ -49,7 +50,8 @@ def with_flags(ctx: Context, enabled: Iterable[str] | None = None, tests: Sequen
     tests are false throughout.  Source columns no later step reads are not carried along.
 
     Row conditions become a projection.  Lookup tables of the same keys are joined with each other
-    first, so the journal meets them once.  The tests that deliver
+    first, so the journal meets them once, and written: by its real size a small one is broadcast
+    before the journal is shuffled for it.  The tests that deliver
     row ids are united, folded to one row per id and joined once on the unique id: a single shuffle
     of the journal, on a key that cannot run hot.
     """
@@ -74,7 +76,10 @@ def with_flags(ctx: Context, enabled: Iterable[str] | None = None, tests: Sequen
                     tables[keys] = tables[keys].join(part.table, part.keys, "full") \
                         if keys in tables else part.table
                 hits[test.name].append(part.hit)
-    for keys, table in tables.items():
+    with ThreadPoolExecutor(SETUP_JOBS) as pool:
+        in_session = inheritable_thread_target(ctx.journal.sparkSession)
+        written = list(pool.map(in_session(lambda keys: settle(tables[keys], "lookup")), tables))
+    for keys, table in zip(tables, written):
         df = df.join(table, list(keys), "left")
     if listed:
         tagged = reduce(DataFrame.union, [

@@ -239,6 +239,14 @@ def test_intake_analyses_each_upload_once(spark, raw, tmp_path):
     assert intake.intake_results(spark, results, "months").select("file").distinct().count() == 2
 
 
+def test_small_lookups_never_shuffle_the_journal(spark, raw):
+    from journalsieve.plans.analysis import Analysis
+
+    run = Analysis(raw(journal_rows()))
+    plan = run.score()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(row_id" in plan and "hashpartitioning(konto_soll" not in plan
+
+
 def test_downsample_fills_up_exactly_without_a_sort(spark):
     from pyspark.sql import functions as F
 
