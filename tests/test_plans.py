@@ -239,6 +239,23 @@ def test_intake_analyses_each_upload_once(spark, raw, tmp_path):
     assert intake.intake_results(spark, results, "months").select("file").distinct().count() == 2
 
 
+def test_intake_parses_a_batch_like_each_upload_alone(spark, raw):
+    from pyspark.sql import functions as F
+
+    from journalsieve.operators.prepare import prepare
+    from journalsieve.streaming import intake
+
+    rows = raw(journal_rows())
+    arrived = rows.select("*", F.concat(F.lit("u"), F.col("row_id") % 2).alias("upload"),
+                          F.current_timestamp().alias("arrived_at"))
+    typed = intake.typed_batch(arrived)
+    assert {"upload", "arrived_at"} <= set(typed.columns)
+    for upload in ("u0", "u1"):
+        own = typed.filter(F.col("upload") == upload)
+        alone = prepare(rows.filter(F.concat(F.lit("u"), F.col("row_id") % 2) == upload)).drop("_beleg_id")
+        assert sorted(own.select(alone.columns).collect()) == sorted(alone.collect())
+
+
 def test_small_lookups_never_shuffle_the_journal(spark, raw):
     from journalsieve.plans.analysis import Analysis
 
