@@ -97,6 +97,11 @@ class Analysis:
         """Flags and score, written once."""
         return settle(self.score(), "scored")
 
+    def scored_once(self) -> DataFrame:
+        """Flags and score for a single reader: the written table if there is one, else a lazy plan, of
+        which only the columns that are read get shuffled."""
+        return self.scored if "scored" in self.__dict__ else self.score()
+
     def single_test(self, name: str) -> DataFrame:
         return flags.run_single_test(self.context, name, self.tests)
 

@@ -546,7 +546,7 @@ def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rating = (
         F.when(F.col("row_id") % 10 == 9, "").when(five < 2, "TP ").when(five < 4, "fp")
         .otherwise("unsure"))
-    return report.export_projection(scored_of(spark, sf_dir)).withColumns({
+    return report.export_projection(shared_run(spark, sf_dir).scored_once()).withColumns({
         "bewertung": rating, "mandant": F.concat(F.lit("1"), (F.col("row_id") % 3).cast("string"))})
 
 

@@ -264,6 +264,16 @@ def test_small_lookups_never_shuffle_the_journal(spark, raw):
     assert "hashpartitioning(row_id" in plan and "hashpartitioning(konto_soll" not in plan
 
 
+def test_score_of_a_single_reader_is_not_written(spark, raw):
+    from journalsieve.plans.analysis import Analysis
+
+    run = Analysis(raw(journal_rows()))
+    alone = run.scored_once().select("row_id", "_score").collect()
+    assert "scored" not in run.__dict__
+    assert sorted(alone) == sorted(run.scored.select("row_id", "_score").collect())
+    assert run.scored_once() is run.scored
+
+
 def test_downsample_fills_up_exactly_without_a_sort(spark):
     from pyspark.sql import functions as F
 
