@@ -388,16 +388,56 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([chances.tobytes()], pa.binary())], names=["block", "words", "counts", "codes", "chances"])
 
 
+#: An odd number whose powers spread the sequences over the slots of a table, and sequences placed at a time.
+FACTOR, PLACED = 0x9E3779B97F4A7C15, 1 << 17
+
+
+def _slots(codes: np.ndarray, factor: int, bits: int) -> np.ndarray:
+    return ((codes.view(np.uint64) * np.uint64(factor)) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def place_values(codes: np.ndarray, values: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """Tables (factor, bits, values) of distinct ``codes``: each is alone in a slot of one of them.
+
+    A slot that codes share holds no number; they go on to the next table, about a fifth each time.
+    """
+    tables, factor = [], FACTOR
+    while len(codes) or not tables:
+        bits = max(8, (4 * len(codes)).bit_length())
+        at, order = _slots(codes, factor, bits), np.arange(len(codes), dtype=np.int32)
+        last = np.zeros(1 << bits, np.int32)
+        last[at] = order
+        shared = np.zeros(1 << bits, bool)
+        shared[at[last[at] != order]] = True
+        alone, table = ~shared[at], np.full(1 << bits, np.nan, np.float32)
+        table[at[alone]] = values[alone]
+        tables.append((factor, bits, table))
+        codes, values, factor = codes[~alone], values[~alone], factor * FACTOR % (1 << 64)
+    return tables
+
+
+def values_of(tables: list[tuple[int, int, np.ndarray]], codes: np.ndarray) -> np.ndarray:
+    """The values of codes that were placed, repeats included."""
+    found = np.empty(len(codes), np.float32)
+    for start in range(0, len(codes), PLACED):
+        part, own = codes[start:start + PLACED], found[start:start + PLACED]
+        left = np.arange(len(part))
+        for factor, bits, table in tables:
+            own[left] = table[_slots(part[left], factor, bits)]
+            left = left[np.isnan(own[left])]
+    return found
+
+
 def _score_block(order: int, whole: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Scores each text from the answers to its block; rows are sorted by block, the answers first."""
     names = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
-    def scored(part: pa.RecordBatch, of_word: dict[bytes, float], codes: pa.Array, logs: np.ndarray) -> pa.RecordBatch:
+    def scored(part: pa.RecordBatch, of_word: dict[bytes, float], logs: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
         columns: dict[str, list] = {name: [] for name in names[2:]}
-        for _, texts in text_portions(part["text"], 3 << 20):  # each portion builds the table of the codes again
+        for _, texts in text_portions(part["text"], 1 << 18):
             split = [words_of(t) for t in texts]
             found, starts = sequences(split, order)
-            columns["score"].append(np.add.reduceat(logs[pc.index_in(pa.array(found), codes).to_numpy()], starts))
+            columns["score"].append(np.add.reduceat(values_of(logs, found).astype(float), starts))
             sizes = np.fromiter(map(len, split), np.int64, len(split))
             counts = np.fromiter(map(of_word.__getitem__, chain.from_iterable(split)), float, sizes.sum())
             counts = np.insert(counts, np.cumsum(sizes), of_word[END])
@@ -410,13 +450,13 @@ def _score_block(order: int, whole: float) -> Callable[[Iterator[pa.RecordBatch]
             [part["id"], part["held_out"], *[pa.array(np.concatenate(columns[n])) for n in names[2:]]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, of_word, found, chances, codes, logs = None, {}, [], [], None, None
+        now, of_word, found, chances, logs = None, {}, [], [], None
         for batch in batches:
             ends = [*_firsts(batch["block"].to_numpy()).tolist(), batch.num_rows]
             for start, end in zip(ends, ends[1:]):
                 part = batch.slice(start, end - start)
                 if part["block"][0].as_py() != now:
-                    now, of_word, found, chances, codes = part["block"][0].as_py(), {}, [], [], None
+                    now, of_word, found, chances, logs = part["block"][0].as_py(), {}, [], [], None
                 answers = part["codes"].is_valid()
                 held = part.filter(answers)
                 for words, counts, own, logs_ in zip(*[held[n].to_pylist() for n in ("words", "counts", "codes", "chances")]):
@@ -426,10 +466,9 @@ def _score_block(order: int, whole: float) -> Callable[[Iterator[pa.RecordBatch]
                     chances.append(np.frombuffer(logs_, np.float32))
                 texts = part.filter(pc.invert(answers))
                 if texts.num_rows:
-                    if codes is None:  # all answers to the block have come
-                        codes, logs = pa.array(np.concatenate(found)), np.concatenate(chances).astype(float)
-                        found, chances = [], []
-                    yield scored(texts, of_word, codes, logs)
+                    if logs is None:  # all answers to the block have come
+                        logs, found, chances = place_values(np.concatenate(found), np.concatenate(chances)), [], []
+                    yield scored(texts, of_word, logs)
 
     return run
 

@@ -85,6 +85,20 @@ def test_sequences_of_any_length_equal_slices():
         assert found.tolist() == want and starts.tolist() == begins
 
 
+def test_placed_values_are_found_again():
+    draw = np.random.default_rng(3)
+    for size in (0, 1, 5, 300_000):
+        codes = np.unique(draw.integers(0, 1 << 56, size))
+        if size > 5:  # neighbours, as in sequences that differ in the last byte
+            codes = np.unique(np.concatenate([codes, np.arange(codes[7], codes[7] + 256)]))
+        draw.shuffle(codes)
+        values = -draw.random(len(codes)).astype(np.float32)
+        tables = pitman_yor.place_values(codes, values)
+        asked = draw.integers(0, max(1, len(codes)), 2 * len(codes))
+        assert np.array_equal(pitman_yor.values_of(tables, codes[asked]), values[asked])
+        assert sum(len(table) for *_, table in tables) <= 2048 * (size < 100) + 12 * len(codes)
+
+
 def test_blocks_shards_and_batches_change_nothing(spark):
     frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     held_out = F.col("doc_id") % 7 == 2
